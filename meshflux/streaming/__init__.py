@@ -1,0 +1,5 @@
+"""No operator of this library consumes an unbounded input, so nothing streams.
+
+Every operator is a batch DataFrame job; the package is kept so that the layout
+says so in one place.
+"""

@@ -1,0 +1,10 @@
+"""Queries over the sales tables that exercise every operator."""
+
+from importlib import import_module
+
+MODULES = ("edges",)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"workloads.{name}")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("edges",)
+MODULES = ("edges", "scenarios", "signed")
 
 
 def load_all() -> None:

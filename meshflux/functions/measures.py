@@ -16,6 +16,12 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def clip01(value: Column | str) -> Column:
+    """Value held to 0..1; null stays null (``least`` alone would skip it)."""
+    v = _col(value).cast("double")
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+
+
 def strength_to_distance(strength: Column | str) -> Column:
     """``1 / strength``; a missing, infinite or non-positive strength is unreachable."""
     s = _col(strength).cast("double")
@@ -37,7 +43,7 @@ def neighbour_boost(survival: Column | str, boost: float = 0.10) -> Column:
 
 
 def hill(value: Column | str, k: Column | float, exponent: float) -> Column:
-    powered = F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _col(value))), F.lit(float(exponent)))
+    powered = F.pow(clip01(value), F.lit(float(exponent)))
     k = F.lit(float(k)) if isinstance(k, (int, float)) else k
     return powered / (F.pow(k, F.lit(float(exponent))) + powered)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshflux.functions.measures import clip01
 from meshflux.functions.ordering import quantiles, ranked, rank_percentile
 from meshflux.session import cut
 from meshflux.settings import (
@@ -66,7 +67,7 @@ def composite_score(rows: DataFrame, *, scope: str = "all") -> DataFrame:
     for name, weight, low, high in COMPOSITE_TERMS:
         if name in rows.columns:
             share = (F.col(name).cast("double") - F.lit(low)) / F.lit(high - low)
-            total = total + F.lit(weight) * F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.0))
+            total = total + F.lit(weight) * F.coalesce(clip01(share), F.lit(0.0))
     name, weight, full = COMPOSITE_COUNT
     if name in rows.columns:
         count = F.col(name).cast("double")

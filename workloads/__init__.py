@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("edges", "scenarios", "signed")
+MODULES = ("edges", "scenarios", "signed", "evidence")
 
 
 def load_all() -> None:

@@ -34,8 +34,8 @@ relax AS (
   SELECT source, id, min(dist), k + 1 FROM (
     SELECT source, id, dist, k FROM relax UNION ALL
     SELECT r.source, a.dst, r.dist + a.distance, r.k FROM relax r JOIN arcs a ON r.id = a.src) u
-  WHERE k < 14 GROUP BY source, id, k),
-best AS MATERIALIZED (SELECT source, id, dist FROM relax WHERE k = 14)"""
+  WHERE k < 40 GROUP BY source, id, k),
+best AS MATERIALIZED (SELECT source, id, dist FROM relax WHERE k = 40)"""
 
 
 @workload("shortest_distances", f"{SQL_DIST} SELECT source, id, dist FROM best")
@@ -47,14 +47,14 @@ def shortest_distances(t):
 
 @workload("shortest_routes", f"""{SQL_DIST},
 ends AS (SELECT source, id, dist FROM best WHERE source = 'S1' AND dist > 0 ORDER BY dist DESC, id LIMIT 20),
-walk AS (SELECT source, id, dist, id AS at, dist AS left_, [id] AS path FROM ends
+walk AS (SELECT source, id, dist, id AS here, dist AS left_, [id] AS path FROM ends
   UNION ALL
   SELECT w.source, w.id, w.dist, m.prev, m.d, list_prepend(m.prev, w.path) FROM walk w JOIN (
-    SELECT a.dst AS at, b.source, arg_min(a.src, a.src) AS prev, b2.dist AS cur, min_by(b.dist, a.src) AS d
+    SELECT a.dst AS here, b.source, arg_min(a.src, a.src) AS prev, b2.dist AS cur, min_by(b.dist, a.src) AS d
     FROM arcs a JOIN best b ON b.id = a.src JOIN best b2 ON b2.id = a.dst AND b2.source = b.source
-    WHERE b.dist + a.distance = b2.dist GROUP BY a.dst, b.source, b2.dist) m ON m.at = w.at AND m.source = w.source
-  WHERE w.at <> w.source)
-SELECT source, id, dist, array_to_string(path, '>') AS route FROM walk WHERE at = source""")
+    WHERE b.dist + a.distance = b2.dist GROUP BY a.dst, b.source, b2.dist) m ON m.here = w.here AND m.source = w.source
+  WHERE w.here <> w.source)
+SELECT source, id, dist, array_to_string(path, '>') AS route FROM walk WHERE here = source""")
 def shortest_routes(t):
     arcs = cut(hop_arcs(t))
     origin = t.spark.createDataFrame([("S1",)], "source string")
@@ -306,12 +306,12 @@ def directed_report(t):
 
 
 SQL_PATHS = f"""WITH RECURSIVE {SQL_EVIDENCE},
-walk AS (SELECT s AS source, s AS at, [s] AS path, CAST([] AS VARCHAR[]) AS st FROM (VALUES ('P1'), ('P2'), ('P3')) v(s)
-  UNION ALL SELECT w.source, e.dst, list_append(w.path, e.dst), list_append(w.st, e.status) FROM walk w JOIN evidence e ON e.src = w.at
+walk AS (SELECT s AS source, s AS here, [s] AS path, CAST([] AS VARCHAR[]) AS st FROM (VALUES ('P1'), ('P2'), ('P3')) v(s)
+  UNION ALL SELECT w.source, e.dst, list_append(w.path, e.dst), list_append(w.st, e.status) FROM walk w JOIN evidence e ON e.src = w.here
   WHERE len(w.path) <= 3 AND NOT list_contains(w.path, e.dst)),
-hits AS (SELECT source, at AS target, path, st FROM walk WHERE at IN ('P5', 'S1', 'S2', 'P7', 'S4') AND source <> at),
+hits AS (SELECT source, here AS target, path, st FROM walk WHERE here IN ('P5', 'S1', 'S2', 'P7', 'S4') AND source <> here),
 cat AS (SELECT source, target, path, CASE WHEN list_contains(st, 'conflicting') THEN 'uncertain' WHEN list_contains(st, 'unsigned') THEN 'unsigned'
-  WHEN len(list_filter(st, x -> x = 'inhibition')) % 2 = 0 THEN 'activation' ELSE 'inhibition' END AS c FROM hits)"""
+  WHEN len(list_filter(st, lambda x: x = 'inhibition')) % 2 = 0 THEN 'activation' ELSE 'inhibition' END AS c FROM hits)"""
 
 
 def asked_pairs(t):
@@ -375,7 +375,7 @@ def annotate_responses(t):
 
 
 @workload("pair_evidence", f"""WITH {i.sql_edges(500)}, {SQL_EVIDENCE}
-SELECT e.src, e.dst, array_to_string(list_sort(list_distinct(list_filter([f.status, b.status], x -> x IS NOT NULL))), ';') AS statuses, coalesce(f.status, 'reverse') AS effect
+SELECT e.src, e.dst, array_to_string(list_sort(list_distinct(list_filter([f.status, b.status], lambda x: x IS NOT NULL))), ';') AS statuses, coalesce(f.status, 'reverse') AS effect
 FROM edges e LEFT JOIN evidence f ON f.src = e.src AND f.dst = e.dst LEFT JOIN evidence b ON b.src = e.dst AND b.dst = e.src WHERE f.src IS NOT NULL OR b.src IS NOT NULL""")
 def pair_evidence(t):
     return sg.pair_evidence(i.plain_graph(t, 500), evidence(t)).select("src", "dst", "statuses", "effect")

@@ -124,7 +124,6 @@ def over_representation(
     tested = marked.groupBy("library", "term").agg(
         F.count(F.lit(1)).alias("set_size"),
         F.count_if(F.col("_hit")).alias("matched"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_hit"), F.col("id")))), ";").alias("members"),
     ).where("matched > 0")
     tested = tested.withColumns({"population": F.lit(population), "draws": F.lit(draws)})
     scored = hypergeometric_tail(cut(tested), "matched", "population", "set_size", "draws")
@@ -136,6 +135,12 @@ def over_representation(
     return out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).drop("_r")
 
 
+def overlap_members(selected: DataFrame, background: DataFrame, memberships: DataFrame) -> DataFrame:
+    """The matched members behind each term: ``library, term, id``."""
+    drawn = clean_ids(selected).join(clean_ids(background), "id", "left_semi")
+    return memberships.select("library", "term", F.trim("id").alias("id")).distinct().join(drawn, "id", "left_semi").select("library", "term", "id")
+
+
 def set_overlap(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     """Intersection, union, Jaccard (null on an empty union) of two id sets."""
     a = left.select(key).distinct().withColumn("_a", F.lit(1))

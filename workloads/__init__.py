@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("edges", "scenarios", "signed", "evidence")
+MODULES = ("edges", "scenarios", "signed", "evidence", "resilience")
 
 
 def load_all() -> None:

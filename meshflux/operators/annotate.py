@@ -82,6 +82,17 @@ FAMILY_RULES = (
 )
 
 
+def _contains_any(words: Sequence[str]):
+    """Test of one text for any of the words."""
+    def test(text):
+        out = F.lit(False)
+        for word in words:
+            out = out | text.contains(word)
+        return out
+
+    return test
+
+
 def all_labels(terms: Column | str, rules: Sequence[tuple[str, str]] = LOCATION_RULES, *, default: str = "Unknown") -> Column:
     """Every label whose keyword occurs in any term, sorted and joined by `` | ``."""
     t = F.col(terms) if isinstance(terms, str) else terms
@@ -91,10 +102,7 @@ def all_labels(terms: Column | str, rules: Sequence[tuple[str, str]] = LOCATION_
         keywords.setdefault(label, []).append(word)
     found = []
     for label in sorted(keywords):
-        seen = F.lit(False)
-        for word in keywords[label]:
-            seen = seen | F.exists(lowered, lambda x, w=word: x.contains(w))
-        found.append(F.when(seen, F.lit(label)))
+        found.append(F.when(F.exists(lowered, _contains_any(keywords[label])), F.lit(label)))
     joined = F.array_join(F.array_compact(F.array(*found)), " | ")
     return F.when(joined != "", joined).otherwise(default)
 

@@ -137,8 +137,8 @@ def pareto_layers(rows: DataFrame, objectives: Sequence[str], *, limit: int | No
         yield pd.DataFrame(best, columns=names)
 
     def against(group: pd.DataFrame) -> pd.DataFrame:
-        mine = group.loc[~group["other"], names].to_numpy(float)
-        theirs = group.loc[group["other"], names].to_numpy(float)
+        mine = group.loc[~group["_other"], names].to_numpy(float)
+        theirs = group.loc[group["_other"], names].to_numpy(float)
         kept = mine[_undominated(mine, theirs)] if len(mine) and len(theirs) else mine
         return pd.DataFrame(kept, columns=names)
 
@@ -146,11 +146,11 @@ def pareto_layers(rows: DataFrame, objectives: Sequence[str], *, limit: int | No
         some = lineage.cut(left.select(*names).mapInPandas(local, schema))
         size = some.count()
         blocks = max(1, math.ceil(size / block_rows))
-        placed_in = some.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"))
+        placed_in = some.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"))
         every = F.sequence(F.lit(0), F.lit(blocks - 1))
-        mine = placed_in.select(*names, F.col("block").alias("a"), F.explode(every).alias("b"), F.lit(False).alias("other"))
-        theirs = placed_in.select(*names, F.explode(every).alias("a"), F.col("block").alias("b"), F.lit(True).alias("other"))
-        won = mine.unionByName(theirs).groupBy("a", "b").applyInPandas(against, schema)
+        mine = placed_in.select(*names, F.col("_block").alias("_a"), F.explode(every).alias("_b"), F.lit(False).alias("_other"))
+        theirs = placed_in.select(*names, F.explode(every).alias("_a"), F.col("_block").alias("_b"), F.lit(True).alias("_other"))
+        won = mine.unionByName(theirs).groupBy("_a", "_b").applyInPandas(against, schema)
         front = lineage.cut(won.groupBy(*names).agg(F.count(F.lit(1)).alias("wins")).where(F.col("wins") == blocks).select(*names))
         part = front.withColumn("layer", F.lit(layer))
         layers = part if layers is None else layers.unionByName(part)

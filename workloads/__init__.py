@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("edges", "scenarios", "signed", "evidence", "resilience")
+MODULES = ("edges", "scenarios", "signed", "evidence", "resilience", "statistics", "lookups", "ingest")
 
 
 def load_all() -> None:

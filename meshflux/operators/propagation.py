@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from meshflux.session import Lineage, loop_lineage, shuffle_partitions
 from meshflux.settings import DAMPING
 
-BLOCK = 16
+BLOCK = 8
 ROUNDS_PER_CUT = 8
 HOT_DEGREE = 2_000_000
 ROWS_PER_PARTITION = 4_000_000

@@ -220,11 +220,12 @@ def knockout(edges: DataFrame, scores: DataFrame, *, top: int = 10, seed: int =
     random = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(top)
     removed = cut(best.select(F.concat(F.lit("hub:"), F.col("id")).alias("removal"), "id").unionByName(
         random.select(F.lit("random").alias("removal"), "id")))
-    names = removed.select("removal").distinct().unionByName(graph.sparkSession.createDataFrame([("none",)], "removal string"))
-    keyed = graph.join(F.broadcast(names))  # at most top + 2 names
+    names = ["none"] + [r[0] for r in removed.select("removal").distinct().orderBy("removal").collect()]
+    every = F.explode(F.array(*[F.lit(n) for n in names])).alias("removal")  # at most top + 2 names
+    keyed = graph.select("src", "dst", every)
     ends = [removed.select("removal", F.col("id").alias(e)) for e in ("src", "dst")]
     left = keyed.join(ends[0], ["removal", "src"], "left_anti").join(ends[1], ["removal", "dst"], "left_anti")
-    alive = nodes.join(F.broadcast(names)).join(removed, ["removal", "id"], "left_anti")
+    alive = nodes.select("id", every).join(removed, ["removal", "id"], "left_anti")
     sizes = cut(largest_component(components(left, vertices=alive, by=["removal"]), by=["removal"]))
     whole = sizes.where("removal = 'none'").select(F.col("largest").alias("whole"))
     return sizes.where("removal <> 'none'").join(F.broadcast(whole)).select(  # one row

@@ -247,13 +247,16 @@ def annotate_responses(
     """Directed context of every (target, response) pair; responses are never re-ranked."""
     lineage = Lineage(arcs.sparkSession)
     steps = lineage.cut(arcs.select("src", "dst", "status"))
-    goals = targets.select(F.col("id").alias("source")).distinct()
-    pairs = lineage.cut(goals.join(responses.select(F.col("id").alias("target")).distinct(), F.col("source") != F.col("target")))
+    # The targets of one call are a short list; each response row meets all of them.
+    names = [row["id"] for row in targets.select("id").distinct().orderBy("id").collect()]
+    every = F.explode(F.array(*[F.lit(name) for name in names])).alias("source")
+    pairs = lineage.cut(responses.select(F.col("id").alias("target")).distinct().select(every, "target").where("source <> target"))
     relation = lineage.cut(reachability(steps, pairs, max_depth=max_depth, core=core))
     linked = relation.where("down IS NOT NULL").select("source", "target")
     upward = relation.where("down IS NULL AND up IS NOT NULL").select(F.col("target").alias("source"), F.col("source").alias("target"))
     ahead = summarize_paths(bounded_paths(steps, linked, max_depth=max_depth))
-    behind = summarize_paths(bounded_paths(steps, upward, max_depth=max_depth)).withColumnsRenamed({"source": "target", "target": "source"})
+    behind = summarize_paths(bounded_paths(steps, upward, max_depth=max_depth))
+    behind = behind.select(F.col("target").alias("source"), F.col("source").alias("target"), *behind.columns[2:])
     paths = ahead.unionByName(behind)
     # Shared descendants: one semi-join per pair, never a list of all descendants.
     region = lineage.cut(hop_distances(steps, pairs.select("source").unionByName(pairs.select(F.col("target").alias("source"))).distinct(), max_depth=max_depth)

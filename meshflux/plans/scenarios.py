@@ -183,12 +183,12 @@ def degree_matched_draws(degrees: DataFrame, targets: Sequence[str], iterations:
 
 def _nearest_degree_draws(pool, lonely, iterations, seed):
     """Stand-ins for targets alone in their band, among the nodes of nearest degree."""
-    histogram = pool.select("degree").distinct()
-    nearest = (
-        lonely.join(histogram, F.lit(True)).groupBy("target")  # targets of one call x distinct degrees
-        .agg(F.min(F.struct(F.abs(F.col("degree") - F.col("wanted_degree")).alias("gap"), "degree")).alias("best"))
-        .select("target", F.col("best.degree").alias("degree"))
-    )
+    # Lonely targets are a handful; one aggregate over the pool finds all their degrees.
+    asked = lonely.collect()
+    found = pool.agg(*[
+        F.min_by("degree", F.struct(F.abs(F.col("degree") - F.lit(row["wanted_degree"])), "degree")).alias(f"d{k}") for k, row in enumerate(asked)]).first()
+    nearest = pool.sparkSession.createDataFrame(
+        [(row["target"], found[f"d{k}"]) for k, row in enumerate(asked) if found[f"d{k}"] is not None], "target string, degree bigint")
     numbered = row_numbers(pool.join(nearest.select("degree").distinct(), "degree", "left_semi").select("id", "degree"), ["id"], by=["degree"], name="place")
     numbered = cut(numbered)
     sizes = numbered.groupBy("degree").agg(F.count(F.lit(1)).alias("size"))
@@ -259,10 +259,9 @@ def additivity(observed: str, expected: str, tolerance: float):
 
 def scenario_arcs(arcs: DataFrame, scenarios: DataFrame, *, mode: str = "incident") -> DataFrame:
     """Arcs of every scenario with the baseline: ``scenario_id, src, dst, weight, distance``."""
-    names = scenarios.select("scenario_id").distinct().unionByName(
-        arcs.sparkSession.createDataFrame([(BASE,)], "scenario_id string"))
+    names = [BASE] + [r[0] for r in scenarios.select("scenario_id").distinct().orderBy("scenario_id").collect()]
     changed = overrides_for(arcs, scenarios, mode=mode).withColumnRenamed("weight", "new_weight")
-    every = arcs.select("src", "dst", "weight").join(F.broadcast(names))  # a handful of scenario names
+    every = arcs.select("src", "dst", "weight", F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario_id"))
     joined = every.join(changed, ["scenario_id", "src", "dst"], "left")
     weight = F.coalesce("new_weight", "weight")
     from meshflux.functions.measures import strength_to_distance

@@ -130,7 +130,7 @@ def truthy(value) -> Column:
 
 def items(value) -> Column:
     """Sorted distinct parts of a ``;`` or ``|`` separated string."""
-    parts = F.transform(F.split(F.coalesce(value, F.lit("")), r"[;|]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(value, F.lit("")), r"[;|]"), lambda p: F.trim(p))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 

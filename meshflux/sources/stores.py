@@ -31,7 +31,7 @@ def parse_diseases(payloads: DataFrame, *, column: str = "payload") -> tuple[Dat
         F.col("d.id").alias("disease_id"), F.col("d.name").alias("name"), ontology_id(F.col("d.id"), F.col("d.dbXRefs")).alias("ontology_id"),
         F.coalesce(F.transform("d.parents", lambda p: F.coalesce(p["name"], p["id"])), F.array().cast("array<string>")).alias("parents"))
     words = F.flatten(F.transform("d.synonyms", lambda s: s["terms"]))
-    synonyms = rows.select(F.col("d.id").alias("disease_id"), F.explode(F.array_distinct(F.transform(words, F.trim))).alias("synonym")).where("synonym <> ''")
+    synonyms = rows.select(F.col("d.id").alias("disease_id"), F.explode(F.array_distinct(F.transform(words, lambda w: F.trim(w)))).alias("synonym")).where("synonym <> ''")
     links = rows.select(F.col("d.id").alias("disease_id"), F.explode("d.associatedTargets.rows").alias("r")).select(
         "disease_id", F.col("r.target.id").alias("target_id"), F.col("r.target.approvedSymbol").alias("symbol"), F.col("r.score").alias("score"),
         F.map_from_entries(F.transform("r.datatypeScores", lambda s: F.struct(s["id"], s["score"]))).alias("evidence"))

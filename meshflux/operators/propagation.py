@@ -16,6 +16,7 @@ One round is one join and one aggregation::
   normalised solution of ``x = d P'x + v``; no global sum is needed in a round.
 * On symmetric arcs the rounds use the Chebyshev recurrence, which reaches 1e-12
   in about 50 rounds at damping 0.85 where plain iteration needs 170.
+* Ids become numbers for the loop, so a round hashes, compares and shuffles longs.
 * Arcs are cached, partitioned and sorted by ``src``. A node with very many arcs
   is split over salted partitions and its state row is copied to each of them.
 """
@@ -99,31 +100,46 @@ def pagerank(
     ids = arcs.select(F.explode(F.array("src", "dst")).alias("id"))
     if vertices is not None:
         ids = ids.unionByName(vertices.select("id"))
-    nodes = lineage.cut(ids.distinct())
+    # Inside the loop a node is a number: rounds join, group and shuffle longs.
+    names = lineage.cut(ids.distinct().withColumn("number", F.monotonically_increasing_id()))
+    arcs = lineage.cut(_numbered(arcs, names, "src", "dst"))
+    nodes = lineage.cut(names.select(F.col("number").alias("id")))
     shape = _shape(arcs, nodes, restart)
-    touched = lineage.cut(overrides.select("scenario_id", "src", "dst", "weight")) if overrides is not None else None
-    seeds = lineage.cut(restart.select("id", "mass")) if restart is not None else None
     loop = loop_lineage(spark)
+    touched = seeds = None
+    if overrides is not None:
+        own = overrides.select("scenario_id", "src", "dst", "weight")
+        touched = loop.read(lineage.cut(_numbered(own, names, "src", "dst")))
+    if restart is not None:
+        seeds = loop.read(lineage.cut(_numbered(restart.select("id", "mass"), names, "id")))
     arcs, nodes = loop.read(arcs), loop.read(nodes)
-    touched = loop.read(touched) if touched is not None else None
-    seeds = loop.read(seeds) if seeds is not None else None
     result = None
     for start in range(0, len(scenarios), BLOCK):
         block = scenarios[start:start + BLOCK]
         state = _solve_block(loop, arcs, nodes, shape, block, touched, seeds, symmetric, tolerance, max_rounds)
-        part = _long_form(lineage.read(state), block)
+        part = _long_form(lineage.read(state), names, block)
         result = part if result is None else result.unionByName(part)
     return result
 
 
-def _long_form(state: DataFrame, block: Sequence[Scenario]) -> DataFrame:
+def _numbered(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """The rows with ids replaced by node numbers."""
+    order = rows.columns
+    for column in columns:
+        look = names.select(F.col("id").alias(column), F.col("number").alias("_number"))
+        rows = rows.join(look, column).drop(column).withColumnRenamed("_number", column)
+    return rows.select(order)
+
+
+def _long_form(state: DataFrame, names: DataFrame, block: Sequence[Scenario]) -> DataFrame:
     """Normalised ranks, one row per scenario and node."""
     totals = state.agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(len(block))]).first()
     pairs = F.array(*[
         F.struct(F.lit(s.scenario_id).alias("scenario_id"), (F.col(f"x{i}") / F.lit(totals[f"x{i}"])).alias("pagerank"))
         for i, s in enumerate(block)
     ])
-    return state.select("id", F.explode(pairs).alias("_r")).select("_r.scenario_id", "id", "_r.pagerank")
+    named = state.withColumnRenamed("id", "number").join(names, "number")
+    return named.select("id", F.explode(pairs).alias("_r")).select("_r.scenario_id", "id", "_r.pagerank")
 
 
 def _shape(arcs: DataFrame, nodes: DataFrame, restart: DataFrame | None) -> dict:

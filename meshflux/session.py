@@ -91,6 +91,13 @@ class Lineage:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all cut tables of this application; results that read them are gone too."""
+    root = Lineage(spark).root
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def loop_lineage(spark: SparkSession) -> Lineage:
     """A sibling session for loops over co-partitioned, cached tables.
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshflux.functions.inference import correlations
 from meshflux.functions.measures import normal_tail
 
 from meshflux.operators.centrality import betweenness
-from meshflux.operators.edges import degree_summary, simplify
+from meshflux.operators.edges import simplify
 from meshflux.operators.propagation import Scenario, pagerank, symmetric_arcs
 from meshflux.operators.scores import importance
 from meshflux.operators.traversal import components, largest_component, vertices_of

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshflux.functions import measures as m
-from meshflux.functions import ordering as o
 from meshflux.operators import edges as e
 from meshflux.operators.propagation import symmetric_arcs
 from meshflux.sources import tables as s

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from meshflux.functions import measures as m
 from meshflux.operators import audits as au
 from meshflux.operators import evidence as ev
-from meshflux.operators.propagation import symmetric_arcs
 from meshflux.session import cut
 from workloads import inputs as i
 from workloads.registry import workload

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshflux.session import checkpoint_root, cut
+from meshflux.session import checkpoint_root
 from meshflux.sources import ingest as ig
 from meshflux.sources import stores as st
 from workloads import evidence as ev

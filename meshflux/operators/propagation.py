@@ -37,6 +37,7 @@ BLOCK = 8
 ROUNDS_PER_CUT = 8
 HOT_DEGREE = 2_000_000
 ROWS_PER_PARTITION = 4_000_000
+FEWEST_ROWS_PER_PARTITION = 10_000
 
 
 @dataclass(frozen=True)
@@ -106,6 +107,8 @@ def pagerank(
     nodes = lineage.cut(names.select(F.col("number").alias("id")))
     shape = _shape(arcs, nodes, restart)
     loop = loop_lineage(spark)
+    # Rounds group into as many partitions as the arcs have, so that the next join needs no shuffle.
+    loop.spark.conf.set("spark.sql.shuffle.partitions", str(_partitions(shape, shuffle_partitions(spark))))
     touched = seeds = None
     if overrides is not None:
         own = overrides.select("scenario_id", "src", "dst", "weight")
@@ -151,6 +154,12 @@ def _shape(arcs: DataFrame, nodes: DataFrame, restart: DataFrame | None) -> dict
     return {"nodes": nodes.count(), "arcs": row["arcs"] or 0, "hottest": row["hottest"] or 0, "mass": mass}
 
 
+def _partitions(shape: dict, configured: int) -> int:
+    """The configured number, fewer for a small graph, more for one that would overfill them."""
+    rows = shape["arcs"] + shape["nodes"]
+    return max(math.ceil(rows / ROWS_PER_PARTITION), min(configured, math.ceil(rows / FEWEST_ROWS_PER_PARTITION)), 1)
+
+
 def _solve_block(lineage, arcs, nodes, shape, block, overrides, restart, accelerated, tolerance, max_rounds):
     width = range(len(block))
     names = [s.scenario_id for s in block]
@@ -217,7 +226,6 @@ def _copies(salted: bool) -> Column:
 def _lay_out(spark, arcs, statics, shape, columns):
     """Arcs plus one self row per node, partitioned and sorted for the join."""
     salted = shape["hottest"] > HOT_DEGREE
-    parts = max(shuffle_partitions(spark), math.ceil((shape["arcs"] + shape["nodes"]) / ROWS_PER_PARTITION))
     own = arcs.select("src", "dst", "weight", "own", F.lit(False).alias("self"))
     if salted:
         hot = statics.select(F.col("id").alias("src"), _copies(True)).where("splits > 1")
@@ -233,7 +241,7 @@ def _lay_out(spark, arcs, statics, shape, columns):
     )
     flow = own.unionByName(selves, allowMissingColumns=True)
     keys = ["src", "salt"] if salted else ["src"]
-    return flow.repartition(parts, *keys).sortWithinPartitions(*keys), salted
+    return flow.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys), salted
 
 
 def _rounds_sql(count, block, columns, accelerated, *, starts, salted) -> str:

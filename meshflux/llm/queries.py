@@ -7,7 +7,9 @@ from importlib import import_module
 #: Query name and the module that has it as ``query``, with ``SQL`` where SQL can express it.
 MODULES = {
     "op5_exact_dedup": "exact_dedup",
+    "op4_mixing": "mixing",
     "op8_simhash": "simhash",
+    "op9_sharding": "sharding",
 }
 
 QUERIES = {}

@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op5_exact_dedup": "exact_dedup",
     "op4_mixing": "mixing",
+    "op6_decontaminate": "decontaminate",
     "op8_simhash": "simhash",
     "op9_sharding": "sharding",
 }

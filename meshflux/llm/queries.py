@@ -7,9 +7,11 @@ from importlib import import_module
 #: Query name and the module that has it as ``query``, with ``SQL`` where SQL can express it.
 MODULES = {
     "op5_exact_dedup": "exact_dedup",
+    "op2_token_counts": "token_files",
     "op3_license_scan": "license_scan",
     "op4_mixing": "mixing",
     "op6_decontaminate": "decontaminate",
+    "op7_sequence_files": "sequence_files",
     "op8_simhash": "simhash",
     "op9_sharding": "sharding",
 }

@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name and the module that has it as ``query``, with ``SQL`` where SQL can express it.
 MODULES = {
     "op5_exact_dedup": "exact_dedup",
+    "op1_toxicity": "toxicity",
     "op2_token_counts": "token_files",
     "op3_license_scan": "license_scan",
     "op4_mixing": "mixing",

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import Lineage, shuffle_partitions
+from meshflux.llm.common import Lineage, shuffle_partitions, text_buffers, whole_text
 from meshflux.llm.linking import components
 
 BITS = 64
@@ -50,10 +50,11 @@ def fingerprints(rows: DataFrame, key: str, text: str, shingle: int = 4) -> Data
     """(key, fp) of every row; key and text are columns, a null text is empty."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_buffer().to_pybytes().lower() if t.is_valid else b"", shingle) for t in batch.column(1)]
+            data, marks = text_buffers(batch.column(1))
+            found = [fingerprint(data[a:b].tobytes().lower(), shingle) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[key, "fp"])
 
-    narrow = rows.select(key, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
+    narrow = rows.select(key, whole_text(text).alias("text"))
     kind = rows.schema[key].dataType.simpleString()
     return narrow.mapInArrow(score, f"{key} {kind}, fp long")
 

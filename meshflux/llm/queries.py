@@ -15,6 +15,7 @@ MODULES = {
     "op7_sequence_files": "sequence_files",
     "op8_simhash": "simhash",
     "op9_sharding": "sharding",
+    "op10_kneser_ney": "kneser_ney",
 }
 
 QUERIES = {}

@@ -7,12 +7,12 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshflux.session import Lineage, shuffle_partitions
 
-__all__ = ["Lineage", "attach", "ascii_lower", "file_system", "hash_words", "new_folder", "shuffle_partitions", "text_buffers", "whole_text", "word_starts"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -36,6 +36,33 @@ def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     return rows.join(F.broadcast(small) if fits else small, on, how)
 
 
+def fresh(used: list[str], name: str) -> str:
+    """``name``, lengthened until no column in ``used`` has it."""
+    while name.lower() in {c.lower() for c in used}:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a string key of each row, its file and place in it, and the name of the key.
+
+    Rows that are not read from files directly are written first, so that a
+    repeated task finds the same keys.
+    """
+    name = fresh(docs.columns, "row_key")
+    try:
+        place = docs.metadataColumn("_metadata")
+        found = docs.select("*", F.concat_ws(":", F.hex(F.xxhash64(place["file_path"])), place["row_index"].cast("string")).alias(name))
+        found.schema  # resolves the columns
+    except AnalysisException:
+        return keyed(Lineage(docs.sparkSession).cut(docs))
+    return found, name
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{Lineage(spark).root}/{kind}-{uuid.uuid4().hex}"
@@ -98,13 +125,8 @@ def fold_table(pairs: dict[int, int] | None = None) -> np.ndarray:
 FOLD = fold_table()
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """Where words start; a new text always starts a new word."""
-    return hash_words(data, offsets, member, only_starts=True)[0]
-
-
 def hash_words(
-    data: np.ndarray, offsets: np.ndarray, member: np.ndarray = ALNUM, fold: np.ndarray = FOLD, only_starts: bool = False
+    data: np.ndarray, offsets: np.ndarray, member: np.ndarray = ALNUM, fold: np.ndarray = FOLD
 ) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of every word of the texts in ``data``.
 
@@ -125,10 +147,6 @@ def hash_words(
         first[1:] &= ~inside[:-1]
         marks = offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high)] - low
         first[marks] = inside[marks]
-        if only_starts:
-            starts.append(np.flatnonzero(first) + low)
-            low = high
-            continue
         at = np.flatnonzero(inside)
         if len(at):
             heads = np.flatnonzero(first[at])

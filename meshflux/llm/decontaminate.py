@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import Lineage, find_sorted, hash_words, text_buffers, whole_text
+from meshflux.llm.common import Lineage, fresh, hash_words, text_buffers, whole_text
 
 #: Words that a seed spans. The ignored positions of the 13 seeds are the lines of the projective plane of order 3, so
 #: any two positions are ignored together by one seed: two substitutions in a window of 13 words never hide a hit.
@@ -21,6 +22,8 @@ LEAST_WORDS, LEAST_SHARE = 13, 0.8
 LEAST_ITEM = 5
 #: Windows of the benchmark that are searched in one pass over the documents: the index of a pass has 13 hashes each.
 WINDOWS_PER_PASS = 200_000
+#: Characters of a word and what follows it, at least: for the number of passes.
+CHARS_PER_WORD = 2
 
 _POSITION = np.random.Generator(np.random.PCG64(13)).integers(1, 1 << 63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BITMAP_BITS = 23
@@ -151,26 +154,48 @@ def overlaps(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, keys: l
     Columns: keys, item_id, doc_start, doc_stop, item_start (words), common,
     item_words, coverage (words in common of the item's words).
     """
-    lineage = Lineage(spark)
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"{kinds}, item_id {item_kind}, doc_start int, doc_stop int, item_start int, common int, item_words int, coverage double"
     narrow = rows.select(*keys, F.lower(whole_text()).alias("text"))
-    sized = lineage.cut(benchmark.select("item_id", F.lower(whole_text()).alias("text")).withColumn("n", F.length("text") / 2))
-    # A pass holds items of so many windows at most on average; they reach the driver one pass at a time.
-    passes = max(1, int((sized.agg(F.sum("n")).first()[0] or 0) // WINDOWS_PER_PASS) + 1)
-    sized = sized.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
-
     found = None
-    for k in range(passes):
-        items = [(r.item_id, r.text) for r in sized.where(F.col("pass") == k).orderBy("item_id", "text").toLocalIterator()]
-        index = spark.sparkContext.broadcast(Index(items))
+    for index in _indexes(spark, benchmark):
         one = narrow.mapInArrow(_reader(index, keys, schema), schema)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _reader(index, keys: list[str], schema: str):
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text overlaps a benchmark item, as ``overlaps`` finds them; all columns go through."""
+    schema = docs.schema
+    name = fresh(docs.columns, "searched")
+    for index in _indexes(spark, benchmark):
+        docs = docs.withColumn(name, F.lower(whole_text(text))).mapInArrow(_sieve(index), schema)
+    return docs
+
+
+def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """Indexes of the benchmark, each of a bounded number of windows; its items reach the driver one index at a time."""
+    sized = Lineage(spark).cut(benchmark.select("item_id", F.lower(whole_text()).alias("text")))
+    passes = int((sized.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_PER_WORD // WINDOWS_PER_PASS) + 1
+    sized = sized.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
+    for k in range(passes):
+        items = [(r.item_id, r.text) for r in sized.where(F.col("pass") == k).orderBy("item_id", "text").toLocalIterator()]
+        yield spark.sparkContext.broadcast(Index(items))
+
+
+def _sieve(index: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = index.value
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            kept[[row for row, *_ in _search(table, *text_buffers(batch.columns[-1]))]] = False
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(kept))
+
+    return run
+
+
+def _reader(index: Broadcast, keys: list[str], schema: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = index.value
         for batch in batches:

@@ -101,7 +101,8 @@ def source_key(source: Column) -> Column:
 
 
 def mix(
-    spark: SparkSession, rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED
+    spark: SparkSession, rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each row of ``rows`` (doc_id, text, source) a mix takes.
 
@@ -120,11 +121,12 @@ def mix(
     a source of its own. Rows that repeat count each. An empty table gives an
     empty result. Other columns are ignored.
 
-    Columns: doc_id, size, source, source_size, target, taken, digest (of text).
+    Columns: keys, doc_id, size, source, source_size, target, taken, shard (key
+    of the source and number), place (the seeded order in it).
     """
     lineage = Lineage(spark)
     sized = lineage.cut(rows.select(
-        "doc_id", "source", source_key(F.col("source")).alias("key"), F.xxhash64(whole_text()).alias("digest"),
+        *keys, "doc_id", "source", source_key(F.col("source")).alias("key"), F.xxhash64(whole_text()).alias("digest"),
         F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"))
         .withColumn("place", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("digest"))))
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -161,9 +163,33 @@ def mix(
             F.pmod(b * step + turn, blocks) < rest,
             F.least(F.col("stop"), (b + 1) * block) - F.greatest(start, b * block)).otherwise(0).cast("long"))
     taken = F.when(F.col("size") > 0, F.floor(F.col("quota") / blocks) * F.col("size") + chosen).otherwise(0).cast("long")
-    return laid.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "digest")
+    return laid.select(
+        *keys, "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.struct("key", "shard").alias("shard"), "place", "digest")
+
+
+def copies(spark: SparkSession, rows: DataFrame, key: str, **options) -> DataFrame:
+    """(key, copies): how often a mix of whole rows takes each row of ``rows`` (key, doc_id, text, source).
+
+    Along the seeded order of a shard, a row taken in part is rounded to the
+    side that brings the words emitted so far nearer to the words taken so far.
+    A shard has a bounded number of rows on average.
+    """
+    def settle(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values(["place", key], kind="stable")
+        behind, out = 0, []
+        for size, taken in zip(shard["size"].tolist(), shard["taken"].tolist(), strict=True):
+            n = taken // size if size else 0
+            behind += taken - n * size
+            if size and taken % size and 2 * behind >= size:
+                n, behind = n + 1, behind - size
+            out.append(n)
+        return pd.DataFrame({key: shard[key], "copies": out})
+
+    laid = mix(spark, rows, keys=(key,), **options)
+    kind = rows.schema[key].dataType.simpleString()
+    return laid.select(key, "shard", "place", "size", "taken").groupBy("shard").applyInPandas(settle, f"{key} {kind}, copies int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return mix(spark, docs).drop("source", "digest")
+    return mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import Lineage, shuffle_partitions, text_buffers, whole_text
+from meshflux.llm.common import Lineage, attach, keyed, quoted, shuffle_partitions, text_buffers, whole_text
 from meshflux.llm.linking import components
 
 BITS = 64
 SEED = 42
 #: Shingle hashes that are unpacked into bits at a time.
 _BLOCK = 1 << 14
-#: Members of one bucket that are compared all with all without a traversal.
-_SMALL = 16
+#: Members of one bucket that are compared at fixed steps, and in one matrix; more are traversed.
+_SMALL, _MEDIUM = 16, 512
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -109,7 +110,14 @@ def _links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray
         left.append(v[:-step][near])
         right.append(v[step:][near])
     for h, n in zip(heads[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        for a, b in _bucket_links(fps[h : h + n], distance):
+        members = fps[h : h + n]
+        if n <= _MEDIUM:
+            a, b = np.nonzero(np.triu(np.bitwise_count(members[:, None] ^ members) <= distance, 1))
+            if len(a) <= 2 * n:
+                left.append(members[a])
+                right.append(members[b])
+                continue
+        for a, b in _bucket_links(members, distance):
             left.append(a)
             right.append(b)
     none = np.zeros(0, np.uint64)
@@ -175,6 +183,66 @@ def node_classes(lineage: Lineage, nodes: DataFrame, distance: int) -> DataFrame
     return rooted.join(smallest, "root").select("fp", "component_id")
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: int = 7, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the smallest doc_id (null last), of repeated rows any one.
+
+    Texts that agree in their words (A-Z lower-cased) are one node. Candidates
+    are nodes of one fingerprint and linked fingerprints; a candidate counts if
+    the sets of ``shingle``-word runs have a Jaccard similarity of
+    ``similarity`` or more, so no text is dropped for its fingerprint alone.
+    Texts without words, null ones too, are one node. All columns go through;
+    an empty table gives an empty result.
+    """
+    lineage = Lineage(spark)
+    rows, key = keyed(docs)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, marks = text_buffers(batch.column(2))
+            nodes, fps = [], []
+            for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+                text = data[a:b].tobytes().lower()
+                nodes.append(hashlib.sha256(b" ".join(text.split())).digest())
+                fps.append(fingerprint(text, shingle))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(fps, pa.int64())], names=["row", "doc_id", "node", "fp"])
+
+    narrow = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    found = lineage.cut(narrow.mapInArrow(describe, "row string, doc_id long, node binary, fp long"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "row")
+    nodes = lineage.cut(found.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp")))
+    heads = lineage.cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    near = links(heads.select("fp"), distance)
+    same = nodes.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    pairs = lineage.cut(near.unionByName(same))
+
+    # Shingles of the texts that are in a pair.
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    members = lineage.cut(nodes.join(paired, "node", "left_semi").select(F.col("first.row").alias("row"), "node"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, marks = text_buffers(batch.column(1))
+            sets = [shingle_set(data[a:b].tobytes().lower(), shingle).view(np.int64) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    texts = attach(narrow.select("row", "text"), members, ["row"]).select("node", "text")
+    sets = lineage.cut(texts.mapInArrow(shingles, "node binary, set array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    alike = both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    roots = components(lineage, lineage.cut(alike))
+    placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    dropped = lineage.cut(found.select("row").join(kept, "row", "left_anti"))
+    return attach(rows, dropped.withColumnRenamed("row", key), [key], "left_anti").select(*quoted(docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

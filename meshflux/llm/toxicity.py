@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshflux.llm.common import ALNUM, FOLD, Lineage, ascii_lower, byte_class, find_sorted, fold_table, hash_of, hash_words, text_buffers, whole_text
+from meshflux.llm.common import ALNUM, FOLD, Lineage, ascii_lower, byte_class, find_sorted, fold_table, fresh, hash_of, hash_words, quoted, text_buffers, whole_text
 
 #: Labelled rows that the lexicon, the trees and the calibration learn from, about: a seeded hash keeps the share that
 #: gives this many. Scoring covers all rows.
@@ -134,18 +134,12 @@ class Model:
         if self.trees is None:
             return rows.withColumn(name, F.lit(self.prior))
         used = [*rows.columns, name]
-        vector, margin, out = (_fresh(used, x) for x in ("vector", "margin", "calibrated"))
+        vector, margin, out = (fresh(used, x) for x in ("vector", "margin", "calibrated"))
         trees = self.trees.setFeaturesCol(vector).setRawPredictionCol(margin).setProbabilityCol("").setPredictionCol("")
         found = trees.transform(features(rows, text, self.lexicon, vector).withColumn(vector, array_to_vector(vector)))
         found = found.withColumn(margin, vector_to_array(margin)[1])
         found = self.calibration.setFeaturesCol(margin).setPredictionCol(out).transform(found)
-        return found.select(*[f"`{c}`" for c in rows.columns], F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(out))).alias(name))
-
-
-def _fresh(used: list[str], name: str) -> str:
-    while name.lower() in {c.lower() for c in used}:
-        name += "_"
-    return name
+        return found.select(*quoted(rows.columns), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(out))).alias(name))
 
 
 def for_learning(doc_id: Column) -> Column:

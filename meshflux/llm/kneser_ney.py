@@ -31,7 +31,7 @@ PLAIN_DISCOUNTS = (0.5, 1.0, 1.5)
 
 def _planes(numbers: np.ndarray) -> bytes:
     """The bytes of numbers, first bytes first: sorted differences become runs of zeros."""
-    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:

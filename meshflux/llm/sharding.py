@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from meshflux.llm.common import Lineage, attach, whole_text
 
-#: Groups that one task differences; their sums are then one partial partition of the next level.
+#: Groups that one task differences; the sums of its parts are groups of the next level.
 GROUPS_PER_BUCKET = 2048
-#: Partial partitions that one task combines on the levels above.
-FAN_IN = 512
+#: Groups that the last task may difference, besides those that every level hands to it at once: groups larger than one in
+#: HEAVY of all bytes (no more than HEAVY, then) and about FINE others, whose smaller sizes level what larger ones leave.
+ROOT, HEAVY, FINE = 4096, 2048, 1024
 #: Rows that are numbered together.
 ROWS_PER_CHUNK = 65_536
 
@@ -22,8 +23,8 @@ ROWS_PER_CHUNK = 65_536
 def difference(parts: np.ndarray) -> np.ndarray:
     """Where each part of each partial partition goes.
 
-    ``parts`` holds one partial partition a row, k sums each. The two with the
-    largest spread are combined again and again, the largest sum of one with
+    ``parts`` holds one partial partition a row, k sums each, a single group
+    being one sum and zeros. The two with the largest spread are combined again and again, the largest sum of one with
     the smallest of the other. Ties go by row number, so the result is fixed.
     Returns an array of the same shape: the final part of every given part.
     """
@@ -61,56 +62,53 @@ def difference(parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_level(shards: int):
+def _part(shards: int, level: int):
+    """Parts of the groups (name, bytes) of one bucket."""
     def run(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values(["bytes", "digest"], ascending=[False, True], kind="stable")
+        groups = groups.sort_values(["bytes", "name"], ascending=[False, True], kind="stable")
         parts = np.zeros((len(groups), shards), np.int64)
         parts[:, 0] = groups["bytes"]
-        return pd.DataFrame({"digest": groups["digest"], "bucket": groups["bucket"], "part": difference(parts)[:, 0], "bytes": groups["bytes"]})
+        part = difference(parts)[:, 0]
+        up = [f"{level}:{b}:{p}" for b, p in zip(groups["bucket"].tolist(), part.tolist(), strict=True)]
+        return pd.DataFrame({"name": groups["name"], "bytes": groups["bytes"], "part": part, "up": up})
 
     return run
 
 
-def _next_level(buckets: pd.DataFrame) -> pd.DataFrame:
-    buckets = buckets.sort_values("bucket")
-    turn = difference(np.array(buckets["sums"].tolist(), np.int64))
-    return pd.DataFrame({"bucket": buckets["bucket"], "above": buckets["above"], "turn": turn.tolist()})
-
-
-def _sums(shards: int) -> Column:
-    return F.array(*[F.sum(F.when(F.col("part") == k, F.col("bytes")).otherwise(0)) for k in range(shards)])
+def _level(groups: DataFrame, buckets: int, shards: int, level: int) -> DataFrame:
+    """(name, bytes, part, up): groups dealt into buckets, each differenced; up names the bucket's part, a group of the next level."""
+    dealt = groups.select("name", "bytes", F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInPandas(_part(shards, level), "name string, bytes long, part int, up string")
 
 
 def balance(groups: DataFrame, shards: int, lineage: Lineage) -> DataFrame:
     """(digest, shard) for groups (digest, bytes).
 
-    Differencing on buckets of about 2,048 groups, then on the partial
-    partitions that come out, level by level, until one is left. A task sees
-    one bucket; the part of a group follows from the turns on the way up.
+    Groups are differenced in buckets of about 2,048; the sums of the parts of a
+    bucket are groups again, level by level, until one task can take them. As
+    differencing needs large and small groups together, the few large ones and
+    a bounded number of each level's small ones wait for that last task. A task
+    sees one bucket.
     """
-    n = groups.count()
-    buckets = max(1, -(-n // GROUPS_PER_BUCKET))
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-    parts = lineage.cut(dealt.groupBy("bucket").applyInPandas(_first_level(shards), "digest binary, bucket long, part long, bytes long"))
-    placed = parts.select("digest", "bucket", F.col("part").cast("int").alias("shard"))
-    level = parts.groupBy("bucket").agg(_sums(shards).alias("sums"))
-    ways = None  # bucket of the first level -> its bucket so far (at) and where its parts are by now (way)
-    while buckets > 1:
-        buckets = -(-buckets // FAN_IN)
-        level = lineage.cut(level.withColumn("above", F.floor(F.col("bucket") / FAN_IN).cast("long")))
-        turns = lineage.cut(level.groupBy("above").applyInPandas(_next_level, "bucket long, above long, turn array<long>"))
-        if ways is None:
-            ways = turns.select("bucket", F.col("above").alias("at"), F.col("turn").alias("way"))
-        else:
-            ways = ways.join(turns.select(F.col("bucket").alias("at"), "above", "turn"), "at").select(
-                "bucket", F.col("above").alias("at"), F.transform("way", lambda p: F.get("turn", p.cast("int"))).alias("way"))
-        ways = lineage.cut(ways)
-        spread = level.join(turns.select("bucket", "turn"), "bucket").select("above", F.posexplode(F.arrays_zip("sums", "turn")).alias("p", "z"))
-        spread = spread.select(F.col("above").alias("bucket"), F.col("z.turn").alias("part"), F.col("z.sums").alias("bytes"))
-        level = spread.groupBy("bucket").agg(_sums(shards).alias("sums"))
-    if ways is not None:
-        placed = attach(placed, ways.select("bucket", "way"), ["bucket"]).withColumn("shard", F.get("way", F.col("shard")).cast("int"))
-    return placed.select("digest", "shard")
+    if not 1 <= shards <= ROOT // 16:
+        raise ValueError(f"shards must be 1 to {ROOT // 16}")
+    many, total = groups.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    rest = groups.select(F.hex("digest").alias("name"), "bytes")
+    last, ways = [], []
+    while many > ROOT:
+        waits = (F.col("bytes") * HEAVY >= total) | (F.pmod(F.xxhash64(F.lit(1), "name"), F.lit(-(-many // FINE))) == 0)
+        last.append(rest.where(waits))
+        buckets = max(-(-many // GROUPS_PER_BUCKET), ROOT // (2 * shards))  # the last task needs many small parts
+        ways.append(lineage.cut(_level(rest.where(~waits), buckets, shards, len(ways) + 1)))
+        rest = ways[-1].groupBy(F.col("up").alias("name")).agg(F.sum("bytes").alias("bytes"))
+        many = buckets * shards
+    for some in last:
+        rest = rest.unionByName(some)
+    shard_of = lineage.cut(_level(rest, 1, shards, 0).select("name", F.col("part").alias("shard")))
+    for way in reversed(ways):
+        found = attach(way.select(F.col("name").alias("own"), F.col("up").alias("name")), shard_of, ["name"])
+        shard_of = lineage.cut(shard_of.unionByName(found.select(F.col("own").alias("name"), "shard")))
+    return shard_of.where(~F.col("name").contains(":")).select(F.unhex("name").alias("digest"), "shard")
 
 
 def number(rows: DataFrame, by: str, order: list[str], spread: Column, lineage: Lineage) -> DataFrame:

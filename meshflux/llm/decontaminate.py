@@ -22,6 +22,8 @@ LEAST_WORDS, LEAST_SHARE = 13, 0.8
 LEAST_ITEM = 5
 #: Windows of the benchmark that are searched in one pass over the documents: the index of a pass has 13 hashes each.
 WINDOWS_PER_PASS = 200_000
+#: Windows of the documents that are hashed at a time.
+WINDOWS_AT_ONCE = 1 << 16
 #: Characters of a word and what follows it, at least: for the number of passes.
 CHARS_PER_WORD = 2
 
@@ -85,24 +87,25 @@ class Index:
         """Distinct (item, diagonal) of the hash hits of a run of documents' words; a window does not cross ``ends``."""
         found = []
         for span in self.spans:
-            for _, h in seed_hashes(words, span):
-                at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - _BITMAP_BITS)])
-                if not len(at):
-                    continue
-                left = np.searchsorted(self.key, h[at])
-                counts = np.searchsorted(self.key, h[at], side="right") - left
-                at, left, counts = at[counts > 0], left[counts > 0], counts[counts > 0]
-                # A window must end within its document.
-                inside = np.searchsorted(ends, at, side="right") == np.searchsorted(ends, at + span - 1, side="right")
-                at, left, counts = at[inside], left[inside], counts[inside]
-                if not len(at):
-                    continue
-                entry = np.repeat(left - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                start = np.repeat(at, counts)
-                document = np.searchsorted(ends, start, side="right")
-                found.append(np.stack([document, self.owner[entry], start - self.place[entry]], axis=1))
+            for low in range(0, max(0, len(words) - span + 1), WINDOWS_AT_ONCE):
+                for _, h in seed_hashes(words[low : low + WINDOWS_AT_ONCE + span - 1], span):
+                    at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - _BITMAP_BITS)])
+                    if len(at):
+                        found.append(self._matches(h[at], at + low, span, ends))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def _matches(self, hashes: np.ndarray, at: np.ndarray, span: int, ends: np.ndarray) -> np.ndarray:
+        """(document, item, diagonal) of windows at ``at`` whose hashes are in the index."""
+        left = np.searchsorted(self.key, hashes)
+        counts = np.searchsorted(self.key, hashes, side="right") - left
+        document = np.searchsorted(ends, at, side="right")
+        # A window must end within its document.
+        here = np.flatnonzero((counts > 0) & (document == np.searchsorted(ends, at + span - 1, side="right")))
+        at, left, counts, document = at[here], left[here], counts[here], document[here]
+        before = np.cumsum(counts) - counts
+        entry = np.repeat(left - before, counts) + np.arange(counts.sum())
+        return np.stack([np.repeat(document, counts), self.owner[entry], np.repeat(at, counts) - self.place[entry]], axis=1)
+
 
 def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
     """(start, stop, equal words) of the stretch with the most equal words whose share of them is high enough.

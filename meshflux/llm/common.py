@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,15 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, marks - marks[0]
 
 
+def text_slices(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about ``most`` bytes: the number of the first text, bytes, offsets."""
+    low = 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1)
+        yield low, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        low = high
+
+
 _PIECE = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,6 +135,32 @@ def fold_table(pairs: dict[int, int] | None = None) -> np.ndarray:
 FOLD = fold_table()
 
 
+def hash_runs(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes: from one start to the next, the last to the end."""
+    global _POWERS
+    ends = np.append(starts[1:], len(data))
+    out = np.zeros(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _PIECE, side="right")))
+        sizes = ends[low:high] - starts[low:high]
+        if (longest := int(sizes.max())) > len(_POWERS):
+            _POWERS = _powers(longest)
+        heads = starts[low:high] - starts[low]
+        place = np.arange(int(sizes.sum())) - np.repeat(heads, sizes)
+        h = np.add.reduceat(_BYTE_VALUES[data[starts[low] : ends[high - 1]]] * _POWERS[place], heads)
+        out[low:high] = mixed(h + sizes.astype(np.uint64))
+        low = high
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose every bit depends on all bits."""
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def hash_words(
     data: np.ndarray, offsets: np.ndarray, member: np.ndarray = ALNUM, fold: np.ndarray = FOLD
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -155,11 +191,8 @@ def hash_words(
                 _POWERS = _powers(longest)
             place = np.arange(len(at)) - np.repeat(heads, lengths)
             h = np.add.reduceat(values[piece[at]] * _POWERS[place], heads)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
             starts.append(at[heads] + low)
-            hashes.append(h)
+            hashes.append(mixed(h))
         low = high
     found = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     return found.astype(np.int64), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import FOLD, SOLID, Lineage, file_system, find_sorted, hash_words, new_folder, shuffle_partitions, text_buffers, whole_text
+from meshflux.llm.common import FOLD, SOLID, Lineage, file_system, find_sorted, hash_words, new_folder, shuffle_partitions, text_buffers, text_slices, whole_text
 
 #: Hash of the end token; words are hashed from their bytes.
 END = np.uint64(0xE19D6A3B5C0F4287)
@@ -190,15 +190,6 @@ def _text_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tokens, stops
 
 
-def _slices(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about ``most`` bytes: the first text, bytes, offsets."""
-    low = 0
-    while low < len(offsets) - 1:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1)
-        yield low, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        low = high
-
-
 def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     parts, payloads = zip(*rows, strict=True) if rows else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(payloads, pa.binary())], names=["part", "payload"])
@@ -214,7 +205,7 @@ def _count_words(texts: DataFrame, bits: int) -> DataFrame:
             return _blobs(list(_by_part(parts.astype(np.int64), keys, counts)))
 
         for batch in batches:
-            for _, data, offsets in _slices(*text_buffers(batch.column(0)), SCORED * 4):
+            for _, data, offsets in text_slices(*text_buffers(batch.column(0)), SCORED * 4):
                 held.append(_text_tokens(data, offsets)[0])
                 size += len(held[-1])
                 if size >= GATHERED:
@@ -292,7 +283,7 @@ def learn(spark: SparkSession, texts: DataFrame) -> Model:
             return _blobs(list(_by_part(parts, keys, counts)))
 
         for batch in batches:
-            for _, data, offsets in _slices(*text_buffers(batch.column(0)), SCORED * 4):
+            for _, data, offsets in text_slices(*text_buffers(batch.column(0)), SCORED * 4):
                 held.append(_bigrams(shared.value, data, offsets))
                 size += len(held[-1])
                 if size >= GATHERED:
@@ -437,7 +428,7 @@ def score(spark: SparkSession, rows: DataFrame, model: Model, keys: list[str]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for low, data, offsets in _slices(*text_buffers(batch.column(len(keys))), SCORED * 4):
+            for low, data, offsets in text_slices(*text_buffers(batch.column(len(keys))), SCORED * 4):
                 n, known, base, total = scorer(data, offsets)
                 own = [c.slice(low, len(n)) for c in batch.columns[: len(keys)]]
                 train = np.full(len(n), scorer.model.words.tokens)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meshflux.llm.common import Lineage, attach, file_system, new_folder, shuffle_partitions, whole_text
+from meshflux.llm.common import Lineage, attach, byte_class, file_system, hash_runs, new_folder, shuffle_partitions, text_buffers, text_slices, whole_text
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The identifier appended to each document. Texts hold it too, so the mask tells where documents end.
@@ -24,50 +25,152 @@ END = 0
 LENGTH = 2048
 #: Sequences of a record batch.
 SEQUENCES = 512
-#: Words whose identifiers a task remembers at a time.
+#: Parts of texts whose identifiers a worker remembers; of more, the half that recurs most stays.
 REMEMBERED = 1_000_000
+#: Bytes of texts that are encoded together, if they have more than one text.
+BYTES = 1 << 21
 
-#: A space between two characters that are not white space always starts a new piece of the pre-tokeniser, so texts can
-#: be cut there and the parts encoded one by one. Python's class holds all white space of the pre-tokeniser's pattern.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of white space below 128. Others end in two or three bytes, matched by the pattern.
+_SPACES = byte_class(bytes([*range(9, 14), *range(28, 33)]), False)
+_WIDE_SPACES = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray, whole: list[bytes]) -> np.ndarray:
+    """Where the parts of texts start: texts, and single spaces between characters that are not white space.
+
+    Such a space starts a new piece of the pre-tokeniser in any context, so the
+    parts can be encoded one by one. Texts with a string of ``whole`` stay whole.
+    """
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    if n > 2:
+        inner = data[1:-1] == 32
+        inner &= ~_SPACES[data[:-2]]
+        inner &= ~_SPACES[data[2:]]
+        cut[1 : n - 1] = inner
+    cut[offsets] = False
+    cut[np.maximum(0, offsets[1:] - 1)] = False  # a space at the end of a text, before another text
+    body = None
+    if (data == 0xC2).any() or ((data >= 0xE1) & (data <= 0xE3)).any():
+        body = data.tobytes()
+        for match in _WIDE_SPACES.finditer(body):
+            cut[max(0, match.start() - 1)] = cut[match.end()] = False
+    for string in whole:
+        body = data.tobytes() if body is None else body
+        at = body.find(string)
+        while at >= 0:
+            k = int(np.searchsorted(offsets, at, side="right")) - 1
+            cut[offsets[k] : offsets[k + 1]] = False
+            at = body.find(string, int(offsets[k + 1]))
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut[:n])
 
 
 class Encoder:
     """Identifiers of whole texts, with the parts that recur encoded once.
 
-    Exact: parts are cut only where the pre-tokeniser cuts in any context. Texts
-    with the string of an added token are encoded whole.
+    A part is known by its 64-bit hash, in a table with open addressing; the
+    identifiers of all known parts lie in one array.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Identifiers of each text."""
-        parts = []
-        for text in texts:
-            if any(a in text for a in self.added):
-                parts.append(None)
-                continue
-            first, *others = _CUT.split(text)
-            parts.append([first, *(" " + p for p in others)] if others else [first])
-        fresh = list({p for split in parts if split is not None for p in split if p not in self.known})
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list({p for split in parts if split is not None for p in split})
-        for k in range(0, len(fresh), 1 << 16):
-            some = fresh[k : k + (1 << 16)]
-            self.known.update(zip(some, self._encode(some), strict=True))
-        out = []
-        for text, split in zip(texts, parts, strict=True):
-            out.append(self._encode([text])[0] if split is None else np.concatenate([self.known[p] for p in split]))
+        self.token = _token_type(self.tokenizer)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.slots = 1 << (4 * REMEMBERED - 1).bit_length()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.places = np.zeros(self.slots, np.int32)
+        self.hashes = np.zeros(0, np.uint64)
+        self.ids = np.zeros(0, self.token)
+        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 of unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        mask = np.uint64(self.slots - 1)
+        left, slot = np.arange(len(hashes)), hashes & mask
+        while len(left):
+            key = self.keys[slot]
+            here = key == hashes[left]
+            out[left[here]] = self.places[slot[here]]
+            go = ~here & (key != 0)
+            left, slot = left[go], (slot[go] + np.uint64(1)) & mask
         return out
 
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> None:
+        """Parts that are not known yet, each once."""
+        mask = np.uint64(self.slots - 1)
+        left, slot = np.arange(len(hashes)), hashes & mask
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[left[free]]  # of several for one slot the last stays
+            done = free & (self.keys[slot] == hashes[left])
+            self.places[slot[done]] = len(self.hashes) + left[done]
+            left, slot = left[~done], (slot[~done] + np.uint64(1)) & mask
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes, self.uses = np.append(self.sizes, sizes), np.append(self.uses, uses)
+        self.ids, self.hashes = np.append(self.ids, ids), np.append(self.hashes, hashes)
+
+    def _forget(self) -> None:
+        """Keep the parts used most, up to half of what may be remembered."""
+        kept = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        hashes, ids, sizes, uses = self.hashes[kept], self.ids[_spread(self.starts[kept], self.sizes[kept])], self.sizes[kept], self.uses[kept]
+        self._clear()
+        self._add(hashes, ids, sizes, uses // 2)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = []
+        for k in range(0, len(texts), 4096):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), self.token, int(sizes.sum())), sizes
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of the texts end to end, each with the end identifier, and where each stops."""
+        if len(self.hashes) > REMEMBERED:
+            self._forget()
+        begins = cut_points(data, offsets, self.added)
+        stops = np.append(begins[1:], len(data))
+        hashes = np.maximum(hash_runs(data, begins), np.uint64(1))  # zero marks a free slot
+        places = self._find(hashes)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            first = missing[first]
+            body = data.tobytes()
+            texts = [body[a:b].decode() for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)]
+            self._add(fresh, *self._encode(texts), np.zeros(len(fresh), np.int64))
+            places[missing] = self._find(hashes[missing])
+        self.uses += np.bincount(places, minlength=len(self.uses))
+        sizes = self.sizes[places]
+        flat = self.ids[_spread(self.starts[places], sizes)]
+        # Identifiers before the end of each text, and room for an end identifier after them.
+        ahead = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begins, offsets[1:])]
+        ends = ahead + np.arange(len(ahead))
+        out = np.empty(len(flat) + len(ends), self.token)
+        own = np.ones(len(out), bool)
+        own[ends] = False
+        out[own], out[ends] = flat, END
+        return out, ends + 1
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``starts``, end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a worker, so that tasks share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
 
 def _token_type(tokenizer: Tokenizer) -> np.dtype:
     return np.dtype("<u2") if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
@@ -99,8 +202,8 @@ def write_sequences(rows: DataFrame, folder: str, tokenizer: str = TOKENIZER, le
     n = partitions or shuffle_partitions(rows.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
-        token = _token_type(encode.tokenizer)
+        encode = encoder(tokenizer)
+        token = encode.token
         ids_type = pa.from_numpy_dtype(token)
         part = TaskContext.get().partitionId()
         name = f"{folder}/{part:06d}.arrow"
@@ -125,16 +228,15 @@ def write_sequences(rows: DataFrame, folder: str, tokenizer: str = TOKENIZER, le
 
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, 256):
-                for doc, ids in zip(batch.column(0)[k : k + 256].to_pylist(), encode(batch.column(1)[k : k + 256].to_pylist()), strict=True):
-                    ids = np.append(ids, END).astype(token)
-                    mark = np.zeros(len(ids), bool)
-                    mark[-1] = True
-                    held.append(ids)
-                    held_ends.append(mark)
-                    docs.append(doc)
-                    size += len(ids)
-                    total += len(ids)
+            for k, data, offsets in text_slices(*text_buffers(batch.column(1)), BYTES):
+                ids, stops = encode(data, offsets)
+                marks = np.zeros(len(ids), bool)
+                marks[stops - 1] = True
+                held.append(ids)
+                held_ends.append(marks)
+                docs += batch.column(0).slice(k, len(stops)).to_pylist()
+                size += len(ids)
+                total += len(ids)
                 if writer is None:
                     lists = {"ids": pa.list_(ids_type, length), "mask": pa.list_(pa.bool_(), length), "ends": pa.list_(pa.bool_(), length), "docs": pa.list_(doc_type)}
                     sink = system.open_output_stream(draft)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshflux.llm.common import ALNUM, FOLD, Lineage, ascii_lower, byte_class, find_sorted, fold_table, fresh, hash_of, hash_words, quoted, text_buffers, whole_text
+from meshflux.llm.common import ALNUM, FOLD, Lineage, ascii_lower, byte_class, find_sorted, fold_table, fresh, hash_of, hash_words, quoted, text_buffers, text_slices, whole_text
 
 #: Labelled rows that the lexicon, the trees and the calibration learn from, about: a seeded hash keeps the share that
 #: gives this many. Scoring covers all rows.
@@ -108,12 +108,8 @@ def features(rows: DataFrame, text: str, lexicon: Lexicon, name: str = "features
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.columns[-1])
-            parts, low = [np.zeros((0, len(FEATURES)))], 0
-            while low < len(offsets) - 1:
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + _SLICE, side="right")) - 1)
-                parts.append(_features(lexicon, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]))
-                low = high
-            flat = np.concatenate(parts)
+            parts = [_features(lexicon, some, marks) for _, some, marks in text_slices(data, offsets, _SLICE)]
+            flat = np.concatenate([np.zeros((0, len(FEATURES))), *parts])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32()), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
 

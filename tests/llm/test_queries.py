@@ -6,10 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from meshflux.llm import decontaminate, kneser_ney, license_scan, mixing, queries, sequence_files, sharding, simhash, token_files, toxicity
+from meshflux.llm.common import text_buffers
 from tests.llm.conftest import alnum, awkward, low, prose, solid
 
 ROWS = awkward()
@@ -257,10 +259,26 @@ def test_sequences_are_of_equal_length(spark, tmp_path):
     assert ids == [i for r in sorted(docs.collect()) for i in [*encode(r.text, add_special_tokens=False).ids, 0]]
 
 
-@pytest.mark.parametrize("text", ["a  b", " a b ", "\n x y\n\nz ", "it's 12 34's ! ?? é b \x1c c d", "a\t b", "tab\tb c", "<|endoftext|> a b", "\x85 a\xa0b c"])
+def buffers(texts):
+    return text_buffers(pa.array(texts))
+
+
+@pytest.mark.parametrize("text", ["a  b", " a b ", "\n x y\n\nz ", "it's 12 34's ! ?? é b \x1c c d", " ", "a ", "a\t b", "tab\tb c", "<|endoftext|> a b", "\x85 a\xa0b c", "a \xa0 b", "a\u2003 b \u3000 c", "x \u2028", "é è à", "\x1c a \x1d b"])
 def test_parts_encode_like_whole_texts(text):
     encode = sequence_files.Encoder(sequence_files.TOKENIZER)
-    assert encode([text, text])[1].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    want = encode.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, stops = encode(*buffers([text, "", text]))
+    assert ids.tolist() == [*want, 0, 0, *want, 0] and stops.tolist() == [len(want) + 1, len(want) + 2, 2 * len(want) + 3]
+
+
+def test_parts_are_forgotten(monkeypatch):
+    monkeypatch.setattr(sequence_files, "REMEMBERED", 40)
+    encode = sequence_files.Encoder(sequence_files.TOKENIZER)
+    texts = [prose(k, 30) for k in range(60)]
+    for k in range(0, 60, 3):
+        want = [i for t in texts[k : k + 3] for i in [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+        assert encode(*buffers(texts[k : k + 3]))[0].tolist() == want
+    assert len(encode.hashes) < 200
 
 
 def plain_fingerprint(text):

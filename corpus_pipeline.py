@@ -74,5 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineage = Lineage(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = lineage.cut(stage(spark, docs, sf_dir))
+        following = lineage.cut(stage(spark, docs, sf_dir))
+        lineage.drop(docs)
+        docs = following
     return docs

@@ -179,12 +179,14 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
 
 def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Broadcast]:
     """Indexes of the benchmark, each of a bounded number of windows; its items reach the driver one index at a time."""
-    sized = Lineage(spark).cut(benchmark.select("item_id", F.lower(whole_text()).alias("text")))
+    lineage = Lineage(spark)
+    sized = lineage.cut(benchmark.select("item_id", F.lower(whole_text()).alias("text")))
     passes = int((sized.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_PER_WORD // WINDOWS_PER_PASS) + 1
     sized = sized.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
     for k in range(passes):
         items = [(r.item_id, r.text) for r in sized.where(F.col("pass") == k).orderBy("item_id", "text").toLocalIterator()]
         yield spark.sparkContext.broadcast(Index(items))
+    lineage.release()
 
 
 def _sieve(index: Broadcast):

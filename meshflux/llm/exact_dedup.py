@@ -81,6 +81,7 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     apart = lineage.cut(apart)
     placed = rows.join(groups, "digest")
     if apart.isEmpty():
+        lineage.release(rows, groups)
         return placed
     # Different texts under one digest: place their rows by the text itself.
     copies = attach(texts, lineage.cut(hits.join(apart, "digest", "left_semi")), ["file", "row"])

@@ -27,6 +27,8 @@ def components(lineage: Lineage, links: DataFrame) -> DataFrame:
         lineage.drop(labels)
         if not changed:
             lineage.drop(both)
-            return moved.select("node", "root")
+            roots = moved.select("node", "root")
+            roots._cut_path = moved._cut_path
+            return roots
         labels = moved.drop("old")
         labels._cut_path = moved._cut_path

@@ -148,6 +148,7 @@ def mix(
     quotas = quotas.select("key", F.col("child").alias("shard"), "quota").join(shards.select("key", "shard", "tokens"), ["key", "shard"])
     quotas = lineage.cut(quotas.withColumn("blocks", F.ceil(F.col("tokens") / block)))
 
+    lineage.release(dealt, quotas, aims)
     stream = Window.partitionBy("key", "shard").orderBy("place", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     laid = attach(dealt.withColumn("stop", F.sum("size").over(stream)), quotas, ["key", "shard"])
     laid = attach(laid, aims.select("key", "source_size", "target"), ["key"])

@@ -144,6 +144,7 @@ def assign(spark: SparkSession, rows: DataFrame, shards: int = 16) -> DataFrame:
         "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("digest")))
     groups = lineage.cut(narrow.groupBy("digest").agg(F.sum("size").alias("bytes")))
     placed = lineage.cut(narrow.join(balance(groups, shards, lineage), "digest"))
+    lineage.release(placed)
     numbered = number(placed, "shard", ["doc_id", "digest"], F.xxhash64("doc_id"), lineage)
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "digest")

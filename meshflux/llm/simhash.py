@@ -175,10 +175,13 @@ def classes(spark: SparkSession, rows: DataFrame, shingle: int = 4, distance: in
 
 
 def node_classes(lineage: Lineage, nodes: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) of distinct fingerprints (fp, least)."""
-    roots = components(lineage, lineage.cut(links(nodes, distance)))
+    """(fp, component_id) of distinct fingerprints (fp, least), a cut table that is dropped."""
+    linked = lineage.cut(links(nodes, distance))
+    roots = components(lineage, linked)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = lineage.cut(rooted)
+    for table in (linked, roots, nodes):
+        lineage.drop(table)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(smallest, "root").select("fp", "component_id")
 
@@ -240,6 +243,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: i
     placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     dropped = lineage.cut(found.select("row").join(kept, "row", "left_anti"))
+    lineage.release(dropped)
     return attach(rows, dropped.withColumnRenamed("row", key), [key], "left_anti").select(*quoted(docs.columns))
 
 

@@ -202,6 +202,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows
     boost.unpersist()
     margins = trees.transform(held).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(labelCol="label", featuresCol="margin").fit(margins.coalesce(1))
+    lineage.release()
     return Model(prior, lexicons["all"], trees, calibration)
 
 

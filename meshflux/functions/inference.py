@@ -109,7 +109,7 @@ def clean_ids(df: DataFrame, column: str = "id") -> DataFrame:
 
 
 def over_representation(
-    selected: DataFrame, background: DataFrame, memberships: DataFrame, *, top: int | None = 20
+    selected: DataFrame, background: DataFrame, memberships: DataFrame, *, top: int | None = None
 ) -> DataFrame:
     """Hypergeometric over-representation per library and term, with adjusted p.
 

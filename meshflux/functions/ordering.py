@@ -98,10 +98,15 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], *, by: Sequenc
     ``F.percentile`` keeps the value histogram of a group in one task; this keeps
     one row per distinct value spread over the cluster.
     """
-    by = list(by)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     tallies = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    spots = positioned(tallies, [value], by=by, amount="_ties")
+    return tally_quantiles(tallies, value, "_ties", probs, by=by)
+
+
+def tally_quantiles(tallies: DataFrame, value: str, ties: str, probs: dict[str, float], *, by: Sequence[str] = ()) -> DataFrame:
+    """The same from one row per distinct value with its number of rows."""
+    by = list(by)
+    spots = positioned(tallies.withColumnRenamed(ties, "_ties"), [value], by=by, amount="_ties")
     picks = []
     for name, prob in probs.items():
         at = (F.col("total") - 1) * F.lit(float(prob))

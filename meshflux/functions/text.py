@@ -18,7 +18,6 @@ STOPWORDS = (
 TOKEN = r"[A-Za-z0-9]+(?:[-_:][A-Za-z0-9]+)*"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 TERM_BREAK = r"\s*(?:\||;|\n|,\s*(?=[A-Z]{2,}|GO:|KEGG:))\s*"
-PASSAGE_CHARS = 600
 
 
 def clean_term(value: Column | str) -> Column:
@@ -105,7 +104,7 @@ def passages(
     """The sentences of each document that share most entity and query terms.
 
     More entity hits first, then more query hits, the title, earlier sentences.
-    Repeated sentences count once; the shown text is capped, the match is not.
+    Repeated sentences count once and are whole.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
@@ -126,4 +125,4 @@ def passages(
     unique = rows.groupBy(key, F.xxhash64(F.lower("sentence")).alias("_s")).agg(F.min_by(F.struct(
         "section", "place", "sentence", "entity_hits", "query_hits"), order).alias("r")).select(key, "r.*")
     ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*best)))
-    return ranked.where(F.col("rank") <= limit).withColumn("sentence", F.substring("sentence", 1, PASSAGE_CHARS))
+    return ranked.where(F.col("rank") <= limit)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from meshflux.functions.ordering import quantiles
 from meshflux.operators.traversal import EPSILON, sample_ids, shortest_distances, vertices_of
 from meshflux.session import Lineage
+from meshflux.settings import BETWEENNESS_PERCENTILE, EXTERNAL_RATIO_MIN
 
 
 def betweenness(
@@ -89,7 +90,7 @@ def _accumulate(lineage, start, steps, tail, head, by, *, keep_first):
 
 
 def congestion(
-    before: DataFrame, after: DataFrame, seeds: DataFrame, *, hops: int = 3, max_vertices: int = 3000, sample: int | None = None
+    before: DataFrame, after: DataFrame, seeds: DataFrame, *, hops: int = 3, max_vertices: int | None = None, sample: int | None = None
 ) -> DataFrame:
     """Betweenness gained by nodes near the seeds: ``id, before, after, delta``."""
     from meshflux.operators.traversal import neighbourhood
@@ -110,7 +111,7 @@ def group_thresholds(scores: DataFrame, group: str, value: str, percentile: floa
 
 
 def bottlenecks(
-    scores: DataFrame, shares: DataFrame, *, ratio_min: float = 0.30, percentile: float = 60.0
+    scores: DataFrame, shares: DataFrame, *, ratio_min: float = EXTERNAL_RATIO_MIN, percentile: float = BETWEENNESS_PERCENTILE
 ) -> DataFrame:
     """Nodes that carry traffic between categories.
 

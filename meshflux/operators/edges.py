@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from meshflux.functions.measures import strength_to_distance
 from meshflux.functions.ordering import weighted_quantiles
 from meshflux.operators.propagation import symmetric_arcs
+from meshflux.session import cut
+from meshflux.settings import BONUS, FORCED_DISTANCE_SCALE, PENALTY
 
 MIN_WEIGHT = 1e-9
 FAR = 1e9
@@ -126,7 +128,8 @@ def context_graph(
     else:
         members = context_scan(levels, context)
         edges = attach_levels(keep_in_context(edges, members), members)
-    return mask_unreachable(simplify(weigh_edges(edges, mode=mode, pooled_levels=levels)))
+    # The span of the levels and the result both read the edges. Weights have a floor, so no distance is infinite.
+    return simplify(weigh_edges(cut(edges), mode=mode, pooled_levels=levels))
 
 
 def degree_summary(edges: DataFrame, *, distinct: bool = True) -> DataFrame:
@@ -210,7 +213,7 @@ def suppressed(edges: DataFrame, targets: DataFrame, factor: float, *, mode: str
     return out.withColumn("distance", strength_to_distance(F.col("weight")))
 
 
-def cap_forced_distances(edges: DataFrame, targets: DataFrame, *, scale: float = 1.5) -> DataFrame:
+def cap_forced_distances(edges: DataFrame, targets: DataFrame, *, scale: float = FORCED_DISTANCE_SCALE) -> DataFrame:
     """Distances of edges touching the targets, held to ``scale`` x the mean distance."""
     mean = _one_row(edges, F.avg("distance").alias("m"))["m"]
     limit = F.lit((1.0 if mean is None else mean) * scale)
@@ -237,7 +240,7 @@ def apply_factors(edges: DataFrame, factors: DataFrame) -> DataFrame:
     return out.withColumn("distance", strength_to_distance(F.col("weight")))
 
 
-def bonus_factors(edges: DataFrame, targets: DataFrame, regulated: DataFrame, groups: DataFrame, *, bonus: float = 0.20) -> DataFrame:
+def bonus_factors(edges: DataFrame, targets: DataFrame, regulated: DataFrame, groups: DataFrame, *, bonus: float = BONUS) -> DataFrame:
     """Factor rows for target edges: target regulates the neighbour, or shares a complex with it.
 
     ``regulated(regulator, id)``, ``groups(id, group)``. An edge can earn both.
@@ -251,7 +254,7 @@ def bonus_factors(edges: DataFrame, targets: DataFrame, regulated: DataFrame, gr
     return direct.select("src", "dst", factor).unionByName(same.select("src", "dst", factor))
 
 
-def penalty_factors(edges: DataFrame, targets: DataFrame, classes: DataFrame, *, penalty: float = 0.30) -> DataFrame:
+def penalty_factors(edges: DataFrame, targets: DataFrame, classes: DataFrame, *, penalty: float = PENALTY) -> DataFrame:
     """Factor rows for target edges whose ends share an informative class."""
     arcs = symmetric_arcs(edges).join(targets.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     useful = classes.where(~F.col("class").isin("Unknown", "Other"))

@@ -177,11 +177,12 @@ def repeated_relationships(rows: DataFrame) -> DataFrame:
     return rows.groupBy("target", "type").agg(F.countDistinct("response").alias("responses"), F.countDistinct("detail").alias("details")).where("responses >= 2")
 
 
-def evidence_for(relations: DataFrame, symbols: DataFrame, *, limit: int = 100) -> DataFrame:
-    """Directed-evidence rows between listed symbols, deduplicated and limited in a fixed order."""
+def evidence_for(relations: DataFrame, symbols: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Directed-evidence rows between listed symbols, deduplicated; with ``limit`` the first in a fixed order."""
     ids = symbols.select("symbol").distinct()
     kept = relations.join(ids.withColumnRenamed("symbol", "source"), "source", "left_semi").join(ids.withColumnRenamed("symbol", "target"), "target", "left_semi")
-    return kept.select("source", "target", "effect").distinct().orderBy("source", "target", "effect").limit(limit)
+    rows = kept.select("source", "target", "effect").distinct()
+    return rows if limit is None else rows.orderBy("source", "target", "effect").limit(limit)
 
 
 def candidate_facts(report: DataFrame, cache: DataFrame, fields: Sequence[str]) -> DataFrame:

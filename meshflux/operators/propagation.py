@@ -34,7 +34,7 @@ from meshflux.session import Lineage, loop_lineage, shuffle_partitions
 from meshflux.settings import DAMPING
 
 BLOCK = 8
-ROUNDS_PER_CUT = 8
+ROUNDS_PER_CUT = 15
 HOT_DEGREE = 2_000_000
 ROWS_PER_PARTITION = 4_000_000
 FEWEST_ROWS_PER_PARTITION = 10_000
@@ -83,17 +83,15 @@ def pagerank(
     damping: float = DAMPING,
     symmetric: bool = True,
     tolerance: float = 1e-11,
-    max_rounds: int = 400,
 ) -> DataFrame:
     """PageRank per scenario: ``scenario_id, id, pagerank``.
 
     ``arcs(src, dst, weight)`` holds both directions when ``symmetric``.
     ``overrides(scenario_id, src, dst, weight)`` replaces the weight of an arc in
     one scenario. ``restart(id, mass)`` makes it a random walk with restart.
-    ``vertices(id)`` adds nodes without arcs.
+    ``vertices(id)`` adds nodes without arcs. The rounds are as many as the
+    tolerance needs.
     """
-    if max_rounds <= 0:
-        raise ValueError("max_rounds must be positive")
     scenarios = list(scenarios or [Scenario("base", damping)])
     spark = arcs.sparkSession
     lineage = Lineage(spark)
@@ -105,26 +103,38 @@ def pagerank(
     names = lineage.cut(ids.distinct().withColumn("number", F.monotonically_increasing_id()))
     arcs = lineage.cut(_numbered(arcs, names, "src", "dst"))
     nodes = lineage.cut(names.select(F.col("number").alias("id")))
+    if symmetric:
+        _require_symmetric(arcs)
     shape = _shape(arcs, nodes, restart)
     loop = loop_lineage(spark)
     # Rounds group into as many partitions as the arcs have, so that the next join needs no shuffle.
     loop.spark.conf.set("spark.sql.shuffle.partitions", str(_partitions(shape, shuffle_partitions(spark))))
     touched = seeds = None
     if overrides is not None:
-        own = overrides.select("scenario_id", "src", "dst", "weight")
-        touched = loop.read(lineage.cut(_numbered(own, names, "src", "dst")))
+        own = lineage.cut(_numbered(overrides.select("scenario_id", "src", "dst", "weight"), names, "src", "dst"))
+        if symmetric:
+            _require_symmetric(own, "scenario_id")
+        touched = loop.read(own)
     if restart is not None:
         seeds = loop.read(lineage.cut(_numbered(restart.select("id", "mass"), names, "id")))
     arcs, nodes = loop.read(arcs), loop.read(nodes)
     result = None
     for start in range(0, len(scenarios), BLOCK):
         block = scenarios[start:start + BLOCK]
-        state = _solve_block(loop, arcs, nodes, shape, block, touched, seeds, symmetric, tolerance, max_rounds)
+        state = _solve_block(loop, arcs, nodes, shape, block, touched, seeds, symmetric, tolerance)
         part = _long_form(lineage.read(state), names, block)
         result = part if result is None else result.unionByName(part)
     return result
 
 
+def _require_symmetric(arcs: DataFrame, *by: str) -> None:
+    """Both directions of every pair have the same weights; the recurrence diverges otherwise."""
+    code = F.xxhash64(*by, F.least("src", "dst"), F.greatest("src", "dst"), "weight").cast("decimal(38,0)")
+    signed = F.when(F.col("src") < F.col("dst"), code).when(F.col("src") > F.col("dst"), -code).otherwise(0)
+    if arcs.agg(F.sum(signed)).first()[0]:
+        raise ValueError("arcs are not symmetric")
+
+
 def _numbered(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
     """The rows with ids replaced by node numbers."""
     order = rows.columns
@@ -160,7 +170,7 @@ def _partitions(shape: dict, configured: int) -> int:
     return max(math.ceil(rows / ROWS_PER_PARTITION), min(configured, math.ceil(rows / FEWEST_ROWS_PER_PARTITION)), 1)
 
 
-def _solve_block(lineage, arcs, nodes, shape, block, overrides, restart, accelerated, tolerance, max_rounds):
+def _solve_block(lineage, arcs, nodes, shape, block, overrides, restart, accelerated, tolerance):
     width = range(len(block))
     names = [s.scenario_id for s in block]
     own_weights = None
@@ -203,7 +213,7 @@ def _solve_block(lineage, arcs, nodes, shape, block, overrides, restart, acceler
             *([F.lit(0.0).alias(f"p{i}") for i in width] if accelerated else []),
             *([F.lit(2.0).alias(f"m{i}") for i in width] if accelerated else []),
         )
-        rounds = min(max_rounds, max(rounds_needed(s.damping, tolerance, accelerated) for s in block))
+        rounds = max(rounds_needed(s.damping, tolerance, accelerated) for s in block)
         done = 0
         while done < rounds:
             step = min(ROUNDS_PER_CUT, rounds - done)

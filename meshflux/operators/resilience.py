@@ -16,17 +16,23 @@ from meshflux.operators.propagation import Scenario, pagerank, symmetric_arcs
 from meshflux.operators.scores import importance
 from meshflux.operators.traversal import components, largest_component, vertices_of
 from meshflux.session import Lineage, cut
-from meshflux.settings import RESCUE_THRESHOLDS, SEED, SWEEP_THRESHOLDS, TIER_TOP
+from meshflux.settings import NULL_ITERATIONS, NULL_Z, RESCUE_THRESHOLDS, SEED, SWEEP_THRESHOLDS, TIER_TOP
 
 
 # --- communities -------------------------------------------------------------
 
-def communities(edges: DataFrame, *, max_levels: int = 4, max_rounds: int = 8) -> DataFrame:
+#: Rounds without a gain after which a level is settled.
+PATIENCE = 4
+
+
+def communities(edges: DataFrame) -> DataFrame:
     """Community per node by synchronous modularity moves and contraction.
 
     In a round a hashed half of the nodes may move, which keeps two neighbours
     from swapping places for ever; ties go to the least community id. A round
-    that lowers the modularity is discarded and ends the level.
+    that does not raise the modularity is discarded. A level ends when no node
+    wants to move, or after ``PATIENCE`` discarded rounds, each with another half;
+    the levels end when contraction allows no further move.
     """
     lineage = Lineage(edges.sparkSession)
     links = lineage.cut(symmetric_arcs(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
@@ -34,10 +40,9 @@ def communities(edges: DataFrame, *, max_levels: int = 4, max_rounds: int = 8) -
     total = links.agg(F.sum("weight")).first()[0]
     if not total:
         return member
-    for level in range(max_levels):
-        moved = _local_moves(lineage, links, total, max_rounds, level)
-        if moved is None:
-            break
+    level = 0
+    while (moved := _local_moves(lineage, links, total, level)) is not None:
+        level += 1
         member = lineage.cut(member.join(moved.select(F.col("id").alias("community"), F.col("community").alias("_to")), "community")
                              .select("id", F.col("_to").alias("community")))
         to = moved.select(F.col("id").alias("src"), F.col("community").alias("a"))
@@ -63,12 +68,13 @@ def links_modularity(links: DataFrame, member: DataFrame, total: float) -> DataF
     return per.agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("modularity"), F.count(F.lit(1)).alias("communities"))
 
 
-def _local_moves(lineage, links, total, max_rounds, level):
+def _local_moves(lineage, links, total, level):
     strength = lineage.cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
     state = lineage.cut(strength.select("id", F.col("id").alias("community")))
     best = links_modularity(links, state, total).first()["modularity"]
-    changed = False
-    for turn in range(max_rounds):
+    changed, turn, idle = False, 0, 0
+    while idle < PATIENCE:
+        turn += 1
         near = links.where("src <> dst").join(state.select(F.col("id").alias("dst"), "community"), "dst").groupBy(
             F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"))
         sizes = state.join(strength, "id").groupBy("community").agg(F.sum("k").alias("size"))
@@ -81,34 +87,45 @@ def _local_moves(lineage, links, total, max_rounds, level):
         chosen = options.withColumn("gain", gain).groupBy("id").agg(
             F.min(F.struct((-F.col("gain")).alias("order"), "community")).alias("best"),
             F.max(F.when(stays, F.col("gain"))).alias("now"), F.first("own").alias("own"))
-        may = (F.pmod(F.xxhash64("id", F.lit(turn + 31 * level)), F.lit(2)) == 0) & (-F.col("best.order") > F.col("now"))
-        fresh = lineage.cut(chosen.select("id", F.when(may, F.col("best.community")).otherwise(F.col("own")).alias("community")))
-        value = links_modularity(links, fresh, total).first()["modularity"]
-        if value < best:
-            break
-        if value == best and turn > 1:
+        wants = -F.col("best.order") > F.col("now")
+        may = (F.pmod(F.xxhash64("id", F.lit(turn + 31 * level)), F.lit(2)) == 0) & wants
+        fresh = lineage.cut(chosen.select(
+            "id", F.when(may, F.col("best.community")).otherwise(F.col("own")).alias("community"), wants.alias("wants")))
+        if fresh.where("wants").isEmpty():
             break
-        changed = changed or value > best
+        value = links_modularity(links, fresh, total).first()["modularity"]
+        if value <= best:
+            lineage.drop(fresh)
+            idle += 1
+            continue
         lineage.drop(state)
-        state, best = fresh, value
+        state = fresh.drop("wants")
+        state._cut_path = fresh._cut_path
+        best, changed, idle = value, True, 0
     return state if changed else None
 
 
 # --- rewiring ----------------------------------------------------------------
 
-def rewire(edges: DataFrame, swaps: int, *, seed: int = SEED, max_rounds: int = 20) -> DataFrame:
-    """Degree-preserving rewiring: up to ``swaps`` endpoint exchanges.
+#: Rounds without an exchange after which a rewiring is held to be impossible.
+STALLED = 25
+
+
+def rewire(edges: DataFrame, swaps: int, *, seed: int = SEED) -> DataFrame:
+    """Degree-preserving rewiring by ``swaps`` endpoint exchanges.
 
     Edges meet by a seeded hash, two per bucket. An exchange that would make a
     loop or a pair that exists already is refused; weights travel with the edge.
+    Raises when the graph does not allow as many exchanges.
     """
     lineage = Lineage(edges.sparkSession)
     columns = [c for c in edges.columns if c not in ("src", "dst")]
     state = lineage.cut(edges.select("src", "dst", *columns))
-    total, done = state.count(), 0
-    for turn in range(max_rounds):
-        if done >= swaps or total < 2:
-            break
+    total, done, turn, idle = state.count(), 0, 0, 0
+    while done < swaps:
+        turn += 1
+        if total < 2 or idle >= STALLED:
+            raise ValueError(f"only {done} of {swaps} exchanges are possible")
         buckets = max(1, min(total // 2, (swaps - done) * 2))
         code = F.xxhash64("src", "dst", F.lit(seed), F.lit(turn))
         row = F.struct(code.alias("code"), "src", "dst", *columns)
@@ -132,12 +149,13 @@ def rewire(edges: DataFrame, swaps: int, *, seed: int = SEED, max_rounds: int =
         kept = lineage.cut(kept.join(made_now, "bucket", "left_semi"))
         count = kept.count() // 2
         if count == 0:
+            idle += 1
             continue
         gone = pairs.join(kept.select("bucket").distinct(), "bucket", "left_semi").select(
             F.explode(F.array(F.struct("x.src", "x.dst"), F.struct("y.src", "y.dst"))).alias("g")).select("g.src", "g.dst")
         after = lineage.cut(state.join(gone, ["src", "dst"], "left_anti").unionByName(kept.select("src", "dst", *columns)))
         lineage.drop(state)
-        state, done = after, done + count
+        state, done, idle = after, done + count, 0
     return state
 
 
@@ -146,7 +164,7 @@ def top_set_stability(edges: DataFrame, *, fraction: float = 0.05, seed: int = S
     from meshflux.functions.inference import set_overlap
 
     graph = cut(simplify(edges))
-    swaps = min(int(graph.count() * fraction), 50_000)
+    swaps = int(graph.count() * fraction)
     noisy = rewire(graph, swaps, seed=seed)
     both = graph.select(F.lit("before").alias("state"), "src", "dst", "weight").unionByName(
         noisy.select(F.lit("after").alias("state"), "src", "dst", "weight"))
@@ -166,7 +184,7 @@ def keyed_importance(edges: DataFrame, key: str) -> DataFrame:
     return importance(cut(rows), by=[key])
 
 
-def null_betweenness(edges: DataFrame, observed: DataFrame, *, iterations: int, sample: int | None = None, seed: int = SEED, z_cut: float = 2.0) -> DataFrame:
+def null_betweenness(edges: DataFrame, observed: DataFrame, *, iterations: int = NULL_ITERATIONS, sample: int | None = None, seed: int = SEED, z_cut: float = NULL_Z) -> DataFrame:
     """z and tail probability of observed betweenness against rewired graphs.
 
     ``observed(id, betweenness)``. A node without spread in the null gets a null
@@ -203,21 +221,22 @@ def threshold_sweep(interactions: DataFrame, thresholds: Sequence[int] = SWEEP_T
         "threshold", "nodes", "edges", F.col("ratio").alias("largest_ratio"), mean.alias("mean_degree"),
         F.when((F.col("nodes") > 1) & (mean > 0), F.col("ratio") * F.sqrt(mean / F.log(F.col("nodes") + 1.0))).otherwise(0.0).alias("resilience"))
     if not full:
-        return rows.withColumn("hubs", F.lit(0).cast("bigint"))
+        return rows.withColumn("hubs", F.lit(None).cast("bigint"))
     hubs = keyed_importance(keyed, "threshold").where(F.col("importance") >= TIER_TOP).groupBy(
         F.col("threshold").cast("int").alias("threshold")).agg(F.count(F.lit(1)).alias("hubs"))
     return rows.join(hubs, "threshold", "left").fillna(0, ["hubs"])
 
 
-def knockout(edges: DataFrame, scores: DataFrame, *, top: int = 10, seed: int = SEED) -> DataFrame:
+def knockout(edges: DataFrame, scores: DataFrame, *, top: int = 10, seed: int = SEED, control: DataFrame | None = None) -> DataFrame:
     """Drop of the largest component when one top node, or a random set, is removed.
 
-    ``scores(id, betweenness)``. The random control removes as many nodes at once.
+    ``scores(id, betweenness)``. The control removes as many nodes at once, drawn
+    by a seeded hash, or the ones listed in ``control(id)``.
     """
     graph = cut(edges.select("src", "dst"))
     nodes = cut(vertices_of(graph))
     best = scores.join(nodes, "id", "left_semi").orderBy(F.desc("betweenness"), "id").limit(top)
-    random = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(top)
+    random = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(top) if control is None else nodes.join(control, "id", "left_semi")
     removed = cut(best.select(F.concat(F.lit("hub:"), F.col("id")).alias("removal"), "id").unionByName(
         random.select(F.lit("random").alias("removal"), "id")))
     names = ["none"] + [r[0] for r in removed.select("removal").distinct().orderBy("removal").collect()]
@@ -293,10 +312,10 @@ def damping_robustness(edges: DataFrame, *, grid: Sequence[float] = (0.75, 0.85,
     return rows.join(F.broadcast(worst))  # one row
 
 
-def sampling_check(arcs: DataFrame, *, sample: int, top: int = 100, seed: int = SEED) -> DataFrame:
-    """Sampled against exact betweenness: rank correlation and top overlap."""
+def sampling_check(arcs: DataFrame, *, sample: int, reference: int | None, top: int = 100, seed: int = SEED) -> DataFrame:
+    """Sampled betweenness against that of ``reference`` sources, or exact with None: rank correlation and top overlap."""
     a = betweenness(arcs, sample=sample, seed=seed).withColumnRenamed("betweenness", "a")
-    b = betweenness(arcs).withColumnRenamed("betweenness", "b")
+    b = betweenness(arcs, sample=reference, seed=seed + 1).withColumnRenamed("betweenness", "b")
     rows = cut(a.join(b, "id"))
     from meshflux.functions.inference import set_overlap
 

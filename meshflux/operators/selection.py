@@ -168,7 +168,7 @@ def candidate_search(
 ) -> DataFrame:
     """Candidates that may move a target, in non-dominated layers.
 
-    Neighbours, regulators, and the best nodes of the target's community, rated by
+    Neighbours, regulators, and all nodes of the target's community, rated by
     distance, PageRank, betweenness, importance and being a bottleneck.
     ``scores(id, pagerank, betweenness, importance, is_bottleneck, community)``.
     """
@@ -180,8 +180,8 @@ def candidate_search(
     nodes = vertices_of(arcs)
     near = arcs.where(F.col("src") == target).select(F.col("dst").alias("id")).withColumn("is_neighbour", F.lit(True))
     direct = regulators.where(F.col("target") == target).select(F.col("regulator").alias("id"), "effect").groupBy("id").agg(F.min("effect").alias("effect"))
-    own = scores.where(F.col("id") == target).select("community").limit(1)
-    same = scores.join(own, "community", "left_semi").orderBy(F.desc("importance"), "id").limit(max(30, limit * 3)).select("id")
+    own = scores.where(F.col("id") == target).select("community")
+    same = scores.join(own, "community", "left_semi").select("id")
     ids = near.select("id").unionByName(direct.select("id")).unionByName(same).distinct().where(F.col("id") != target).join(nodes, "id", "left_semi")
     origin = spark.createDataFrame([(target,)], "source string")
     distance = shortest_distances(arcs, origin).select("id", "dist")

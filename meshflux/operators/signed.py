@@ -121,14 +121,14 @@ def directed_report(arcs: DataFrame, ranks_before: DataFrame, ranks_after: DataF
         F.coalesce("direction_coverage", F.lit(0.0)).alias("direction_coverage"))
 
 
-def bounded_paths(arcs: DataFrame, pairs: DataFrame, *, max_depth: int = 4, max_paths: int = 2048) -> DataFrame:
+def bounded_paths(arcs: DataFrame, pairs: DataFrame, *, max_depth: int = 4, max_paths: int | None = None) -> DataFrame:
     """Simple paths between (source, target) pairs: ``source, target, path, statuses, hit_cap``.
 
     A partial path survives only if its end can still reach the target within the
-    remaining depth. Shorter paths come first, then lexicographic order; a pair
-    with more than ``max_paths`` paths keeps the first ones and is flagged.
+    remaining depth. Only with ``max_paths`` a pair keeps its first paths, shorter
+    ones first, then in lexicographic order, and is flagged if it has more.
     """
-    if max_depth < 1 or max_paths < 1:
+    if max_depth < 1 or (max_paths is not None and max_paths < 1):
         return _no_paths(arcs)
     lineage = Lineage(arcs.sparkSession)
     steps = lineage.cut(arcs.select("src", "dst", "status"))
@@ -153,6 +153,8 @@ def bounded_paths(arcs: DataFrame, pairs: DataFrame, *, max_depth: int = 4, max_
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
+    if max_paths is None:
+        return every.select("source", "target", "path", "statuses", F.lit(False).alias("hit_cap"))
     order = Window.partitionBy("source", "target").orderBy(F.size("path"), "path")
     counted = every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_paths + 1)
     capped = counted.groupBy("source", "target").agg((F.max("place") > max_paths).alias("hit_cap"))
@@ -224,14 +226,14 @@ def reachability(arcs: DataFrame, pairs: DataFrame, *, max_depth: int = 4, core:
     return rows.select("source", "target", relation.alias("relation"), "down", "up")
 
 
-def convergence(arcs: DataFrame, targets: DataFrame, *, max_depth: int = 4, limit: int = 100, with_signs: bool = True) -> DataFrame:
+def convergence(arcs: DataFrame, targets: DataFrame, *, max_depth: int = 4, limit: int | None = None, with_signs: bool = True) -> DataFrame:
     """Nodes reached from at least two targets, nearest first."""
     sources = targets.select(F.col("id").alias("source")).distinct()
     reached = cut(hop_distances(arcs, sources, max_depth=max_depth).where("hop > 0"))
     met = reached.groupBy("id").agg(
         F.count(F.lit(1)).alias("targets"), F.sum("hop").alias("total_distance"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "hop")))).alias("distances")).where("targets >= 2")
-    best = cut(met.orderBy("total_distance", "id").limit(limit))
+    best = cut(met if limit is None else met.orderBy("total_distance", "id").limit(limit))
     if not with_signs:
         return best
     pairs = best.select(F.col("id").alias("target"), F.explode(F.map_keys("distances")).alias("source"))
@@ -296,7 +298,7 @@ def pair_evidence(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
                        (F.col("best.rank") == 0).alias("is_forward"))
 
 
-def trace_candidates(report: DataFrame, target: str, *, max_nodes: int = 40) -> DataFrame:
+def trace_candidates(report: DataFrame, target: str, *, max_nodes: int) -> DataFrame:
     """Target, significant, strong and bottleneck rows, filled up by the largest |delta|."""
     protected = (F.col("id") == target) | F.col("is_significant") | F.col("is_strong") | F.col("is_bottleneck")
     rows = report.withColumn("protected", F.coalesce(protected, F.lit(False)))
@@ -307,7 +309,7 @@ def trace_candidates(report: DataFrame, target: str, *, max_nodes: int = 40) ->
 
 
 def propagation_trace(
-    edges: DataFrame, report: DataFrame, target: str, evidence: DataFrame, *, max_nodes: int = 40, max_routes: int = 12, max_hops: int = 3
+    edges: DataFrame, report: DataFrame, target: str, evidence: DataFrame, *, max_nodes: int, max_routes: int, max_hops: int = 3
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trace nodes, routes and route edges around a target.
 
@@ -356,7 +358,8 @@ def filter_trace(nodes: DataFrame, *, layer_limit: int = 3, critical_only=False,
 def strategy_audit(
     arcs: DataFrame, target: str, *, factor: float, damping: float = 0.85, tolerance: float = 1e-9, strategies: Sequence[str] = ("incident", "incoming", "outgoing", "removal")
 ) -> DataFrame:
-    """L1 shift, downstream and upstream change of four ways to weaken one node."""
+    """L1 shift, median rank shift, downstream and upstream change of four ways to weaken one node."""
+    from meshflux.functions.ordering import quantiles, row_numbers
     from meshflux.operators.propagation import Scenario, pagerank
     from meshflux.plans.scenarios import compare, overrides_for
 
@@ -369,11 +372,14 @@ def strategy_audit(
         own = part if own is None else own.unionByName(part)
     ranks = pagerank(arcs, scenarios=[Scenario("base", damping)] + [Scenario(n, damping) for n in strategies],
                      overrides=own, symmetric=False, tolerance=tolerance)
-    rows = compare(cut(ranks)).where(F.col("id") != target)
+    rows = cut(compare(cut(ranks)).where(F.col("id") != target))
+    placed = row_numbers(rows, [F.desc(F.round("baseline", 10)), F.asc("id")], by=["scenario_id"], name="before")
+    placed = row_numbers(placed, [F.desc(F.round("perturbed", 10)), F.asc("id")], by=["scenario_id"], name="after")
+    shifts = quantiles(placed.withColumn("shift", F.abs(F.col("after") - F.col("before")).cast("double")), "shift", {"median_rank_shift": 0.5}, by=["scenario_id"]).drop("n")
     origin = spark.createDataFrame([(target,)], "source string")
     down = hop_distances(arcs, origin, max_depth=3).where("hop > 0").select("id", F.lit(True).alias("down"))
     up = hop_distances(arcs, origin, max_depth=3, reverse=True).where("hop > 0").select("id", F.lit(True).alias("up"))
     marked = rows.join(down, "id", "left").join(up, "id", "left")
     return marked.groupBy("scenario_id").agg(
         F.sum("abs_delta").alias("l1_shift"), F.sum(F.when(F.col("down"), F.col("delta"))).alias("downstream_change"),
-        F.sum(F.when(F.col("up"), F.col("delta"))).alias("upstream_change"))
+        F.sum(F.when(F.col("up"), F.col("delta"))).alias("upstream_change")).join(shifts, "scenario_id")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from meshflux.session import Lineage
 
 EPSILON = 1e-9
+#: Rounds after which the tables of improved distances are merged.
+PARTS = 12
 
 
 def sample_ids(vertices: DataFrame, size: int | None, seed: int = 42) -> DataFrame:
@@ -30,36 +32,44 @@ def vertices_of(edges: DataFrame, *by: str) -> DataFrame:
     return edges.select(*by, F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def shortest_distances(
-    arcs: DataFrame, sources: DataFrame, *, by: Sequence[str] = (), max_rounds: int = 10_000
-) -> DataFrame:
+def shortest_distances(arcs: DataFrame, sources: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Least total ``distance`` from each source: ``by.., source, id, dist``.
 
-    Only nodes whose distance improved in the last round are extended.
+    Runs until no distance improves.
+    """
+    return _relax(arcs, sources, by, None)
+
+
+def _relax(arcs: DataFrame, sources: DataFrame, by: Sequence[str], rounds: int | None) -> DataFrame:
+    """Distances by frontiers: a round extends and writes only what improved in the one before.
+
+    Known distances are the rows of all rounds so far, looked up for the ends
+    just reached; the least per end is taken when the loop is done.
     """
     by = list(by)
+    keys = [*by, "source", "id"]
     lineage = Lineage(arcs.sparkSession)
     usable = F.col("distance").isNotNull() & ~F.isnan("distance") & (F.col("distance") < F.lit(float("inf")))
     arcs = lineage.cut(arcs.where(usable).select(*by, "src", "dst", F.col("distance").cast("double").alias("distance")))
-    state = lineage.cut(sources.select(
-        *by, "source", F.col("source").alias("id"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")
-    ).distinct())
-    for _ in range(max_rounds):
-        frontier = state.where("fresh").select(*by, "source", F.col("id").alias("src"), F.col("dist").alias("base"))
-        reached = frontier.join(arcs, [*by, "src"]).select(
-            *by, "source", F.col("dst").alias("id"), (F.col("base") + F.col("distance")).alias("dist"), F.lit(False).alias("held")
-        )
-        known = state.select(*by, "source", "id", "dist", F.lit(True).alias("held"))
-        best = known.unionByName(reached).groupBy(*by, "source", "id").agg(
-            F.min("dist").alias("dist"), F.min(F.when(F.col("held"), F.col("dist"))).alias("old")
-        )
-        moved = F.col("old").isNull() | (F.col("dist") < F.col("old"))
-        fresh = lineage.cut(best.select(*by, "source", "id", "dist", moved.alias("fresh")))
-        lineage.drop(state)
-        state = fresh
-        if state.where("fresh").isEmpty():
+    frontier = lineage.cut(sources.select(*by, "source", F.col("source").alias("id"), F.lit(0.0).alias("dist")).distinct())
+    known, done = frontier, 0
+    while rounds is None or done < rounds:
+        ends = frontier.select(*by, "source", F.col("id").alias("src"), F.col("dist").alias("base"))
+        reached = ends.join(arcs, [*by, "src"]).select(*by, "source", F.col("dst").alias("id"), (F.col("base") + F.col("distance")).alias("dist"))
+        best = reached.groupBy(*keys).agg(F.min("dist").alias("dist"))
+        better = known.select(*keys, F.col("dist").alias("old"))
+        # A row that some round has reached as cheaply is no news.
+        frontier = lineage.cut(best.join(better, [best[k] == better[k] for k in keys] + [better["old"] <= best["dist"]], "left_anti"))
+        done += 1
+        if frontier.isEmpty():
             break
-    return state.select(*by, "source", "id", "dist")
+        known = known.unionByName(frontier)
+        if done % PARTS == 0:
+            known = lineage.cut(known.groupBy(*keys).agg(F.min("dist").alias("dist")))
+            lineage.release(arcs, frontier, known)
+    found = lineage.cut(known.groupBy(*keys).agg(F.min("dist").alias("dist")))
+    lineage.release(found)
+    return found
 
 
 def hop_distances(
@@ -73,7 +83,7 @@ def hop_distances(
     steps = arcs.select(*by, *ends).distinct().withColumn("distance", F.lit(1.0))
     if max_depth == 0:
         return sources.select(*by, "source", F.col("source").alias("id"), F.lit(0).alias("hop"))
-    found = shortest_distances(steps, sources, by=by, max_rounds=max_depth)
+    found = _relax(steps, sources, by, max_depth)
     return found.select(*by, "source", "id", F.col("dist").cast("int").alias("hop"))
 
 
@@ -88,7 +98,7 @@ def neighbourhood(arcs: DataFrame, seeds: DataFrame, *, hops: int, limit: int |
     return out if limit is None else out.orderBy("hop", "id").limit(limit)
 
 
-def shortest_routes(arcs: DataFrame, distances: DataFrame, endpoints: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
+def shortest_routes(arcs: DataFrame, distances: DataFrame, endpoints: DataFrame) -> DataFrame:
     """One shortest route per (source, endpoint): ``source, id, dist, path``.
 
     Walks back from the endpoints only; among equal predecessors the least id wins.
@@ -100,7 +110,8 @@ def shortest_routes(arcs: DataFrame, distances: DataFrame, endpoints: DataFrame,
         known.join(endpoints.select("source", "id").distinct(), ["source", "id"])
         .select("source", "id", "dist", F.col("id").alias("at"), F.col("dist").alias("left"), F.array("id").alias("path"))
     )
-    for _ in range(max_rounds):
+    # Every step brings the walk strictly nearer to its source, so it ends.
+    while True:
         open_rows = state.where(F.col("at") != F.col("source"))
         if open_rows.isEmpty():
             break
@@ -256,11 +267,11 @@ def pair_efficiency(arcs: DataFrame, members: DataFrame) -> DataFrame:
     return ids.join(per, "id", "left").fillna(0.0, ["node_efficiency", "inverse"])
 
 
-def local_efficiency(arcs: DataFrame, *, sample: int | None = None, seed: int = 42) -> DataFrame:
-    """Efficiency of each (sampled) node's open neighbourhood: ``id, neighbours, efficiency``."""
+def local_efficiency(arcs: DataFrame, *, sample: int | None = None, seed: int = 42, egos: DataFrame | None = None) -> DataFrame:
+    """Efficiency of each (sampled, or listed) node's open neighbourhood: ``id, neighbours, efficiency``."""
     lineage = Lineage(arcs.sparkSession)
     arcs = lineage.cut(arcs.select("src", "dst", "distance"))
-    egos = lineage.cut(sample_ids(vertices_of(arcs), sample, seed))
+    egos = lineage.cut(sample_ids(vertices_of(arcs), sample, seed) if egos is None else egos.select("id").distinct())
     around = lineage.cut(arcs.join(egos.withColumnRenamed("id", "src"), "src", "left_semi").select(
         F.col("src").alias("ego"), F.col("dst").alias("id")).where("ego <> id").distinct())
     return _ego_efficiency(lineage, arcs, egos, around)

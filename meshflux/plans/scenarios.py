@@ -20,7 +20,7 @@ from meshflux.operators.edges import suppressed
 from meshflux.operators.propagation import Scenario, pagerank, symmetric_arcs
 from meshflux.session import cut
 from meshflux.settings import (
-    BLOCK_FRACTION, DAMPING, DOSE_DAMPING, DOSES, FDR_ALPHA, HILL_EXPONENT, NEIGHBOUR_BOOST, NEIGHBOUR_SCORE_MIN,
+    BLOCK_FRACTION, DAMPING, DOSE_DAMPING, DOSES, FDR_ALPHA, HILL_EXPONENT, NEIGHBOUR_BOOST, NEIGHBOUR_SCORE_MIN, PRESET_ITERATIONS,
     SEED, SELECTION_PERCENTILE, SELECTION_TOP_N,
 )
 
@@ -67,7 +67,12 @@ def what_if(
     arcs: DataFrame, scenarios: DataFrame, *, damping: float = DAMPING, mode: str = "incident",
     symmetric: bool = True, tolerance: float = 1e-11,
 ) -> DataFrame:
-    """Response of every node in every scenario (see ``compare``)."""
+    """Response of every node in every scenario (see ``compare``).
+
+    Weakening one direction only leaves the arcs without symmetry, so those
+    modes are solved by plain iteration.
+    """
+    symmetric = symmetric and mode == "incident"
     names = [r[0] for r in scenarios.select("scenario_id").distinct().orderBy("scenario_id").collect()]
     ranks = pagerank(
         arcs, scenarios=[Scenario(BASE, damping)] + [Scenario(n, damping) for n in names],
@@ -149,62 +154,57 @@ def extremes(responses: DataFrame) -> DataFrame:
 # --- degree-matched null -----------------------------------------------------
 
 def degree_matched_draws(degrees: DataFrame, targets: Sequence[str], iterations: int, *, seed: int = SEED) -> DataFrame:
-    """Random stand-ins for the targets: ``scenario_id, id`` for each iteration.
+    """Random stand-ins for the targets: ``scenario_id, id``, as many per iteration as targets in the graph.
 
-    Nodes are numbered within their log2-degree band, and each iteration picks a
-    hashed starting number, so a draw is one equi-join. Targets are never drawn
-    and one iteration never draws a node twice. When a band holds no other node,
-    the nodes of nearest degree stand in.
+    In each iteration the nodes of a target's log2-degree band stand in a seeded
+    hash order, and the targets of the band take the first ones. A band with
+    fewer nodes than targets is filled up with the nodes of nearest degree. No
+    node is drawn twice in an iteration, and targets never.
     """
     spark = degrees.sparkSession
     wanted = spark.createDataFrame([(t,) for t in dict.fromkeys(targets)], "id string")
     band = F.floor(F.log2(F.greatest(F.lit(1), F.col("degree")).cast("double"))).cast("int")
-    rows = degrees.select("id", "degree", band.alias("band"))
-    pool = cut(row_numbers(rows.join(wanted, "id", "left_anti"), ["id"], by=["band"], name="place"))
-    sizes = pool.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    asked = rows.join(wanted, "id").join(sizes, "band", "left")
-    served = asked.where("size IS NOT NULL")
-    slot = F.row_number().over(Window.partitionBy("band").orderBy("id")) - 1
-    rounds = F.explode(F.sequence(F.lit(1), F.lit(iterations)))
-    start = F.pmod(F.xxhash64("iteration", "band", F.lit(seed)), F.col("size"))
-    draws = (
-        served.withColumn("slot", slot).where("slot < size")
-        .withColumn("iteration", rounds)
-        .withColumn("place", F.pmod(start + F.col("slot"), F.col("size")) + 1)
-        .join(pool.select("band", "place", F.col("id").alias("drawn")), ["band", "place"])
-        .select("iteration", F.col("drawn").alias("id"))
-    )
-    lonely = asked.where("size IS NULL OR size < 1").select(F.col("id").alias("target"), F.col("degree").alias("wanted_degree"))
-    if not lonely.isEmpty():
-        near = _nearest_degree_draws(pool, lonely, iterations, seed).join(draws, ["iteration", "id"], "left_anti")
-        draws = draws.unionByName(near)
-    return draws.select(F.format_string("null_%04d", "iteration").alias("scenario_id"), "id").distinct()
-
-
-def _nearest_degree_draws(pool, lonely, iterations, seed):
-    """Stand-ins for targets alone in their band, among the nodes of nearest degree."""
-    # Lonely targets are a handful; one aggregate over the pool finds all their degrees.
-    asked = lonely.collect()
-    found = pool.agg(*[
-        F.min_by("degree", F.struct(F.abs(F.col("degree") - F.lit(row["wanted_degree"])), "degree")).alias(f"d{k}") for k, row in enumerate(asked)]).first()
-    nearest = pool.sparkSession.createDataFrame(
-        [(row["target"], found[f"d{k}"]) for k, row in enumerate(asked) if found[f"d{k}"] is not None], "target string, degree bigint")
-    numbered = row_numbers(pool.join(nearest.select("degree").distinct(), "degree", "left_semi").select("id", "degree"), ["id"], by=["degree"], name="place")
-    numbered = cut(numbered)
-    sizes = numbered.groupBy("degree").agg(F.count(F.lit(1)).alias("size"))
-    slot = F.row_number().over(Window.partitionBy("degree").orderBy("target")) - 1
-    start = F.pmod(F.xxhash64("iteration", "degree", F.lit(seed)), F.col("size"))
-    return (
-        nearest.join(sizes, "degree").withColumn("slot", slot).where("slot < size")
-        .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-        .withColumn("place", F.pmod(start + F.col("slot"), F.col("size")) + 1)
-        .join(numbered.select("degree", "place", "id"), ["degree", "place"]).select("iteration", "id")
-    )
+    rows = cut(degrees.select("id", "degree", band.alias("band")))
+    asked = rows.join(wanted, "id")
+    needs = {r["band"]: (r["n"], r["degree"]) for r in asked.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("degree").alias("degree")).collect()}  # at most 64 bands
+    if not needs:
+        return spark.createDataFrame([], "scenario_id string, id string")
+    pool = rows.join(wanted, "id", "left_anti")
+    have = {r["band"]: r["n"] for r in pool.where(F.col("band").isin(*needs)).groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Candidates: a band's own nodes, and for a short band the nearest ones of other bands, as many as may be asked for.
+    total = sum(n for n, _ in needs.values())
+    if pool.limit(total).count() < total:
+        raise ValueError("the graph has fewer nodes than the draws need")
+    chosen = None
+    for name, (n, degree) in sorted(needs.items()):
+        own = pool.where(F.col("band") == name).select("id", F.lit(0).alias("far"))
+        if have.get(name, 0) < n:
+            near = pool.where(F.col("band") != name).orderBy(F.abs(F.col("degree") - F.lit(degree)), "degree", "id").limit(total)
+            place = F.row_number().over(Window.orderBy(F.abs(F.col("degree") - F.lit(degree)), "degree", "id"))  # at most as many rows as targets
+            own = own.unionByName(near.select("id", place.alias("far")))
+        own = own.withColumn("band", F.lit(name))
+        chosen = own if chosen is None else chosen.unionByName(own)
+    chosen = cut(chosen)
+    grid = spark.range(1, iterations + 1).select(F.col("id").cast("int").alias("iteration"))
+    # Per iteration and band only the first nodes of the hash order count, so each partition keeps a few rows before the shuffle.
+    short = [b for b, (n, _) in needs.items() if have.get(b, 0) < n]
+    quota = F.coalesce(*[F.when(F.col("band") == b, n) for b, (n, _) in needs.items()])
+    order = [F.asc("far"), F.xxhash64("id", "iteration", F.lit(seed)), F.asc("id")]
+    every = chosen.where(~F.col("band").isin(*short)) if short else chosen
+    first = F.row_number().over(Window.partitionBy("iteration", "band").orderBy(*order))
+    draws = every.join(F.broadcast(grid)).withColumn("place", first).where(F.col("place") <= quota).select("iteration", "id")  # one row an iteration
+    for b in short:
+        # Bands that are short give all they have and nearest nodes nobody else drew; the counts are those of the targets.
+        free = chosen.where(F.col("band") == b).join(F.broadcast(grid)).join(draws, ["iteration", "id"], "left_anti")
+        more = free.withColumn("place", F.row_number().over(Window.partitionBy("iteration").orderBy(*order))).where(F.col("place") <= needs[b][0])
+        draws = draws.unionByName(more.select("iteration", "id"))
+    return draws.select(F.format_string("null_%04d", "iteration").alias("scenario_id"), "id")
 
 
 def null_p_values(
     arcs: DataFrame, observed: DataFrame, targets: Sequence[str], *, factor: float = BLOCK_FRACTION,
-    damping: float = DAMPING, iterations: int = 19, seed: int = SEED, tolerance: float = 1e-11,
+    damping: float = DAMPING, iterations: int = PRESET_ITERATIONS["fast"], seed: int = SEED, tolerance: float = 1e-11,
 ) -> DataFrame:
     """Empirical p per node: share of degree-matched draws that move it at least as far.
 
@@ -214,6 +214,10 @@ def null_p_values(
         return observed.select("scenario_id", "id", F.lit(1.0).alias("empirical_p"))
     degrees = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     draws = cut(degree_matched_draws(degrees, targets, iterations, seed=seed))
+    sizes = draws.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"))
+    asked = degrees.join(arcs.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(targets)], "id string"), "id").count()
+    if sizes.where((F.col("n") == asked) & (F.col("d") == asked)).count() != (iterations if asked else 0):
+        raise ValueError("a draw holds another number of nodes than there are targets")
     nulls = what_if(arcs, draws.withColumn("factor", F.lit(float(factor))), damping=damping, tolerance=tolerance)
     pairs = observed.select("scenario_id", "id", F.col("abs_delta").alias("seen")).join(
         nulls.select("id", F.col("abs_delta").alias("null_delta")), "id", "left")
@@ -223,19 +227,32 @@ def null_p_values(
 
 # --- families of scenarios ---------------------------------------------------
 
-def severity_sweep(arcs: DataFrame, targets: Sequence[str], fractions: dict[str, float], *, damping: float = DAMPING) -> DataFrame:
-    """Burden, strong responses and system shift for each attenuation level."""
+def what_if_report(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None, damping: float = DAMPING) -> DataFrame:
+    """One row per scenario: system shift, and global efficiency before and after from ``sample`` sources, or all."""
+    shift = system_shift(cut(what_if(arcs, scenarios, damping=damping)))
+    efficiency = scenario_efficiency(arcs, scenarios, sample=sample).select(
+        "scenario_id", F.col("baseline").alias("efficiency_before"), F.col("perturbed").alias("efficiency_after"), F.col("change_pct").alias("efficiency_change_pct"))
+    return shift.join(efficiency, "scenario_id")
+
+
+def severity_sweep(
+    arcs: DataFrame, targets: Sequence[str], fractions: dict[str, float], *, damping: float = DAMPING, sample: int | None
+) -> DataFrame:
+    """Burden, strong responses, system shift and change of global efficiency for each attenuation level."""
     table = scenario_table(arcs.sparkSession, {n: targets for n in fractions}, fractions)
     responses = cut(without_targets(what_if(arcs, table, damping=damping), table))
     strong = quantiles(responses, "abs_delta", {"limit": SELECTION_PERCENTILE / 100.0}, by=["scenario_id"]).drop("n")
     rated = responses.join(strong, "scenario_id").groupBy("scenario_id").agg(
         F.sum("abs_delta").alias("burden"),
         F.count_if((F.col("abs_delta") >= F.col("limit")) & (F.col("abs_delta") > 0)).alias("strong_responses"))
-    return rated.join(system_shift(responses).select("scenario_id", "system_shift_pct"), "scenario_id")
+    efficiency = scenario_efficiency(arcs, table, sample=sample).select("scenario_id", F.col("change_pct").alias("efficiency_change_pct"))
+    return rated.join(system_shift(responses).select("scenario_id", "system_shift_pct"), "scenario_id").join(efficiency, "scenario_id")
 
 
-def interaction(arcs: DataFrame, targets: Sequence[str], *, factor: float = BLOCK_FRACTION, tolerance: float = 0.10) -> DataFrame:
-    """Combined effect against the sum of the single effects, per metric."""
+def interaction(
+    arcs: DataFrame, targets: Sequence[str], *, sample: int | None, factor: float = BLOCK_FRACTION, tolerance: float = 0.10
+) -> DataFrame:
+    """Combined effect against the sum of the single effects, per metric; efficiency from ``sample`` sources, or all."""
     unique = list(dict.fromkeys(targets))
     if len(unique) < 2:
         raise ValueError("an interaction needs at least two targets")
@@ -243,7 +260,7 @@ def interaction(arcs: DataFrame, targets: Sequence[str], *, factor: float = BLOC
     table = scenario_table(arcs.sparkSession, sets, factor)
     responses = cut(what_if(arcs, table))
     shift = system_shift(responses).select("scenario_id", F.lit("system_shift_pct").alias("metric"), F.col("system_shift_pct").alias("effect"))
-    efficiency = scenario_efficiency(arcs, table).select("scenario_id", F.lit("global_efficiency_change").alias("metric"), F.col("change").alias("effect"))
+    efficiency = scenario_efficiency(arcs, table, sample=sample).select("scenario_id", F.lit("global_efficiency_change").alias("metric"), F.col("change").alias("effect"))
     both = shift.unionByName(efficiency)
     rated = both.groupBy("metric").agg(
         F.sum(F.when(F.col("scenario_id") != "combined", F.col("effect"))).alias("expected"),
@@ -268,8 +285,8 @@ def scenario_arcs(arcs: DataFrame, scenarios: DataFrame, *, mode: str = "inciden
     return joined.select("scenario_id", "src", "dst", weight.alias("weight"), strength_to_distance(weight).alias("distance"))
 
 
-def scenario_efficiency(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None = 8, seed: int = SEED) -> DataFrame:
-    """Global efficiency of every scenario against the baseline, from the same sources."""
+def scenario_efficiency(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None, seed: int = SEED) -> DataFrame:
+    """Global efficiency of every scenario against the baseline, from the same ``sample`` sources, or all."""
     keyed = scenario_arcs(arcs, scenarios)
     nodes = traversal.vertices_of(keyed, "scenario_id")
     picked = traversal.sample_ids(traversal.vertices_of(arcs), sample, seed)
@@ -328,6 +345,30 @@ def dose_response(
         "baseline_signal", "signal", F.when(F.col("baseline_signal") > 0, lost).otherwise(0.0).alias("loss_pct"))
 
 
+def dose_stress(
+    edges: DataFrame, targets: Sequence[str], *, sample: int | None, doses: Sequence[float] = DOSES, exponent: float = HILL_EXPONENT,
+    boost: float = NEIGHBOUR_BOOST, score_min: float = NEIGHBOUR_SCORE_MIN, top: int = 5,
+) -> DataFrame:
+    """Per dose the ``top`` nodes that gain most betweenness: ``survival, id, before, after, delta``."""
+    from meshflux.functions.measures import strength_to_distance
+    from meshflux.operators.centrality import betweenness
+
+    arcs = cut(symmetric_arcs(edges))
+    changed = dose_overrides(arcs, targets, doses=doses, exponent=exponent, boost=boost, score_min=score_min).groupBy(
+        "scenario_id", "src", "dst").agg(F.min("weight").alias("new"))
+    names = [BASE, *map(dose_name, doses)]
+    every = arcs.select("src", "dst", "weight", F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario_id"))
+    keyed = every.join(changed, ["scenario_id", "src", "dst"], "left").select(
+        "scenario_id", "src", "dst", strength_to_distance(F.coalesce("new", "weight")).alias("distance"))
+    rated = cut(betweenness(keyed, sample=sample, by=["scenario_id"]))
+    before = rated.where(F.col("scenario_id") == BASE).select("id", F.col("betweenness").alias("before"))
+    grid = edges.sparkSession.createDataFrame([(dose_name(d), float(d)) for d in doses], "scenario_id string, survival double")
+    rows = rated.join(F.broadcast(grid), "scenario_id").join(before, "id").select(  # one row a dose
+        "survival", "id", "before", F.col("betweenness").alias("after"), (F.col("betweenness") - F.col("before")).alias("delta")).where("delta > 0")
+    order = Window.partitionBy("survival").orderBy(F.desc("delta"), "id")
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
+
+
 def dose_name(dose: float) -> str:
     return f"dose_{float(dose):.4f}"
 

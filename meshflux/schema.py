@@ -28,18 +28,18 @@ EDGES = T.StructType([
 OVERLAY = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("target", T.StringType()),
-    T.StructField("directed", T.BooleanType()),
+    T.StructField("direction", T.StringType()),
     T.StructField("stimulation", T.BooleanType()),
     T.StructField("inhibition", T.BooleanType()),
     T.StructField("consensus_direction", T.BooleanType()),
     T.StructField("consensus_stimulation", T.BooleanType()),
     T.StructField("consensus_inhibition", T.BooleanType()),
+    T.StructField("provenance", T.StringType()),
+    T.StructField("references", T.StringType()),
+    T.StructField("organism", T.StringType()),
+    T.StructField("snapshot_version", T.StringType()),
     T.StructField("evidence_status", T.StringType()),
     T.StructField("evidence_layer", T.StringType()),
-    T.StructField("resources", T.StringType()),
-    T.StructField("references", T.StringType()),
-    T.StructField("provenance", T.StringType()),
-    T.StructField("version", T.StringType()),
 ])
 
 

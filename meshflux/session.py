@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def build_session(name: str = "meshflux", cpus: int | str = "*", partitions: int | None = None) -> SparkSession:
     """A local session with the settings the library is tuned for.
@@ -41,22 +36,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for cut tables, from ``spark.checkpoint.dir``.
+    """Shared folder for cut tables: ``spark.checkpoint.dir``, or else a folder of the warehouse.
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local folder would be lost with its executor.
+    Both belong to the whole cluster; a machine-local folder would be lost with
+    its executor. Without either no loop starts.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        folder = tempfile.mkdtemp(prefix="meshflux-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _LOCAL_ROOTS[app] = folder
-    return _LOCAL_ROOTS[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise ValueError("spark.checkpoint.dir or spark.sql.warehouse.dir must name a shared folder")
+    return f"{warehouse.rstrip('/')}/_intermediate"
 
 
 class Lineage:
@@ -69,14 +60,24 @@ class Lineage:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/meshflux-{spark.sparkContext.applicationId}"
+        self._tables: list[DataFrame] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._cut_path = path
+        self._tables.append(table)
         return table
 
+    def release(self, *keep: DataFrame) -> None:
+        """Delete the tables this lineage has cut, but for those to keep."""
+        kept = {getattr(table, "_cut_path", None) for table in keep}
+        for table in self._tables:
+            if table._cut_path not in kept:
+                self.drop(table)
+        self._tables = [table for table in self._tables if table._cut_path in kept]
+
     def read(self, table: DataFrame) -> DataFrame:
         """The same cut table, seen by this lineage's session."""
         again = self.spark.read.schema(table.schema).parquet(table._cut_path)
@@ -106,8 +107,9 @@ def loop_lineage(spark: SparkSession) -> Lineage:
     session settings stay untouched.
     """
     sibling = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        sibling.conf.set(key, spark.conf.get(key))
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            sibling.conf.set(key, value)
     sibling.conf.set("spark.sql.adaptive.enabled", "false")
     lineage = Lineage(sibling)
     lineage.root = Lineage(spark).root

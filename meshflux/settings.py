@@ -16,7 +16,6 @@ TIER_BRIDGE = 50
 
 SWEEP_THRESHOLDS = (400, 500, 600, 700, 800, 900)
 RESCUE_THRESHOLDS = (450, 400, 350, 300, 250, 200)
-RESCUE_PARTNERS = 1
 
 FORCED_DISTANCE_SCALE = 1.5
 BLOCK_FRACTION = 0.001
@@ -35,10 +34,10 @@ BONUS = 0.20
 PENALTY = 0.30
 
 PRESET_ITERATIONS = {"fast": 19, "standard": 99, "rigorous": 499}
-SELECTION_MODE = "null_fdr"
 SELECTION_TOP_N = 250
 SELECTION_PERCENTILE = 99.0
 FDR_ALPHA = 0.05
+# Sources of global efficiency, nodes of local efficiency, for callers that sample.
 GLOBAL_EFFICIENCY_SOURCES = 256
 LOCAL_EFFICIENCY_NODES = 128
 

@@ -27,14 +27,21 @@ RELATIONS = {"Activation": "activation", "Repression": "repression", "Unknown":
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Space-delimited channel file (gzip or plain) with its exact header: ``src, dst, line_no, channels``."""
+    """Space-delimited channel file or files (gzip or plain) with the exact header: ``src, dst, line_no, channels``.
+
+    ``line_no`` orders the rows by file, and in a file by their place. A compressed file is read by
+    one task; its rows are spread out afterwards.
+    """
     header = spark.read.text(path).limit(1).first()
     if header is None or tuple(header[0].split()) != LINK_COLUMNS:
         raise SourceError(f"unexpected channel file header: {header and header[0]}")
     schema = T.StructType([T.StructField(c, T.StringType() if c.startswith("protein") else T.IntegerType()) for c in LINK_COLUMNS])
     rows = spark.read.csv(path, sep=" ", header=True, schema=schema, mode="FAILFAST")
+    # Within a file: the block it is read in, then the row's place among those of the task, which keeps their order.
     return rows.select(
-        strip_prefix("protein1").alias("src"), strip_prefix("protein2").alias("dst"), F.monotonically_increasing_id().alias("line_no"), *CHANNELS, "combined_score")
+        strip_prefix("protein1").alias("src"), strip_prefix("protein2").alias("dst"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).alias("line_no"),
+        *CHANNELS, "combined_score")
 
 
 def read_tsv(spark: SparkSession, path: str, *, header: bool = True, schema: T.StructType | None = None) -> DataFrame:
@@ -95,7 +102,7 @@ def regulator_overlay(inverse: DataFrame) -> DataFrame:
     effect = F.lower("effect")
     up, down = effect.contains("activation"), effect.contains("repression")
     return project_overlay(inverse.select(
-        F.col("regulator").alias("source"), "target", F.lit(True).alias("directed"), up.alias("stimulation"), down.alias("inhibition"),
+        F.col("regulator").alias("source"), "target", F.lit("source_to_target").alias("direction"), up.alias("stimulation"), down.alias("inhibition"),
         evidence_status(up, down, F.lit(True)).alias("evidence_status"), F.lit("regulators").alias("evidence_layer")))
 
 
@@ -105,7 +112,9 @@ def project_overlay(rows: DataFrame) -> DataFrame:
         (F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in OVERLAY])
 
 
-def directed_overlay(spark: SparkSession, raw: DataFrame | None, *, version: str = "local") -> tuple[DataFrame, bool]:
+def directed_overlay(
+    spark: SparkSession, raw: DataFrame | None, *, version: str = "local_snapshot", organism: str = "Homo sapiens"
+) -> tuple[DataFrame, bool]:
     """Overlay of a directed-evidence snapshot and whether it was available.
 
     A missing file is an empty overlay marked unavailable: no evidence against
@@ -117,11 +126,16 @@ def directed_overlay(spark: SparkSession, raw: DataFrame | None, *, version: str
     pick = lambda *names: F.coalesce(*[F.col(n) for n in names if n in have]) if have & set(names) else F.lit(None)
     flag = lambda *names: truthy(pick(*names))
     rows = raw.select(
-        pick("source_genesymbol", "source").alias("source"), pick("target_genesymbol", "target").alias("target"), flag("is_directed").alias("directed"),
-        flag("is_stimulation").alias("stimulation"), flag("is_inhibition").alias("inhibition"), flag("consensus_direction").alias("consensus_direction"),
+        pick("source_genesymbol", "source").alias("source"), pick("target_genesymbol", "target").alias("target"),
+        flag("is_stimulation").alias("stimulation"), flag("is_inhibition").alias("inhibition"), flag("consensus_direction", "is_directed").alias("consensus_direction"),
         flag("consensus_stimulation").alias("consensus_stimulation"), flag("consensus_inhibition").alias("consensus_inhibition"),
-        pick("sources").alias("resources"), pick("references").alias("references"), F.lit(version).alias("version"), F.lit("signaling").alias("evidence_layer"))
-    return project_overlay(rows.withColumn("evidence_status", evidence_status("stimulation", "inhibition", "directed"))), True
+        F.array_join(items(pick("sources")), ";").alias("provenance"), F.array_join(items(pick("references")), ";").alias("references"),
+        F.coalesce(pick("organism").cast("string"), F.lit(organism)).alias("organism"), F.lit(version).alias("snapshot_version"),
+        F.lit("directed_regulatory").alias("evidence_layer"))
+    rows = rows.withColumn("direction", F.when(F.col("consensus_direction"), "source_to_target"))
+    # The status rests on the consensus flags; is_directed stands in for the direction where no consensus column exists.
+    status = evidence_status("consensus_stimulation", "consensus_inhibition", "consensus_direction")
+    return project_overlay(rows.withColumn("evidence_status", status)), True
 
 
 def truthy(value) -> Column:
@@ -146,7 +160,7 @@ def signalling_edges(raw: DataFrame, mapping: DataFrame, *, minimum_rows: int =
     union, curation effort by sum. ``mapping(key, value)`` resolves the symbols.
     """
     require_columns(raw, *SIGNALLING_COLUMNS, what="signalling file")
-    if raw.count() < minimum_rows:
+    if raw.limit(minimum_rows).count() < minimum_rows:
         raise SourceError("signalling file has too few rows")
     ends = mapping.select("key", "value")
     effort = F.expr("try_cast(curation_effort AS int)") if "curation_effort" in raw.columns else F.lit(0)

@@ -41,10 +41,12 @@ def parse_diseases(payloads: DataFrame, *, column: str = "payload") -> tuple[Dat
 ANNOTATION_PAYLOAD = "struct<entity: string, version: string, results: array<struct<id: string, name: string, type: string>>>"
 
 
-def parse_annotations(payloads: DataFrame, *, source: str, column: str = "payload", limit: int = 100) -> DataFrame:
-    """Bounded, distinct annotation rows with source and version from saved responses."""
+def parse_annotations(payloads: DataFrame, *, source: str, column: str = "payload", limit: int | None = None) -> DataFrame:
+    """Distinct annotation rows with source and version from saved responses."""
     rows = payloads.select(F.from_json(column, ANNOTATION_PAYLOAD).alias("p")).where("p.entity IS NOT NULL")
-    kept = rows.select(F.col("p.entity").alias("entity"), F.col("p.version").alias("version"), F.explode_outer(F.slice(F.array_distinct("p.results"), 1, limit)).alias("r"))
+    results = F.array_distinct("p.results")
+    results = results if limit is None else F.slice(results, 1, limit)
+    kept = rows.select(F.col("p.entity").alias("entity"), F.col("p.version").alias("version"), F.explode_outer(results).alias("r"))
     return kept.select("entity", F.lit(source).alias("source"), "version", F.col("r.id").alias("term"), F.col("r.name").alias("name"), F.col("r.type").alias("kind")).where("term IS NOT NULL").distinct()
 
 
@@ -150,12 +152,20 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     ).select("rows", F.sha2(F.concat_ws(":", "rows", "xor", "sum"), 256).alias("fingerprint"))
 
 
-def graph_fingerprint(edges: DataFrame) -> DataFrame:
-    """Digest of canonical edges; direction and order of the input do not matter."""
+def graph_fingerprint(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """Digest of the node ids and the canonical edges; direction and order of the input do not matter.
+
+    Weights and distances count with every digit; ``vertices(id)`` adds nodes
+    without edges.
+    """
     canonical = edges.select(
-        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.format_number("weight", 12).alias("weight"),
-        F.format_number("distance", 12).alias("distance"), F.col("is_bridge").cast("string").alias("is_bridge"))
-    return table_fingerprint(canonical)
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").cast("string").alias("weight"),
+        F.col("distance").cast("double").cast("string").alias("distance"), F.col("is_bridge").cast("string").alias("is_bridge"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    if vertices is not None:
+        nodes = nodes.unionByName(vertices.select("id"))
+    nodes = nodes.distinct().select(F.col("id").alias("src"), *[F.lit(None).cast("string").alias(c) for c in canonical.columns[1:]])
+    return table_fingerprint(canonical.unionByName(nodes))
 
 
 def inspect_schema(tables: Mapping[str, DataFrame | None], declared: Mapping[str, tuple[Sequence[str], bool]], spark: SparkSession) -> DataFrame:
@@ -172,6 +182,19 @@ def inspect_schema(tables: Mapping[str, DataFrame | None], declared: Mapping[str
     return spark.createDataFrame(rows, "dataset string, required boolean, present boolean, missing string, status string")
 
 
+def inspect_rows(tables: Mapping[str, DataFrame], declared: Mapping[str, tuple[Sequence[str], bool]]) -> DataFrame:
+    """Rows of each present dataset, and how many lack a value in a declared column: ``dataset, rows, incomplete``."""
+    out = None
+    for name, table in tables.items():
+        held = [c for c in declared[name][0] if c in table.columns]
+        lacking = F.lit(False)
+        for column in held:
+            lacking = lacking | F.col(column).isNull()
+        part = table.agg(F.count(F.lit(1)).alias("rows"), F.count_if(lacking).alias("incomplete")).select(F.lit(name).alias("dataset"), "rows", "incomplete")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def overall_status(checks: DataFrame) -> DataFrame:
     worst = F.when(F.bool_or(F.col("status") == "UNAVAILABLE"), "UNAVAILABLE").when(F.bool_or(F.col("status") == "PARTIAL"), "PARTIAL").otherwise("READY")
     return checks.agg(worst.alias("status"))

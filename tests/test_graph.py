@@ -149,3 +149,64 @@ def test_half_loss_dose(spark):
     got = scenarios.half_loss_dose(doses).first()
     assert got["status"] == "interpolated" and got["half_loss_survival"] == pytest.approx(0.4)
     assert scenarios.half_loss_dose(doses.where("loss_pct < 50")).first()["status"] == "resistant"
+
+
+def test_directed_rank_runs_as_long_as_the_tolerance_needs(spark):
+    """Damping 0.95 needs 494 rounds without acceleration."""
+    rows = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("a", "d", 3.0), ("d", "c", 1.0), ("d", "d2", 1.0), ("d2", "a", 1.0)]
+    arcs = spark.createDataFrame(rows, "src string, dst string, weight double")
+    got = ranks(pagerank(arcs, symmetric=False, damping=0.95))
+    assert {n: got[("base", n)] for n in ("a", "b", "c", "d", "d2")} == pytest.approx(power(rows, ("a", "b", "c", "d", "d2"), 0.95, rounds=3000), abs=1e-10)
+
+
+def test_asymmetric_arcs_are_refused(spark):
+    arcs = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0)], "src string, dst string, weight double")
+    with pytest.raises(ValueError, match="symmetric"):
+        pagerank(arcs)
+
+
+def test_one_way_scenario_is_solved_plainly(spark):
+    rows = [("a", "b", 0.5), ("b", "c", 0.8), ("a", "c", 1.0), ("c", "d", 0.2)]
+    both = [(s, d, w) for a, b, w in rows for s, d in ((a, b), (b, a))]
+    table = scenarios.scenario_table(spark, {"hit": ["c"]}, 0.1)
+    for mode, end in (("outgoing", 0), ("incoming", 1)):
+        found = {r["id"]: r["perturbed"] for r in scenarios.what_if(graph(spark, rows), table, mode=mode).collect()}
+        assert found == pytest.approx(power([(s, d, w * 0.1 if (s, d)[end] == "c" else w) for s, d, w in both], "abcd", 0.85), abs=1e-9)
+
+
+def test_distances_and_routes_along_a_long_path(spark):
+    arcs = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}", 1.0) for k in range(24)], "src string, dst string, distance double")
+    origin = spark.createDataFrame([("n00",)], "source string")
+    found = traversal.shortest_distances(arcs, origin)
+    assert {r["id"]: r["dist"] for r in found.collect()} == {f"n{k:02d}": float(k) for k in range(25)}
+    route = traversal.shortest_routes(arcs, found, spark.createDataFrame([("n00", "n24")], "source string, id string")).first()
+    assert route["path"] == [f"n{k:02d}" for k in range(25)]
+    assert traversal.hop_distances(arcs, origin, max_depth=3).count() == 4
+
+
+def test_rewiring_reaches_its_number_or_raises(spark):
+    star = spark.createDataFrame([("hub", f"n{k}", 1.0) for k in range(6)], "src string, dst string, weight double")
+    with pytest.raises(ValueError, match="0 of 2"):
+        resilience.rewire(star, 2)
+
+
+def test_draws_fill_a_short_band_from_the_nearest_degrees(spark):
+    """Three targets of a band with one other node: every iteration still has three different nodes, none a target."""
+    degrees = spark.createDataFrame([("t1", 64), ("t2", 65), ("t3", 66), ("same", 70)] + [(f"n{k}", 4 + k % 4) for k in range(20)], "id string, degree bigint")
+    draws = scenarios.degree_matched_draws(degrees, ["t1", "t2", "t3", "absent"], 7).collect()
+    per = {}
+    for r in draws:
+        per.setdefault(r["scenario_id"], []).append(r["id"])
+    assert len(per) == 7 and all(len(ids) == len(set(ids)) == 3 and "same" in ids and not {"t1", "t2", "t3"} & set(ids) for ids in per.values())
+    with pytest.raises(ValueError, match="fewer nodes"):
+        scenarios.degree_matched_draws(degrees.where("degree >= 64 AND degree < 66"), ["t1", "t2"], 2)
+
+
+def test_normal_tail_in_far_tails(spark):
+    import math
+
+    from meshflux.functions.measures import normal_tail
+
+    rows = spark.createDataFrame([(float(z),) for z in (-9, -2, -0.5, 0, 0.3, 1, 2.8, 2.9, 4, 6, 8, 20, 35)], "z double")
+    for r in rows.withColumn("p", normal_tail("z")).collect():
+        assert r["p"] == pytest.approx(math.erfc(r["z"] / math.sqrt(2)) / 2, rel=1e-11)

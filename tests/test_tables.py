@@ -170,4 +170,3 @@ def test_all_registered_queries_have_unique_names():
 
     names = list(entry.queries())
     assert len(names) == len(set(names)) > 150 and set(entry.oracle_sql()) <= set(names)
-    assert not [n for n in itertools.chain(names) if "pipeline" in n]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("edges", "scenarios", "signed", "evidence", "resilience", "statistics", "lookups", "ingest")
+MODULES = ("edges", "scenarios", "signed", "evidence", "resilience", "statistics", "lookups", "ingest", "reports")
 
 
 def load_all() -> None:

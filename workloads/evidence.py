@@ -44,6 +44,14 @@ def channel_rows(t):
         F.least(F.lit(1000), F.round(F.expr("200 + 12 * qty"))).cast("int").alias("combined_score"))
 
 
+def with_decoys(t):
+    """Every pair twice: an earlier row the other way round with other values, which must lose, and the true one."""
+    rows = channel_rows(t).withColumn("line_no", F.lit(2))
+    decoys = rows.select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("line_no"), *[(F.lit(1000) - F.col(c)).alias(c) for c in ev.CHANNELS], F.lit(999).alias("combined_score"))
+    return decoys.where(F.col("src").isNotNull()).join(rows.where("combined_score >= 600").select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").unionByName(rows)
+
+
 def sql_combine(channels):
     product = " * ".join(f"(CASE WHEN {c} > 0 THEN 1 - greatest(0, ({c} / 1000.0::DOUBLE - 0.041::DOUBLE) / 0.959::DOUBLE) ELSE 1 END)" for c in channels)
     return f"(0.041::DOUBLE + 0.959::DOUBLE * (1 - {product}))"
@@ -81,9 +89,7 @@ def r(name, digits):
 @workload("channel_index", f"""WITH {SQL_CHANNELS}
 SELECT src, dst, combined_score, round(reconstructed, 8) AS reconstructed, round(s_nontext, 8) AS s_nontext, round(text_dependency, 8) AS text_dependency FROM idx""")
 def channel_index(t):
-    both = channel_rows(t).unionByName(channel_rows(t).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(2).alias("line_no"), *ev.CHANNELS, "combined_score"))
-    return ev.channel_index(both, threshold=600).select(
+    return ev.channel_index(with_decoys(t), threshold=600).select(
         "src", "dst", "combined_score", r("reconstructed", 8), r("s_nontext", 8), r("text_dependency", 8))
 
 

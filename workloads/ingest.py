@@ -28,9 +28,11 @@ def link_file(t):
     from meshflux.operators.evidence import CHANNELS, channel_index
 
     path = fresh_path(t, "links")
-    rows = ev.channel_rows(t).select(
-        F.concat(F.lit("9606."), "src").alias("protein1"), F.concat(F.lit("9606."), "dst").alias("protein2"), *CHANNELS, "combined_score")
-    rows.write.option("sep", " ").option("header", True).option("compression", "gzip").csv(path)
+    rows = ev.with_decoys(t).select(
+        F.concat(F.lit("9606."), "src").alias("protein1"), F.concat(F.lit("9606."), "dst").alias("protein2"), *CHANNELS, "combined_score", "line_no")
+    # Both rows of a pair go to one file, the one that must lose first.
+    filed = rows.repartition(3, F.least("protein1", "protein2"), F.greatest("protein1", "protein2")).sortWithinPartitions("line_no").drop("line_no")
+    filed.write.option("sep", " ").option("header", True).option("compression", "gzip").csv(path)
     return channel_index(ig.read_links(t.spark, path), threshold=600).select("src", "dst", "combined_score", r("s_nontext", 8))
 
 
@@ -93,6 +95,7 @@ def signalling_raw(t):
     return t.lineitem.select(
         F.lit("x").alias("source"), F.lit("y").alias("target"), i.supplier_id().alias("source_genesymbol"), i.part_id().alias("target_genesymbol"),
         yes(F.col("l_linenumber") < 6).alias("is_directed"), yes(F.col("l_returnflag") == "R").alias("is_stimulation"), yes(F.col("l_linestatus") == "O").alias("is_inhibition"),
+        yes(F.col("l_linenumber") % 2 == 1).alias("consensus_direction"), yes(F.col("l_tax") > 0.05).alias("consensus_stimulation"), yes(F.col("l_discount") > 0.07).alias("consensus_inhibition"),
         F.concat("l_returnflag", F.lit(";"), "l_linestatus", F.lit("|"), "l_returnflag").alias("sources"), F.concat(F.lit("ref"), F.col("l_linenumber").cast("string")).alias("references"),
         F.col("l_linenumber").cast("string").alias("curation_effort"))
 
@@ -113,11 +116,15 @@ def mapping_report(t):
     return report.select("rows", r("edge_rate", 8), r("entity_rate", 8), "acceptance")
 
 
-@workload("directed_overlay", """SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'conflicting_evidence' WHEN l_returnflag = 'R' THEN 'consensus_stimulation' WHEN l_linestatus = 'O' THEN 'consensus_inhibition' WHEN l_linenumber < 6 THEN 'direction_only' ELSE 'unsupported_direction' END AS evidence_status, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""")
+@workload("directed_overlay", """SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, CASE WHEN l_linenumber % 2 = 1 THEN 'source_to_target' END AS direction, l_returnflag = 'R' AS stimulation, l_linestatus = 'O' AS inhibition,
+ CASE WHEN l_tax > 0.05 AND l_discount > 0.07 THEN 'conflicting_evidence' WHEN l_tax > 0.05 THEN 'consensus_stimulation' WHEN l_discount > 0.07 THEN 'consensus_inhibition' WHEN l_linenumber % 2 = 1 THEN 'direction_only' ELSE 'unsupported_direction' END AS evidence_status,
+ CASE WHEN l_returnflag < l_linestatus THEN l_returnflag || ';' || l_linestatus ELSE l_linestatus || ';' || l_returnflag END AS provenance, 'ref' || l_linenumber AS "references",
+ 'Homo sapiens' AS organism, 'r7' AS snapshot_version, 'directed_regulatory' AS evidence_layer, count(*) AS n FROM lineitem GROUP BY ALL""")
 def directed_overlay(t):
-    overlay, available = ig.directed_overlay(t.spark, signalling_raw(t))
-    assert available and len(overlay.columns) == 14
-    return overlay.groupBy("source", "target", "evidence_status").agg(F.count(F.lit(1)).alias("n"))
+    """The status rests on the consensus flags, which differ from the raw ones here."""
+    overlay, _ = ig.directed_overlay(t.spark, signalling_raw(t), version="r7")
+    columns = ["source", "target", "direction", "stimulation", "inhibition", "evidence_status", "provenance", "references", "organism", "snapshot_version", "evidence_layer"]
+    return overlay.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def complex_raw(t):
@@ -247,19 +254,46 @@ def provenance_column(t):
     return st.with_provenance(t.supplier.select("s_suppkey"), {"source": "sales", "seed": 42})
 
 
-@workload("fingerprints", f"WITH {i.sql_edges()} SELECT count(*) AS rows, 1 AS fingerprints FROM edges")
+@workload("fingerprints", f"""WITH {i.sql_edges()}, c AS (SELECT (SELECT count(*) FROM edges) + (SELECT count(DISTINCT src) FROM arcs) AS rows)
+SELECT variant, rows + more AS rows, same FROM c, (VALUES ('flipped', 0, true), ('isolated', 1, false), ('weight', 0, false)) v(variant, more, same)""")
 def fingerprints(t):
-    """Order and direction of the input do not change the digest; a changed weight does."""
+    """Order and direction of the input do not change the digest; another node, or a weight changed in its last digits, does."""
     edges = i.plain_graph(t).select("src", "dst", "weight", "distance", F.lit(False).alias("is_bridge"))
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "distance", "is_bridge").repartition(5, "src")
-    both = st.graph_fingerprint(edges).unionByName(st.graph_fingerprint(flipped))
-    return both.groupBy("rows").agg(F.countDistinct("fingerprint").alias("fingerprints"))
+    alone = t.spark.createDataFrame([("alone",)], "id string")
+    least = edges.agg(F.min(F.struct("src", "dst"))).first()[0]
+    moved = edges.withColumn("weight", F.when((F.col("src") == least.src) & (F.col("dst") == least.dst), F.col("weight") * (1 + 1e-14)).otherwise(F.col("weight")))
+    base = st.graph_fingerprint(edges).select(F.col("fingerprint").alias("base"))
+    out = None
+    for name, found in (("flipped", st.graph_fingerprint(flipped)), ("isolated", st.graph_fingerprint(edges, alone)), ("weight", st.graph_fingerprint(moved))):
+        part = found.withColumn("variant", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.join(F.broadcast(base)).select("variant", "rows", (F.col("fingerprint") == F.col("base")).alias("same"))  # one row
 
 
-@workload("schema_health", """SELECT * FROM (VALUES ('part', true, true, '', 'READY'), ('supplier', false, true, 's_rating', 'PARTIAL'), ('extra', true, false, 'a;b', 'UNAVAILABLE')) v(dataset, required, present, missing, status)""")
+@workload("schema_health", """SELECT * FROM (
+ SELECT 'part' AS dataset, true AS required, true AS present, '' AS missing, 'READY' AS status, (SELECT count(*) FROM part) AS rows, (SELECT count(*) FROM part WHERE p_partkey IS NULL OR p_name IS NULL) AS incomplete
+ UNION ALL SELECT 'supplier', false, true, 's_rating', 'PARTIAL', (SELECT count(*) FROM supplier), (SELECT count(*) FROM supplier WHERE s_suppkey IS NULL)
+ UNION ALL SELECT 'reviewed', true, true, '', 'READY', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_totalprice < 100000)
+ UNION ALL SELECT 'extra', true, false, 'a;b', 'UNAVAILABLE', NULL, NULL)""")
 def schema_health(t):
-    declared = {"part": (("p_partkey", "p_name"), True), "supplier": (("s_suppkey", "s_rating"), False), "extra": (("a", "b"), True)}
-    return st.inspect_schema({"part": t.part, "supplier": t.supplier, "extra": None}, declared, t.spark)
+    declared = {"part": (("p_partkey", "p_name"), True), "supplier": (("s_suppkey", "s_rating"), False), "reviewed": (("o_orderkey", "price"), True), "extra": (("a", "b"), True)}
+    reviewed = t.orders.select("o_orderkey", F.when(F.col("o_totalprice") >= 100000, F.col("o_totalprice")).alias("price"))
+    tables = {"part": t.part, "supplier": t.supplier, "reviewed": reviewed, "extra": None}
+    rows = st.inspect_rows({k: v for k, v in tables.items() if v is not None}, declared)
+    return st.inspect_schema(tables, declared, t.spark).join(rows, "dataset", "left")
+
+
+@workload("overall_status", """SELECT 'UNAVAILABLE' AS status, 'PARTIAL' AS without_extra, count(*) AS datasets FROM (SELECT DISTINCT o_orderstatus FROM orders)""")
+def overall_status(t):
+    """The worst status decides; datasets are the orders by their status."""
+    names = [row[0] for row in t.orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]  # three
+    parts = {n: t.orders.where(F.col("o_orderstatus") == n) for n in names}
+    declared = {n: (("o_orderkey", "rating") if n == names[0] else ("o_orderkey",), False) for n in names}
+    whole = st.overall_status(st.inspect_schema({**parts, "extra": None}, {**declared, "extra": (("a",), True)}, t.spark))
+    some = st.overall_status(st.inspect_schema(parts, declared, t.spark)).withColumnRenamed("status", "without_extra")
+    counted = t.orders.agg(F.countDistinct("o_orderstatus").alias("datasets"))
+    return whole.join(F.broadcast(some)).join(F.broadcast(counted))  # one row each
 
 
 @workload("live_results", """WITH x AS (SELECT user_id, event_type, ts, event_id, CASE event_type WHEN 'error' THEN 21600 WHEN 'click' THEN 604800 WHEN 'view' THEN 1209600 ELSE 2592000 END AS ttl FROM events)

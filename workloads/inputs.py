@@ -60,14 +60,33 @@ def plain_graph(t: Tables, threshold: int = 300) -> DataFrame:
     )
 
 
-def hop_graph(t: Tables, threshold: int = 600) -> DataFrame:
-    """Sparse edges with whole-number distances, so path lengths tie exactly."""
-    return interactions(t).where(F.col("score") >= threshold).select(
+def hop_graph(t: Tables) -> DataFrame:
+    """All pairs with whole-number distances, so path lengths tie exactly."""
+    return interactions(t).select(
         "src", "dst", "score", (F.lit(1001) - F.col("score")).cast("double").alias("distance"),
         (F.lit(1.0) / (F.lit(1001) - F.col("score"))).alias("weight"),
     )
 
 
+def purchases(t: Tables) -> DataFrame:
+    """Orders linked to their customers: a graph of many components."""
+    return t.orders.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("dst"))
+
+
+SQL_PURCHASES = "buys AS (SELECT 'O' || o_orderkey AS src, 'C' || o_custkey AS dst FROM orders)"
+
+
+def baskets(t: Tables) -> DataFrame:
+    """Parts that share an order, with the number of shared orders."""
+    a = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("a")).distinct()
+    b = a.withColumnRenamed("a", "b")
+    return a.join(b, "l_orderkey").where("a < b").groupBy(part_id("a").alias("src"), part_id("b").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+SQL_BASKETS = """li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+bk AS MATERIALIZED (SELECT 'P' || a.l_partkey AS src, 'P' || b.l_partkey AS dst, count(*)::DOUBLE AS weight FROM li a JOIN li b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey GROUP BY 1, 2),
+ba AS MATERIALIZED (SELECT src, dst, weight FROM bk UNION ALL SELECT dst, src, weight FROM bk)"""
+
 SQL_PAIRS = """pairs AS (
   SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst,
          CAST(least(1000, sum(l_quantity) * 10) AS INTEGER) AS score

@@ -168,12 +168,12 @@ SQL_LOOKUP = """lk AS (SELECT lower('P' || p_partkey) AS key, 1 AS rank, 'canoni
  UNION ALL SELECT lower(p_brand || '/' || p_size || '/' || p_type), 3, 'symbol', 'P' || p_partkey FROM part UNION ALL SELECT lower(p_name), 4, 'alias', 'P' || p_partkey FROM part)"""
 
 
-@workload("resolve_ids", f"""WITH {SQL_LOOKUP}, q AS (SELECT DISTINCT query FROM (SELECT ' p' || p_partkey || ' ' AS query FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand || '/' || p_size || '/' || p_type FROM part UNION ALL SELECT c_name FROM customer)),
+@workload("resolve_ids", f"""WITH {SQL_LOOKUP}, q AS (SELECT DISTINCT query FROM (SELECT ' p' || p_partkey || ' ' AS query FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand || '/' || p_size || '/' || p_type FROM part UNION ALL SELECT c_name FROM customer)),
 h AS (SELECT query, rank, stage, entity FROM q JOIN lk ON lower(trim(query)) = key), f AS (SELECT query, min(rank) AS rank FROM h GROUP BY 1),
 g AS (SELECT h.query, count(DISTINCT entity) AS n, min(entity) AS entity, min(stage) AS stage FROM h JOIN f ON h.query = f.query AND h.rank = f.rank GROUP BY 1)
 SELECT q.query, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN stage = 'alias' THEN 'ALIAS' ELSE 'EXACT' END AS status, CASE WHEN n = 1 THEN entity END AS entity, coalesce(n, 0) AS candidates FROM q LEFT JOIN g USING (query)""")
 def resolve_ids(t):
-    queries = t.part.where("p_partkey % 3 = 0").select(F.concat(F.lit(" p"), F.col("p_partkey").cast("string"), F.lit(" ")).alias("query")).unionByName(
+    queries = t.part.select(F.concat(F.lit(" p"), F.col("p_partkey").cast("string"), F.lit(" ")).alias("query")).unionByName(
         t.part.select(F.col("p_name").alias("query"))).unionByName(t.part.select(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("/"), "p_type").alias("query"))).unionByName(
         t.customer.select(F.col("c_name").alias("query")))
     return an.resolve(queries, lookup_rows(t)).select("query", "status", "entity", "candidates")
@@ -322,14 +322,14 @@ def candidate_search(t):
 def validate_candidates(t):
     from meshflux.operators.propagation import symmetric_arcs
 
-    arcs = cut(symmetric_arcs(i.plain_graph(t, 600)))
+    arcs = cut(symmetric_arcs(i.plain_graph(t)))
     candidates = t.spark.createDataFrame([("S2",), ("S3",), ("P3",)], "id string")
     return se.validate_candidates(arcs, candidates, "S1", factor=0.05)
 
 
 @workload("betweenness_change", None)
 def betweenness_change(t):
-    return se.betweenness_change(i.hop_graph(t, 900), ["S2", "S3"], "S1", factor=0.05, sample=8, hops=2)
+    return se.betweenness_change(i.plain_graph(t), ["S2", "S3"], "S1", factor=0.05, sample=8, hops=2)
 
 
 def engines(t):
@@ -498,10 +498,10 @@ def repeated_relationships(t):
     return fi.repeated_relationships(rows).select("target", "type", "responses")
 
 
-@workload("evidence_rows", """SELECT DISTINCT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, l_returnflag AS effect FROM lineitem WHERE l_partkey % 3 = 0 AND l_suppkey % 2 = 0 ORDER BY 1, 2, 3 LIMIT 100""")
+@workload("evidence_rows", """SELECT DISTINCT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, l_returnflag AS effect FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size <= 30 AND s_acctbal > 0""")
 def evidence_rows(t):
     relations = t.lineitem.select(i.supplier_id().alias("source"), i.part_id().alias("target"), F.col("l_returnflag").alias("effect"))
-    symbols = t.part.where("p_partkey % 3 = 0").select(i.part_id("p_partkey").alias("symbol")).unionByName(t.supplier.where("s_suppkey % 2 = 0").select(i.supplier_id("s_suppkey").alias("symbol")))
+    symbols = t.part.where("p_size <= 30").select(i.part_id("p_partkey").alias("symbol")).unionByName(t.supplier.where("s_acctbal > 0").select(i.supplier_id("s_suppkey").alias("symbol")))
     return fi.evidence_for(relations, symbols)
 
 
@@ -575,25 +575,25 @@ def mapped_metrics(t):
 
 
 def partner_symbols(t):
-    return t.part.where("p_partkey < 600").select(F.concat(F.lit("M"), F.col("p_partkey").cast("string")).alias("symbol"), i.part_id("p_partkey").alias("id"))
+    return t.part.where("p_retailprice < 1300").select(F.concat(F.lit("M"), F.col("p_partkey").cast("string")).alias("symbol"), i.part_id("p_partkey").alias("id"))
 
 
-@workload("resolve_partner", f"""WITH {SQL_MAP}, sy AS (SELECT 'M' || p_partkey AS symbol, 'P' || p_partkey AS id FROM part WHERE p_partkey < 600),
-q AS (SELECT 'H' || p_partkey AS query FROM part WHERE p_partkey < 700 UNION ALL SELECT 'm' || p_partkey FROM part WHERE p_partkey < 50 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey < 50 UNION ALL SELECT 'ENSP' || p_partkey FROM part WHERE p_partkey < 20)
+@workload("resolve_partner", f"""WITH {SQL_MAP}, sy AS (SELECT 'M' || p_partkey AS symbol, 'P' || p_partkey AS id FROM part WHERE p_retailprice < 1300),
+q AS (SELECT unnest(['H' || p_partkey, 'm' || p_partkey, 'p' || p_partkey, 'ENSP' || p_partkey]) AS query FROM part)
 SELECT q.query, CASE WHEN regexp_matches(query, '^ENSP[0-9]+') THEN 'WRONG_SPECIES' WHEN a.id IS NOT NULL THEN 'EXACT_ID' WHEN b.id IS NOT NULL THEN 'EXACT_SYMBOL' WHEN c.id IS NOT NULL THEN 'ORTHOLOG_ALIAS' ELSE 'UNRESOLVED' END AS status, coalesce(a.id, b.id, c.id) AS id
 FROM q LEFT JOIN sy a ON lower(a.id) = lower(query) LEFT JOIN sy b ON lower(b.symbol) = lower(query) LEFT JOIN (SELECT bj.symbol, sy.id FROM bj JOIN sy ON sy.symbol = bj.partner) c ON lower(c.symbol) = lower(query)""")
 def resolve_partner(t):
-    named = lambda p, n: t.part.where(f"p_partkey < {n}").select(F.concat(F.lit(p), F.col("p_partkey").cast("string")).alias("query"))
-    queries = named("H", 700).unionByName(named("m", 50)).unionByName(named("p", 50)).unionByName(named("ENSP", 20))
+    forms = F.array(*[F.concat(F.lit(p), F.col("p_partkey").cast("string")) for p in ("H", "m", "p", "ENSP")])
+    queries = t.part.select(F.explode(forms).alias("query"))
     return cw.resolve_partner(queries, partner_symbols(t), cw.classify_mapping(mapping_rows(t)))
 
 
-@workload("suitability", f"""WITH {SQL_MAP}, sy AS (SELECT 'M' || p_partkey AS symbol, 'P' || p_partkey AS id, p_size FROM part WHERE p_partkey < 600), q AS (SELECT 'H' || p_partkey AS query FROM part WHERE p_partkey < 800),
+@workload("suitability", f"""WITH {SQL_MAP}, sy AS (SELECT 'M' || p_partkey AS symbol, 'P' || p_partkey AS id, p_size FROM part WHERE p_retailprice < 1300), q AS (SELECT 'H' || p_partkey AS query FROM part),
 g AS (SELECT symbol, count(DISTINCT partner) AS n, min(partner) AS partner, bool_or(class IN ('ONE_TO_MANY', 'MANY_TO_MANY') AND partner IS NOT NULL) AS several FROM mp GROUP BY 1)
 SELECT query, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n = 0 THEN 'NO_DIRECT_ORTHOLOG' WHEN n > 1 OR several THEN 'MULTIPLE_ORTHOLOGS' WHEN id IS NULL OR p_size <= 5 THEN 'ORTHOLOG_EXISTS_NOT_IN_GRAPH' WHEN p_size <= 25 THEN 'ORTHOLOG_EXISTS_CONTEXT_UNAVAILABLE' ELSE 'DIRECT_ORTHOLOG_AVAILABLE' END AS status
 FROM q LEFT JOIN g ON g.symbol = query LEFT JOIN sy ON sy.symbol = g.partner""")
 def suitability(t):
-    queries = t.part.where("p_partkey < 800").select(F.concat(F.lit("H"), F.col("p_partkey").cast("string")).alias("query"))
+    queries = t.part.select(F.concat(F.lit("H"), F.col("p_partkey").cast("string")).alias("query"))
     nodes = t.part.where("p_size > 5").select(i.part_id("p_partkey").alias("id"))
     members = t.part.where("p_size > 25").select(i.part_id("p_partkey").alias("id"))
     return cw.suitability(queries, cw.classify_mapping(mapping_rows(t)), partner_symbols(t), nodes, members).select("query", "status")

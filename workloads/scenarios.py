@@ -124,7 +124,7 @@ def selection_policies(t):
 @workload("severity_sweep", None)
 def severity_sweep(t):
     arcs = cut(symmetric_arcs(i.plain_graph(t)))
-    return p.severity_sweep(arcs, ["S1", "S2"], {"Mild": 0.5, "Moderate": 0.2, "Strong": 0.05, "Near-complete": 0.001})
+    return p.severity_sweep(arcs, ["S1", "S2"], {"Mild": 0.5, "Moderate": 0.2, "Strong": 0.05, "Near-complete": 0.001}, sample=4)
 
 
 @workload("batch_sweep", None)
@@ -202,8 +202,8 @@ def context_differential(t):
 
 @workload("interaction", None)
 def interaction(t):
-    arcs = cut(symmetric_arcs(i.plain_graph(t, 600)))
-    return p.interaction(arcs, ["S1", "S2"])
+    arcs = cut(symmetric_arcs(i.plain_graph(t)))
+    return p.interaction(arcs, ["S1", "S2"], sample=8)
 
 
 @workload("keyed_pagerank", f"""WITH RECURSIVE {i.SQL_PAIRS}, e1 AS (SELECT src, dst, pow(score / 1000.0::DOUBLE, 2) AS weight FROM pairs WHERE score >= 400),

@@ -23,7 +23,7 @@ def hop_arcs(t):
     return symmetric_arcs(i.hop_graph(t), "distance", "weight")
 
 
-SQL_HOP = f"""{i.SQL_PAIRS}, edges AS (SELECT src, dst, score, (1001 - score)::DOUBLE AS distance FROM pairs WHERE score >= 600),
+SQL_HOP = f"""{i.SQL_PAIRS}, edges AS (SELECT src, dst, score, (1001 - score)::DOUBLE AS distance FROM pairs),
 arcs AS MATERIALIZED (SELECT src, dst, distance FROM edges UNION ALL SELECT dst, src, distance FROM edges)"""
 
 SOURCES = ("S1", "P3", "S5")
@@ -80,10 +80,10 @@ def neighbourhood(t):
 
 
 @workload("induced_subgraph", f"""WITH {i.sql_edges()} SELECT src, dst, score FROM edges
-WHERE CAST(substr(src, 2) AS INT) % 3 = 0 AND CAST(substr(dst, 2) AS INT) % 2 = 0""")
+JOIN part ON src = 'P' || p_partkey AND p_size <= 30 JOIN supplier ON dst = 'S' || s_suppkey AND s_acctbal > 0""")
 def induced_subgraph(t):
-    members = t.part.where("p_partkey % 3 = 0").select(i.part_id("p_partkey").alias("id")).unionByName(
-        t.supplier.where("s_suppkey % 2 = 0").select(i.supplier_id("s_suppkey").alias("id")))
+    members = t.part.where("p_size <= 30").select(i.part_id("p_partkey").alias("id")).unionByName(
+        t.supplier.where("s_acctbal > 0").select(i.supplier_id("s_suppkey").alias("id")))
     return tv.induced_subgraph(i.plain_graph(t).select("src", "dst", "score"), members)
 
 
@@ -108,25 +108,25 @@ def reconnecting_bridges(t):
     return tv.reconnecting_bridges(graph, core).select("src", "dst", r("weight", 8))
 
 
-@workload("components", f"""WITH RECURSIVE {i.SQL_PAIRS}, edges AS (SELECT src, dst FROM pairs WHERE score >= 900),
-arcs AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+@workload("components", f"""WITH RECURSIVE {i.SQL_PURCHASES},
+arcs AS MATERIALIZED (SELECT src, dst FROM buys UNION ALL SELECT dst, src FROM buys),
 c AS (SELECT src AS id, src AS label, 0 AS k FROM arcs GROUP BY src
   UNION ALL
-  SELECT id, min(label), k + 1 FROM (SELECT id, label, k FROM c UNION ALL SELECT a.dst, c.label, c.k FROM c JOIN arcs a ON c.id = a.src) u WHERE k < 60 GROUP BY id, k)
-SELECT id, label AS component FROM c WHERE k = 60""")
+  SELECT id, min(label), k + 1 FROM (SELECT id, label, k FROM c UNION ALL SELECT a.dst, c.label, c.k FROM c JOIN arcs a ON c.id = a.src) u WHERE k < 6 GROUP BY id, k)
+SELECT id, label AS component FROM c WHERE k = 6""")
 def components(t):
-    return tv.components(i.interactions(t).where("score >= 900"))
+    return tv.components(i.purchases(t))
 
 
-@workload("largest_component", f"""WITH RECURSIVE {i.SQL_PAIRS}, edges AS (SELECT src, dst FROM pairs WHERE score >= 950),
+@workload("largest_component", f"""WITH RECURSIVE {i.SQL_PAIRS}, {i.SQL_PURCHASES}, edges AS (SELECT src, dst FROM pairs UNION ALL SELECT src, dst FROM buys),
 arcs AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 c AS (SELECT src AS id, src AS label, 0 AS k FROM arcs GROUP BY src
   UNION ALL
-  SELECT id, min(label), k + 1 FROM (SELECT id, label, k FROM c UNION ALL SELECT a.dst, c.label, c.k FROM c JOIN arcs a ON c.id = a.src) u WHERE k < 80 GROUP BY id, k),
-s AS (SELECT label, count(*) AS n FROM c WHERE k = 80 GROUP BY label)
+  SELECT id, min(label), k + 1 FROM (SELECT id, label, k FROM c UNION ALL SELECT a.dst, c.label, c.k FROM c JOIN arcs a ON c.id = a.src) u WHERE k < 14 GROUP BY id, k),
+s AS (SELECT label, count(*) AS n FROM c WHERE k = 14 GROUP BY label)
 SELECT sum(n) AS nodes, max(n) AS largest, count(*) AS components, round(max(n) / sum(n), 8) AS ratio FROM s""")
 def largest_component(t):
-    return tv.largest_component(tv.components(i.interactions(t).where("score >= 950"))).withColumn("ratio", F.round("ratio", 8))
+    return tv.largest_component(tv.components(i.interactions(t).select("src", "dst").unionByName(i.purchases(t)))).withColumn("ratio", F.round("ratio", 8))
 
 
 @workload("sampled_efficiency", f"""{SQL_DIST}
@@ -152,29 +152,33 @@ def pair_efficiency(t):
     return tv.pair_efficiency(arcs, members.join(tv.vertices_of(arcs), "id", "left_semi")).select("id", r("node_efficiency", 9))
 
 
-@workload("local_efficiency", f"""WITH {i.SQL_PAIRS}, g AS (
-  SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT CAST(substr(src, 2) AS INT) % 40 AS a, CAST(substr(dst, 2) AS INT) % 40 AS b FROM pairs WHERE score >= 990) WHERE a <> b),
-arcs AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g),
-nb AS (SELECT src AS ego, dst AS id FROM arcs),
-size_ AS (SELECT ego, count(*) AS n FROM nb GROUP BY ego),
-one AS (SELECT n1.ego, n1.id AS a, n2.id AS b FROM nb n1 JOIN nb n2 ON n1.ego = n2.ego AND n1.id <> n2.id JOIN arcs x ON x.src = n1.id AND x.dst = n2.id),
-two AS (SELECT DISTINCT o1.ego, o1.a, o2.b FROM one o1 JOIN one o2 ON o1.ego = o2.ego AND o1.b = o2.a AND o1.a <> o2.b ANTI JOIN one o3 ON o3.ego = o1.ego AND o3.a = o1.a AND o3.b = o2.b)
-SELECT s.ego AS id, n AS neighbours, (SELECT count(*) FROM one WHERE one.ego = s.ego) AS direct_pairs FROM size_ s""")
-def local_efficiency(t):
-    """Neighbourhood size and the number of linked neighbour pairs behind the efficiency."""
-    key = lambda c: F.substring(c, 2, 10).cast("int") % 40
-    graph = e.simplify(i.interactions(t).where("score >= 990").select(key("src").alias("src"), key("dst").alias("dst"), F.lit(1.0).alias("weight")))
-    arcs = cut(symmetric_arcs(graph, "distance"))
-    out = tv.local_efficiency(arcs).select("id", "neighbours")
-    linked = arcs.select(F.col("src").alias("id"), "dst").join(arcs.select(F.col("src").alias("dst"), F.col("dst").alias("third")), "dst").join(
-        arcs.select(F.col("src").alias("id"), F.col("dst").alias("third")), ["id", "third"]).groupBy("id").agg(F.count(F.lit(1)).alias("direct_pairs"))
-    return out.join(linked, "id", "left").fillna(0)
+EGOS = ("P1", "P2", "P3", "P4", "P5")
 
 
-@workload("target_efficiency", None)
+@workload("local_efficiency", f"""WITH RECURSIVE {i.SQL_BASKETS},
+nb AS MATERIALIZED (SELECT src AS ego, dst AS id FROM ba WHERE src IN {EGOS!r}),
+inner_ AS MATERIALIZED (SELECT a.ego, a.id AS a, b.id AS b FROM nb a JOIN ba ON ba.src = a.id JOIN nb b ON b.ego = a.ego AND b.id = ba.dst),
+h AS (SELECT ego, id AS s, id AS t, 0 AS k FROM nb UNION SELECT h.ego, h.s, i.b, h.k + 1 FROM h JOIN inner_ i ON i.ego = h.ego AND i.a = h.t WHERE h.k < 12),
+d AS (SELECT ego, s, t, min(k) AS k FROM h GROUP BY 1, 2, 3), n AS (SELECT ego, count(*) AS n FROM nb GROUP BY 1)
+SELECT n.ego AS id, n AS neighbours, round(coalesce(sum(1.0::DOUBLE / nullif(k, 0)), 0) / (n * (n - 1)), 9) AS efficiency FROM n JOIN d ON d.ego = n.ego GROUP BY n.ego, n""")
+def local_efficiency(t):
+    """Parts that share an order; every step has length 1."""
+    arcs = symmetric_arcs(i.baskets(t).withColumn("distance", F.lit(1.0)), "distance")
+    egos = t.spark.createDataFrame([(e,) for e in EGOS], "id string")
+    return tv.local_efficiency(arcs, egos=egos).select("id", "neighbours", r("efficiency", 9))
+
+
+@workload("target_efficiency", f"""WITH RECURSIVE {SQL_HOP},
+mb AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT dst AS id FROM arcs WHERE src IN ('P1', 'P3') UNION ALL SELECT src FROM arcs WHERE src IN ('P1', 'P3'))),
+ia AS MATERIALIZED (SELECT src, dst, distance FROM arcs WHERE src IN (SELECT id FROM mb) AND dst IN (SELECT id FROM mb)),
+relax AS (SELECT id AS source, id, 0.0::DOUBLE AS dist, 0 AS k FROM mb
+  UNION ALL SELECT source, id, min(dist), k + 1 FROM (SELECT source, id, dist, k FROM relax UNION ALL
+    SELECT r.source, a.dst, r.dist + a.distance, r.k FROM relax r JOIN ia a ON r.id = a.src) u WHERE k < 10 GROUP BY source, id, k),
+n AS (SELECT count(*) AS n FROM mb)
+SELECT n AS nodes, n AS sources, round(sum(CASE WHEN dist > 0 THEN 1 / dist ELSE 0 END) / (n * (n - 1)), 10) AS efficiency FROM relax, n WHERE k = 10 GROUP BY n""")
 def target_efficiency(t):
     targets = t.spark.createDataFrame([("P3",), ("P1",)], "id string")
-    return tv.target_efficiency(hop_arcs(t), targets)
+    return tv.target_efficiency(hop_arcs(t), targets).select("nodes", "sources", r("efficiency", 10))
 
 
 SQL_BC = f"""{SQL_DIST},
@@ -206,7 +210,7 @@ def congestion(t):
     graph = cut(i.hop_graph(t).select("src", "dst", "weight", "distance"))
     seeds = t.spark.createDataFrame([("S1",)], "id string")
     after = e.suppressed(graph, seeds, 0.1)
-    return ce.congestion(symmetric_arcs(graph, "distance"), symmetric_arcs(after, "distance"), seeds, hops=2, max_vertices=300, sample=4)
+    return ce.congestion(symmetric_arcs(graph, "distance"), symmetric_arcs(after, "distance"), seeds, hops=2, sample=4)
 
 
 @workload("bottlenecks", None)
@@ -230,12 +234,12 @@ SQL_EVIDENCE = """evidence AS (
     SELECT CASE WHEN l_returnflag = 'R' THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS src,
            CASE WHEN l_returnflag = 'R' THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS dst,
            bool_or(l_discount > 0.07) AS up, bool_or(l_tax > 0.06) AS down
-    FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_quantity >= 42 GROUP BY 1, 2))"""
+    FROM lineitem GROUP BY 1, 2))"""
 
 
 def evidence(t):
     returned = F.col("l_returnflag") == "R"
-    rows = t.lineitem.where("l_returnflag IN ('R', 'A') AND l_quantity >= 42").select(
+    rows = t.lineitem.select(
         F.when(returned, i.part_id()).otherwise(i.supplier_id()).alias("src"),
         F.when(returned, i.supplier_id()).otherwise(i.part_id()).alias("dst"),
         (F.col("l_discount") > 0.07).alias("up"), (F.col("l_tax") > 0.06).alias("down"), "l_linestatus")
@@ -272,7 +276,7 @@ def sql_directed_rank(name, arcs):
     """Directed PageRank; dangling mass returns through the final normalisation."""
     return f"""
 {name}_n AS MATERIALIZED (SELECT src AS id FROM {arcs} UNION SELECT dst FROM {arcs}),
-{name}_q AS MATERIALIZED (SELECT a.src, a.dst, a.weight / s.s AS q FROM {arcs} a JOIN (SELECT src, sum(weight) AS s FROM {arcs} GROUP BY src) s USING (src)),
+{name}_q AS MATERIALIZED (SELECT a.src, a.dst, a.weight / s.s AS q FROM {arcs} a JOIN (SELECT src, sum(weight) AS s FROM {arcs} GROUP BY src HAVING sum(weight) > 0) s USING (src)),
 {name}_i AS (SELECT id, 1.0::DOUBLE AS x, 0 AS k FROM {name}_n UNION ALL
   SELECT id, 0.15::DOUBLE + 0.85::DOUBLE * sum(c), max(k) + 1 FROM (
     SELECT q.dst AS id, q.q * i.x AS c, i.k FROM {name}_i i JOIN {name}_q q ON i.id = q.src
@@ -289,12 +293,12 @@ def directed_pagerank(t):
 @workload("directed_report", f"""WITH RECURSIVE {SQL_ORIENT},
 hit AS MATERIALIZED (SELECT src, dst, CASE WHEN src = 'S1' OR dst = 'S1' THEN weight * 0.001::DOUBLE ELSE weight END AS weight FROM hybrid),
 {sql_directed_rank('pa', 'hybrid')},{sql_directed_rank('pb', 'hit')},
-rel AS (SELECT id, bool_or(way = 'o') AS o, bool_or(way = 'i') AS i, bool_or(NOT f) AS s FROM (
-  SELECT dst AS id, 'o' AS way, is_fallback AS f FROM hybrid WHERE src = 'S1' UNION ALL SELECT src, 'i', is_fallback FROM hybrid WHERE dst = 'S1') GROUP BY id),
+rel AS (SELECT id, bool_or(way = 'o') AS o, bool_or(way = 'i') AS i, bool_or(NOT f) AS s, string_agg(DISTINCT signs, ';' ORDER BY signs) FILTER (WHERE NOT f AND signs <> '') AS sc FROM (
+  SELECT dst AS id, 'o' AS way, is_fallback AS f, signs FROM hybrid WHERE src = 'S1' UNION ALL SELECT src, 'i', is_fallback, signs FROM hybrid WHERE dst = 'S1') GROUP BY id),
 hops AS (SELECT 'S1' AS id, 0 AS k UNION SELECT a.dst, h.k + 1 FROM hops h JOIN hybrid a ON h.id = a.src WHERE h.k < 3),
 cov AS (SELECT id, avg(CASE WHEN f THEN 0 ELSE 1 END) AS c FROM (SELECT src AS id, is_fallback AS f FROM hybrid UNION ALL SELECT dst, is_fallback FROM hybrid) GROUP BY id)
 SELECT pa.id, round(pb.pagerank - pa.pagerank, 8) AS delta, coalesce(CASE WHEN o AND i THEN 'bidirectional' WHEN o THEN 'target_to_entity' WHEN i THEN 'entity_to_target' END, 'no_direct_relation') AS relation,
- CASE WHEN s THEN 'directed_evidence' WHEN s IS NOT NULL THEN 'undirected_fallback' ELSE 'none' END AS support, h.hops, round(c, 8) AS direction_coverage
+ CASE WHEN s THEN 'directed_evidence' WHEN s IS NOT NULL THEN 'undirected_fallback' ELSE 'none' END AS support, h.hops, coalesce(sc, 'not_available') AS sign_context, round(c, 8) AS direction_coverage
 FROM pa JOIN pb USING (id) LEFT JOIN rel USING (id) LEFT JOIN (SELECT id, min(k) AS hops FROM hops GROUP BY id) h USING (id) JOIN cov USING (id) WHERE pa.id <> 'S1'""")
 def directed_report(t):
     arcs = cut(sg.orient(i.plain_graph(t, 500), evidence(t)))
@@ -302,7 +306,7 @@ def directed_report(t):
     ranks = cut(pagerank(arcs, scenarios=[Scenario("base"), Scenario("hit")], overrides=p.overrides_for(arcs, table), symmetric=False, tolerance=1e-9))
     targets = t.spark.createDataFrame([("S1",)], "id string")
     out = sg.directed_report(arcs, ranks.where("scenario_id = 'base'"), ranks.where("scenario_id = 'hit'"), targets, max_hops=3)
-    return out.select("id", r("delta", 8), "relation", "support", "hops", r("direction_coverage", 8))
+    return out.select("id", r("delta", 8), "relation", "support", "hops", "sign_context", r("direction_coverage", 8))
 
 
 SQL_PATHS = f"""WITH RECURSIVE {SQL_EVIDENCE},
@@ -352,13 +356,22 @@ def reachability(t):
 @workload("convergence", f"""WITH RECURSIVE {SQL_EVIDENCE},
 d AS (SELECT s AS source, s AS id, 0 AS k FROM (VALUES ('P1'), ('P2'), ('P3')) v(s) UNION SELECT d.source, e.dst, d.k + 1 FROM d JOIN evidence e ON e.src = d.id WHERE d.k < 3),
 m AS (SELECT source, id, min(k) AS k FROM d GROUP BY 1, 2 HAVING min(k) > 0)
-SELECT id, count(*) AS targets, sum(k) AS total_distance FROM m GROUP BY id HAVING count(*) >= 2 ORDER BY total_distance, id LIMIT 100""")
+SELECT id, count(*) AS targets, sum(k) AS total_distance FROM m GROUP BY id HAVING count(*) >= 2""")
 def convergence(t):
     targets = t.spark.createDataFrame([("P1",), ("P2",), ("P3",)], "id string")
     return sg.convergence(evidence(t), targets, max_depth=3, with_signs=False).select("id", "targets", "total_distance")
 
 
-@workload("convergence_signs", None)
+@workload("convergence_signs", f"""WITH RECURSIVE {SQL_EVIDENCE},
+walk AS (SELECT s AS source, s AS here, [s] AS path, CAST([] AS VARCHAR[]) AS st FROM (VALUES ('P1'), ('P2'), ('P3')) v(s)
+  UNION ALL SELECT w.source, e.dst, list_append(w.path, e.dst), list_append(w.st, e.status) FROM walk w JOIN evidence e ON e.src = w.here
+  WHERE len(w.path) <= 3 AND NOT list_contains(w.path, e.dst)),
+m AS (SELECT source, here AS id, min(len(path)) - 1 AS k FROM walk GROUP BY 1, 2 HAVING min(len(path)) > 1),
+best AS (SELECT id, count(*) AS targets, sum(k) AS total_distance FROM m GROUP BY id HAVING count(*) >= 2 ORDER BY total_distance, id LIMIT 20),
+cat AS (SELECT source, here AS id, CASE WHEN list_contains(st, 'conflicting') OR list_contains(st, 'unsigned') THEN 'uncertain'
+  WHEN len(list_filter(st, lambda x: x = 'inhibition')) % 2 = 0 THEN 'activation' ELSE 'inhibition' END AS c FROM walk WHERE here IN (SELECT id FROM best) AND source <> here),
+net AS (SELECT source, id, CASE WHEN bool_or(c = 'uncertain') OR count(DISTINCT c) > 1 THEN 'uncertain' ELSE min(c) END AS sign FROM cat GROUP BY 1, 2)
+SELECT b.id, targets, total_distance, '{{' || string_agg('"' || source || '":"' || sign || '"', ',' ORDER BY source) || '}}' AS signed_relations FROM best b JOIN net USING (id) GROUP BY b.id, targets, total_distance""")
 def convergence_signs(t):
     targets = t.spark.createDataFrame([("P1",), ("P2",), ("P3",)], "id string")
     out = sg.convergence(evidence(t), targets, max_depth=3, limit=20)
@@ -391,17 +404,35 @@ def trace_report(t):
 
 @workload("propagation_trace", None)
 def propagation_trace(t):
-    nodes, _, _ = sg.propagation_trace(i.hop_graph(t), cut(trace_report(t)), "S1", evidence(t))
+    nodes, _, _ = sg.propagation_trace(i.hop_graph(t), cut(trace_report(t)), "S1", evidence(t), max_nodes=40, max_routes=12)
     return nodes
 
 
 @workload("propagation_routes", None)
 def propagation_routes(t):
-    _, routes, _ = sg.propagation_trace(i.hop_graph(t), cut(trace_report(t)), "S1", evidence(t))
+    _, routes, _ = sg.propagation_trace(i.hop_graph(t), cut(trace_report(t)), "S1", evidence(t), max_nodes=40, max_routes=12)
     return routes
 
 
-@workload("strategy_audit", None)
+WAYS = {"incident": "src = 'S1' OR dst = 'S1'", "incoming": "dst = 'S1'", "outgoing": "src = 'S1'", "removal": "src = 'S1' OR dst = 'S1'"}
+SQL_WAYS = ", ".join(
+    f"h_{n} AS MATERIALIZED (SELECT src, dst, CASE WHEN {c} THEN weight * {0.0 if n == 'removal' else 0.001!r}::DOUBLE ELSE weight END AS weight FROM hybrid)" for n, c in WAYS.items())
+
+
+def sql_audited(name):
+    return f"""SELECT '{name}' AS scenario_id, a.id, a.pagerank AS p, b.pagerank AS q,
+ row_number() OVER (ORDER BY round(a.pagerank, 10) DESC, a.id) AS pa, row_number() OVER (ORDER BY round(b.pagerank, 10) DESC, b.id) AS pb FROM r_base a JOIN r_{name} b USING (id) WHERE a.id <> 'S1'"""
+
+
+@workload("strategy_audit", f"""WITH RECURSIVE {SQL_ORIENT}, {SQL_WAYS},
+{sql_directed_rank('r_base', 'hybrid')},{",".join(sql_directed_rank(f"r_{n}", f"h_{n}") for n in WAYS)},
+dn AS (SELECT 'S1' AS id, 0 AS k UNION SELECT a.dst, d.k + 1 FROM dn d JOIN hybrid a ON d.id = a.src WHERE d.k < 3),
+up AS (SELECT 'S1' AS id, 0 AS k UNION SELECT a.src, u.k + 1 FROM up u JOIN hybrid a ON u.id = a.dst WHERE u.k < 3),
+x AS ({" UNION ALL ".join(map(sql_audited, WAYS))})
+SELECT scenario_id, round(sum(abs(q - p)), 7) AS l1_shift, round(sum(q - p) FILTER (WHERE id IN (SELECT id FROM dn)), 7) AS downstream_change,
+ round(sum(q - p) FILTER (WHERE id IN (SELECT id FROM up)), 7) AS upstream_change FROM x GROUP BY 1""")
 def strategy_audit(t):
-    arcs = sg.orient(i.plain_graph(t, 600), evidence(t))
-    return sg.strategy_audit(arcs, "S1", factor=0.05, tolerance=1e-7)
+    """The median rank shift is left to the tests: ranks of near equal values differ between two solvers."""
+    arcs = sg.orient(i.plain_graph(t, 500), evidence(t))
+    out = sg.strategy_audit(arcs, "S1", factor=0.001)
+    return out.select("scenario_id", r("l1_shift", 7), r("downstream_change", 7), r("upstream_change", 7))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from meshflux.llm.common import Lineage, attach, file_system, new_folder, whole_text
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The identifier that ends a document; free in the vocabulary.
 SEPARATOR = 50256
 #: Identifiers are 16-bit, little-endian.

@@ -26,7 +26,7 @@ LENGTH = 2048
 #: Sequences of a record batch.
 SEQUENCES = 512
 #: Parts of texts whose identifiers a worker remembers; of more, the half that recurs most stays.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Bytes of texts that are encoded together, if they have more than one text.
 BYTES = 1 << 21
 

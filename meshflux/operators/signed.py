@@ -373,9 +373,9 @@ def strategy_audit(
     ranks = pagerank(arcs, scenarios=[Scenario("base", damping)] + [Scenario(n, damping) for n in strategies],
                      overrides=own, symmetric=False, tolerance=tolerance)
     rows = cut(compare(cut(ranks)).where(F.col("id") != target))
-    placed = row_numbers(rows, [F.desc(F.round("baseline", 10)), F.asc("id")], by=["scenario_id"], name="before")
-    placed = row_numbers(placed, [F.desc(F.round("perturbed", 10)), F.asc("id")], by=["scenario_id"], name="after")
-    shifts = quantiles(placed.withColumn("shift", F.abs(F.col("after") - F.col("before")).cast("double")), "shift", {"median_rank_shift": 0.5}, by=["scenario_id"]).drop("n")
+    placed = row_numbers(rows, [F.desc(F.round("baseline", 10)), F.asc("id")], by=["scenario_id"], name="place_before")
+    placed = row_numbers(placed, [F.desc(F.round("perturbed", 10)), F.asc("id")], by=["scenario_id"], name="place_after")
+    shifts = quantiles(placed.withColumn("shift", F.abs(F.col("place_after") - F.col("place_before")).cast("double")), "shift", {"median_rank_shift": 0.5}, by=["scenario_id"]).drop("n")
     origin = spark.createDataFrame([(target,)], "source string")
     down = hop_distances(arcs, origin, max_depth=3).where("hop > 0").select("id", F.lit(True).alias("down"))
     up = hop_distances(arcs, origin, max_depth=3, reverse=True).where("hop > 0").select("id", F.lit(True).alias("up"))

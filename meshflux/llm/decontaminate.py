@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import Lineage, fresh, hash_words, text_buffers, whole_text
+from meshflux.llm.common import Lineage, fresh, hash_words, text_buffers, text_slices, whole_text
 
 #: Words that a seed spans. The ignored positions of the 13 seeds are the lines of the projective plane of order 3, so
 #: any two positions are ignored together by one seed: two substitutions in a window of 13 words never hide a hit.
@@ -22,8 +22,8 @@ LEAST_WORDS, LEAST_SHARE = 13, 0.8
 LEAST_ITEM = 5
 #: Windows of the benchmark that are searched in one pass over the documents: the index of a pass has 13 hashes each.
 WINDOWS_PER_PASS = 200_000
-#: Windows of the documents that are hashed at a time.
-WINDOWS_AT_ONCE = 1 << 16
+#: Bytes of texts that are searched together, if they have more than one text, and windows that are hashed at a time.
+BYTES, WINDOWS_AT_ONCE = 1 << 20, 1 << 16
 #: Characters of a word and what follows it, at least: for the number of passes.
 CHARS_PER_WORD = 2
 
@@ -122,7 +122,13 @@ def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
 
 
 def _search(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
-    """(row, item, start, stop, words in common) of the overlaps in a batch of texts, the best of each row and item."""
+    """(row, item, start, stop, place in the item, words in common) of the overlaps in a batch of texts, the best of each row and item."""
+    for low, some, marks in text_slices(data, offsets, BYTES):
+        for row, *found in _search_slice(index, some, marks):
+            yield low + row, *found
+
+
+def _search_slice(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
     starts, hashes = hash_words(data, offsets)
     cuts = np.searchsorted(starts, offsets)
     ends = cuts[1:]

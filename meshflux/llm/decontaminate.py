@@ -16,8 +16,11 @@ from meshflux.llm.common import Lineage, fresh, hash_words, text_buffers, text_s
 #: any two positions are ignored together by one seed: two substitutions in a window of 13 words never hide a hit.
 SPAN = 13
 IGNORED = [tuple(sorted((d + s) % SPAN for d in (0, 1, 3, 9))) for s in range(SPAN)]
-#: An overlap counts from so many words at such a share of equal words.
-LEAST_WORDS, LEAST_SHARE = 13, 0.8
+#: What these miss of stretches with 80 % in common (four substitutions in the midst of 20 words) these words find. Together they
+#: find every stretch of 13 to 25 words, and a longer one holds one of those. Found by greedy search, tested by enumeration.
+FURTHER = [(0, 1, 2, 4, 5, 7), (0, 1, 2, 6, 9, 11), (0, 1, 3, 7, 8, 9)]
+#: An overlap counts from so many words, equal or not, if a differing word comes with so many equal ones: a share of 0.8.
+LEAST_WORDS, EQUAL_PER_OTHER = 13, 4
 #: Items with fewer words than this say too little to be searched for.
 LEAST_ITEM = 5
 #: Windows of the benchmark that are searched in one pass over the documents: the index of a pass has 13 hashes each.
@@ -38,19 +41,44 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def seed_hashes(words: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each seed, its number and the hash of every window of ``span`` words without the ignored ones."""
+    """For each seed, its number and the hash of every window of its width without the ignored words."""
     n = len(words) - span + 1
     if n <= 0:
         return
+    if span < SPAN:  # a short item is looked for whole
+        for number, kept in enumerate(short_seeds(span)):
+            yield number, _picked(words, kept, n, span << 16 | number << 8)
+        return
     parts = [words[p : p + n] * _POSITION[p] for p in range(span)]
     total = parts[0].copy()
     for part in parts[1:]:
         total += part
-    if span < SPAN:  # a short item is looked for whole
-        yield 0, _mixed(total + np.uint64(span))
-        return
     for number, ignored in enumerate(IGNORED):
         yield number, _mixed(total - parts[ignored[0]] - parts[ignored[1]] - parts[ignored[2]] - parts[ignored[3]] + np.uint64(number << 8))
+    for number, kept in enumerate(FURTHER, len(IGNORED)):
+        yield number, _picked(words, kept, len(words) - kept[-1], number << 8)
+
+
+def _picked(words: np.ndarray, kept: tuple[int, ...], n: int, salt: int) -> np.ndarray:
+    total = np.full(n, salt, np.uint64)
+    for p in kept:
+        total += words[p : p + n] * _POSITION[p]
+    return _mixed(total)
+
+
+def short_seeds(span: int) -> list[tuple[int, ...]]:
+    """The words that the seeds of an item of ``span`` words, under 13, look at: some seed ignores all that may differ."""
+    if span < 10:  # one word may differ
+        step = max(1, span - 5)
+        ignored = [range(low, low + step) for low in range(0, span, step)]
+    else:  # two may
+        ignored = IGNORED
+    return [tuple(p for p in range(span) if p not in some) for some in ignored]
+
+
+def seed_width(number: int, span: int) -> int:
+    """Words from the first to the last that a seed may look at."""
+    return span if span < SPAN or number < len(IGNORED) else FURTHER[number - len(IGNORED)][-1] + 1
 
 
 class Index:
@@ -88,10 +116,10 @@ class Index:
         found = []
         for span in self.spans:
             for low in range(0, max(0, len(words) - span + 1), WINDOWS_AT_ONCE):
-                for _, h in seed_hashes(words[low : low + WINDOWS_AT_ONCE + span - 1], span):
+                for number, h in seed_hashes(words[low : low + WINDOWS_AT_ONCE + span - 1], span):
                     at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - _BITMAP_BITS)])
                     if len(at):
-                        found.append(self._matches(h[at], at + low, span, ends))
+                        found.append(self._matches(h[at], at + low, seed_width(number, span), ends))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def _matches(self, hashes: np.ndarray, at: np.ndarray, span: int, ends: np.ndarray) -> np.ndarray:
@@ -108,16 +136,15 @@ class Index:
 
 
 def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, stop, equal words) of the stretch with the most equal words whose share of them is high enough.
+    """(start, stop, equal words) of the longest stretch with 80 % equal words, the first of several.
 
-    A word in common earns 1 and a differing one costs what keeps the share at
-    0.8; the stretch with the highest sum is taken.
+    An equal word earns 1 and a differing one costs 4; a stretch counts if its sum
+    is not negative. For each end the first start with a sum as low is looked up.
     """
-    score = np.where(equal, 1.0, -LEAST_SHARE / (1 - LEAST_SHARE))
-    run = np.concatenate([[0.0], np.cumsum(score)])
-    low = np.minimum.accumulate(run)
-    stop = int(np.argmax(run - low))
-    start = int(np.argmin(run[: stop + 1]))
+    run = np.concatenate([[0], np.cumsum(np.where(equal, 1, -EQUAL_PER_OTHER))])
+    first = np.searchsorted(-np.minimum.accumulate(run), -run)
+    stop = int(np.argmax(np.arange(len(run)) - first))
+    start = int(first[stop])
     return start, stop, int(equal[start:stop].sum())
 
 
@@ -138,7 +165,7 @@ def _search_slice(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterat
         low, high = max(cuts[row], diagonal), min(cuts[row + 1], diagonal + len(words))
         equal = hashes[low:high] == words[low - diagonal : high - diagonal]
         start, stop, common = best_overlap(equal)
-        if common < min(LEAST_WORDS, len(words)):
+        if stop - start < min(LEAST_WORDS, len(words)):
             continue
         entry = (common, -(low + start), low + start - cuts[row], low + stop - cuts[row], low + start - diagonal)
         best[row, item] = max(best.get((row, item), entry), entry)
@@ -150,10 +177,11 @@ def overlaps(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, keys: l
     """Overlaps of the texts of ``rows`` (keys..., text) with benchmark items (item_id, text).
 
     Words are runs of letters, digits and characters beyond ASCII of the
-    lower-cased texts. Windows of 13 words that agree in all positions of a seed are
+    lower-cased texts. Windows that agree in all positions of a seed are
     hits; around a hit the words are compared along the diagonal, and a stretch
     of at least 13 words (the whole item, if shorter) with 80 % of the words in
-    common is an overlap. Items under five words are not searched for. Null
+    common is an overlap, wherever in it the others are. Seeds miss no such
+    stretch. Items under five words are not searched for. Null
     texts count as empty and overlap nothing; repeated rows and items are
     reported each; empty tables give an empty result.
 

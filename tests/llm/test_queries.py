@@ -1,6 +1,7 @@
 """Every query against a plain version over the awkward documents, and over empty tables."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -233,6 +234,39 @@ def test_two_substitutions_never_hide_a_window():
             assert any(int(h[0]) == whole[k] for k, h in decontaminate.seed_hashes(other, 13))
 
 
+def found_in(item, text):
+    """Whether ``text`` overlaps ``item``; both are lists of words."""
+    data = np.frombuffer(" ".join(text).encode(), np.uint8)
+    return bool(list(decontaminate._search(decontaminate.Index([(1, " ".join(item))]), data, np.array([0, len(data)]))))
+
+
+def test_substitutions_at_every_place():
+    """An item that is copied with one or two words changed is found if 80 % of a stretch of min(13, its words) are equal."""
+    for n in range(5, 21):
+        item = [f"i{k}" for k in range(n)]
+        for places in [*itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            text = [f"o{k}" if k in places else w for k, w in enumerate(item)]
+            assert found_in(item, ["before"] * 3 + text + ["after"] * 3) == (5 * (n - len(places)) >= 4 * n), (n, places)
+    for n, places in ((20, range(0, 20, 5)), (20, (8, 9, 10, 11)), (24, (3, 9, 15, 21)), (30, range(2, 30, 5)), (15, (3, 7, 11))):
+        item = [f"i{k}" for k in range(n)]
+        text = [f"o{k}" if k in places else w for k, w in enumerate(item)]
+        assert found_in(item, text) and found_in(item, ["x", *text, "y"])
+    assert not found_in([f"i{k}" for k in range(20)], [f"o{k}" if k % 3 == 1 else f"i{k}" for k in range(20)])
+
+
+def test_seeds_miss_no_stretch():
+    """Every stretch of 13 to 25 words with a fifth of them changed agrees with itself unchanged in some seed."""
+    kept = [tuple(p for p in range(13) if p not in some) for some in decontaminate.IGNORED] + decontaminate.FURTHER
+    for n in range(13, 26):
+        changed = np.array([sum(1 << p for p in c) for c in itertools.combinations(range(n), n // 5)])
+        found = np.zeros(len(changed), bool)
+        for seed in kept:
+            mask = sum(1 << p for p in seed)
+            for shift in range(n - seed[-1]):
+                found |= changed & (mask << shift) == 0
+        assert found.all()
+
+
 def test_sequence_files(spark, folder):
     tokenizer = sequence_files.Tokenizer.from_file(sequence_files.TOKENIZER)
     want, at = [], 0

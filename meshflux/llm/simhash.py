@@ -20,6 +20,8 @@ SEED = 42
 _BLOCK = 1 << 14
 #: Members of one bucket that are compared at fixed steps, and in one matrix; more are traversed.
 _SMALL, _MEDIUM = 16, 512
+#: Nodes of a bucket that meet all others in the first round, about, and how many times as many in the next.
+_FIRST_MET, _TIMES_MET = 2, 16
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -194,11 +196,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: i
     """``docs`` with one row of each group of near-duplicates: the smallest doc_id (null last), of repeated rows any one.
 
     Texts that agree in their words (A-Z lower-cased) are one node. Candidates
-    are nodes of one fingerprint and linked fingerprints; a candidate counts if
-    the sets of ``shingle``-word runs have a Jaccard similarity of
-    ``similarity`` or more, so no text is dropped for its fingerprint alone.
-    Texts without words, null ones too, are one node. All columns go through;
-    an empty table gives an empty result.
+    are nodes whose fingerprints are equal or linked, through others too; a
+    candidate counts if the sets of ``shingle``-word runs have a Jaccard
+    similarity of ``similarity`` or more, so no text is dropped for its
+    fingerprint alone. Texts without words, null ones too, are one node. All
+    columns go through; an empty table gives an empty result.
     """
     lineage = Lineage(spark)
     rows, key = keyed(docs)
@@ -217,34 +219,64 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: i
     found = lineage.cut(narrow.mapInArrow(describe, "row string, doc_id long, node binary, fp long"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "row")
     nodes = lineage.cut(found.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp")))
-    heads = lineage.cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
-    near = links(heads.select("fp"), distance)
-    same = nodes.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in ("a", "b")]
-    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    pairs = lineage.cut(near.unionByName(same))
+    linked = components(lineage, lineage.cut(links(nodes.select("fp").distinct(), distance))).withColumnRenamed("node", "fp").withColumnRenamed("root", "class")
+    alike = nodes.join(linked, "fp", "left").select(F.coalesce("class", "fp").alias("bucket"), "node")
+    rooted = nodes.select("node", F.col("node").alias("root"), F.col("first.row").alias("row"))
+    rooted = merged(lineage, rooted, alike, narrow.select("row", "text"), shingle, similarity)
+    placed = nodes.join(rooted.select("node", "root"), "node").select("root", "first")
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    dropped = lineage.cut(found.select("row").join(kept, "row", "left_anti"))
+    lineage.release(dropped)
+    return attach(rows, dropped.withColumnRenamed("row", key), [key], "left_anti").select(*quoted(docs.columns))
+
 
-    # Shingles of the texts that are in a pair.
-    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    members = lineage.cut(nodes.join(paired, "node", "left_semi").select(F.col("first.row").alias("row"), "node"))
+def merged(lineage: Lineage, rooted: DataFrame, buckets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``rooted`` (node, root, row) with the roots of nodes united that share a bucket (bucket, node) and are similar.
 
+    Every pair of a bucket is compared unless other similar pairs have united it
+    before. In a round the next nodes of a bucket, in a random order that all
+    buckets share, meet all nodes of it that are still apart from them; then roots
+    are united, and buckets with one root and those whose nodes have all met
+    are closed. A round takes many times the nodes of the one before, so rounds
+    follow the logarithm of the largest bucket.
+    """
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, marks = text_buffers(batch.column(1))
             sets = [shingle_set(data[a:b].tobytes().lower(), shingle).view(np.int64) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    texts = attach(narrow.select("row", "text"), members, ["row"]).select("node", "text")
-    sets = lineage.cut(texts.mapInArrow(shingles, "node binary, set array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    alike = both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
-    roots = components(lineage, lineage.cut(alike))
-    placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    dropped = lineage.cut(found.select("row").join(kept, "row", "left_anti"))
-    lineage.release(dropped)
-    return attach(rows, dropped.withColumnRenamed("row", key), [key], "left_anti").select(*quoted(docs.columns))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    turn = F.pmod(F.xxhash64("node"), F.lit(1 << 31)) / F.lit(1 << 31) * F.col("n")
+    held = buckets.join(sizes, "bucket").join(rooted.select("node", "root"), "node").withColumn("turn", turn)
+    sets, met, reach = None, 0, _FIRST_MET
+    while True:
+        apart = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        # Nodes that have met all others of the bucket are done.
+        before, held = held, lineage.cut(held.where((F.col("turn") >= met) & (F.col("n") > met)).join(apart.select("bucket"), "bucket", "left_semi"))
+        lineage.drop(before)
+        if held.isEmpty():
+            return rooted
+        if sets is None:
+            members = lineage.cut(rooted.join(held.select("node").distinct(), "node", "left_semi").select("row", "node"))
+            sets = lineage.cut(attach(texts, members, ["row"]).select("node", "text").mapInArrow(shingles, "node binary, set array<long>"))
+        ends = [held.select("bucket", F.struct("node", "root").alias(x)) for x in ("a", "b")]
+        pairs = ends[0].where(held.turn < reach).join(ends[1], "bucket").where("a.root != b.root")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = lineage.cut(pairs.select(*[F.col(f"{x}.{y}").alias(f"{y}_{x}") for x in ("a", "b") for y in ("node", "root")]))
+        both = pairs
+        for x in ("a", "b"):
+            both = both.join(sets.select(F.col("node").alias(f"node_{x}"), F.col("set").alias(f"set_{x}")), f"node_{x}")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        both = both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared))
+        united = lineage.cut(both.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        lineage.drop(pairs)
+        if not united.isEmpty():
+            roots = components(lineage, united).select(F.col("node").alias("root"), F.col("root").alias("onto"))
+            moved = F.coalesce("onto", "root").alias("root")
+            rooted = lineage.cut(rooted.join(roots, "root", "left").select("node", moved, "row"))
+            held = lineage.cut(held.join(roots, "root", "left").select("node", "bucket", "n", moved, "turn"))
+        met, reach = reach, reach * _TIMES_MET
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,45 @@ def test_near_duplicates_by_brute_force(spark):
     assert lonely <= set(stay)
 
 
+def shingle_sets(texts):
+    words = [t.split() for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+
+
+def groups(texts, linked):
+    """The smallest number that each text reaches over linked pairs."""
+    sets = shingle_sets(texts)
+    label = list(range(len(texts)))
+
+    def top(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if linked(i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((top(i), top(j)))
+                label[high] = low
+    return [top(k) for k in range(len(texts))]
+
+
+def test_dense_families_by_brute_force(spark):
+    """Texts within the distance that are similar end in one group, whatever lies between them."""
+    draw = np.random.Generator(np.random.PCG64(5))
+    base, texts = [f"w{k}" for k in range(300)], []
+    for _ in range(250):  # some words of a few places are changed, in one of two ways
+        words = list(base)
+        for k in draw.choice(40, int(draw.integers(5, 8)), replace=False) * 7:
+            words[k] = f"x{k}way{draw.integers(0, 2)}"
+        texts.append(" ".join(words))
+    fps = [simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for t in texts]
+    near = groups(texts, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 7)
+    kept = {r.doc_id for r in simhash.keep_one(spark, documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert kept <= set(near)  # of each group one stays, at most
+    assert set(groups(texts, lambda i, j: True)) <= kept
+
+
 def test_contaminated_go(spark, folder):
     docs = documents(spark, ROWS)
     kept = corpus_pipeline.drop_contaminated(spark, docs, folder).collect()

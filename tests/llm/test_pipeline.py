@@ -99,6 +99,20 @@ def test_dense_families_by_brute_force(spark):
     assert set(groups(texts, lambda i, j: True)) <= kept
 
 
+def test_pairs_near_the_threshold(spark):
+    """Pairs with a Jaccard similarity from 0.8 to 0.9 are found, whatever their fingerprints."""
+    draw = np.random.Generator(np.random.PCG64(6))
+    texts = []
+    for pair in range(120):
+        words = [f"p{pair}w{k}" for k in range(200)]
+        texts.append(" ".join(words))
+        for k in draw.choice(40, 2 + pair % 3, replace=False) * 5:
+            words[k] = "changed"
+        texts.append(" ".join(words))
+    kept = {r.doc_id for r in simhash.keep_one(spark, documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert kept == set(groups(texts, lambda i, j: i // 2 == j // 2)) == set(range(0, 240, 2))
+
+
 def test_contaminated_go(spark, folder):
     docs = documents(spark, ROWS)
     kept = corpus_pipeline.drop_contaminated(spark, docs, folder).collect()

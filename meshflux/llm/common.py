@@ -21,6 +21,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of an Arrow batch that Python workers get, where the session keeps the default.
+BATCH = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by BATCH bytes, so a worker's memory does not depend on the length of texts.
+
+    A single longer text is a batch of its own. A session that sets the bound itself keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH))
+
+
 def whole_text(column: str = "text") -> Column:
     """The whole text, a null one as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

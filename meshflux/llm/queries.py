@@ -16,6 +16,9 @@ MODULES = {
     "op8_simhash": "simhash",
     "op9_sharding": "sharding",
     "op10_kneser_ney": "kneser_ney",
+    "op11_whitening": "whitening",
+    "op12_conversation_repair": "conversations",
+    "op13_minhash": "minhash",
 }
 
 QUERIES = {}

@@ -40,6 +40,30 @@ def awkward():
     return rows
 
 
+def vectors():
+    """(vec_id, embedding, n): repeats, nulls, holes, odd lengths, a null key."""
+    draw = random.Random(3)
+    rows = [(i, [draw.gauss(0, 1 + k % 3) for k in range(20)], 0) for i in range(90)]
+    rows += [(100 + i, rows[0][1], 0) for i in range(30)] + [(None, rows[1][1], 0), (7, rows[2][1], 0)]
+    holes = [None, [], [1.0] * 19, [None] + [1.0] * 19, [float("nan")] + [1.0] * 19, [float("-inf")] + [1.0] * 19]
+    return rows + [(200 + i, v, 0) for i, v in enumerate(holes)]
+
+
+def turns():
+    """(conv_id, turn, role, text, place): conversations with faults of every kind, one longer than a block."""
+    draw, rows = random.Random(5), []
+    texts = ["Yes.", "No", "Why?  ", " ", "", None, "Tell me.\n", "a! b"]
+    roles = ["user", "assistant", "system", "tool", "", None, "User"]
+    for conv in range(120):
+        for turn in range(draw.randrange(1, 6)):
+            role = draw.choice(roles) if draw.random() < 0.3 else ("user", "assistant")[turn % 2]
+            text = draw.choice(texts) if draw.random() < 0.4 else f"word {draw.randrange(99)}."
+            rows.append((conv, turn if draw.random() < 0.9 else draw.choice([None, 9, turn]), role, text, 1))
+    rows += [(500, k, ("user", "assistant")[(k + k // 70) % 2], f"turn {k % 1500}" + "." * (k % 9 > 0), 1) for k in range(2500)]
+    rows += [(None, 1, "user", "Hi!", 1), (None, None, None, None, 1), (600, 1, "user", "x" * 100_000, 1), (600, 2, "assistant", "Same.", 1), (600, 2, "assistant", "Same.", 1)]
+    return rows
+
+
 def documents(spark, rows, extra=True):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     if not extra:
@@ -60,6 +84,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     items = [(1, " ".join(rows[10][1].split()[:20])), (2, None), (3, "too short"), (4, prose("item", 30)), (4, prose("item", 30)), (5, "an item of seven words in all")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, n int").write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string, place int").repartition(5).write.parquet(f"{root}/conversations.parquet")
     return root
 
 
@@ -70,4 +96,6 @@ def empty(spark, tmp_path_factory):
     documents(spark, []).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, n int").write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string, place int").write.parquet(f"{root}/conversations.parquet")
     return root

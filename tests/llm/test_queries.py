@@ -29,7 +29,7 @@ def key(*parts):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty, name):
     df = queries.QUERIES[name](spark, empty)
-    assert "doc_id" in df.columns and df.collect() == []
+    assert {"doc_id", "vec_id", "conv_id"} & set(df.columns) and df.collect() == []
 
 
 def test_toxicity(spark, folder):

@@ -89,13 +89,6 @@ def bands(found: np.ndarray, rows: int) -> np.ndarray:
     return mixed(mixed(by_band).sum(1, dtype=np.uint64) + np.arange(len(by_band), dtype=np.uint64) * _KEYED[-1]).view(np.int64)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """The lowest bit of each coordinate, in three longs."""
-    bits = np.zeros(similar.SKETCH * 64, np.uint8)
-    bits[: len(found)] = found & np.uint32(1)
-    return np.packbits(bits, bitorder="little").view("<i8")
-
-
 def described(rows: DataFrame, key: str, n_bands: int = BANDS, band_rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """(row, doc_id, words, size, bands, sketch) of every row of ``rows`` (key, doc_id, text).
 
@@ -111,7 +104,7 @@ def described(rows: DataFrame, key: str, n_bands: int = BANDS, band_rows: int =
                 words.append(digest if len(found) else None)
                 sizes.append(len(found))
                 keys.append(bands(places, band_rows) if len(found) else [])
-                sketches.append(sketch(places))
+                sketches.append(similar.sketch(places, found))
             columns = [pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["row", "doc_id", "words", "size", "bands", "sketch"])
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshflux.llm.common import Lineage
@@ -13,8 +14,8 @@ from meshflux.llm.linking import components
 
 #: Nodes of a bucket that meet all others in the first round, about, and how many times as many in the next.
 _FIRST_MET, _TIMES_MET = 2, 16
-#: Longs of a sketch, and the chance that a sketch hides a pair of just the similarity asked for.
-SKETCH, HIDDEN = 3, 1e-9
+#: Longs of a sketch for the lowest bits of minima and for parities, and the chance that the minima hide a pair of just the similarity asked for.
+MINIMA, PARITIES, HIDDEN = 3, 16, 1e-9
 
 
 def most_differing(bits: int, percent: int) -> int:
@@ -31,6 +32,30 @@ def most_differing(bits: int, percent: int) -> int:
     return n
 
 
+def sketch(minima: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Lowest bits of the minima, then how many of the hashes fall on each of 1,024 places, modulo 2.
+
+    Parities of two sets differ in no more places than the sets have elements
+    apart, so they never hide a similar pair; the minima hide few.
+    """
+    bits = np.zeros((MINIMA + PARITIES) * 64, np.uint8)
+    bits[: len(minima)] = minima & np.uint32(1)
+    places = (hashes >> np.uint64(40)).astype(np.int64) % (PARITIES * 64)
+    bits[MINIMA * 64 :] = np.bincount(places, minlength=PARITIES * 64) & 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def _near(percent: int, bits: int) -> Column:
+    """Whether sizes and sketches of a and b allow the similarity."""
+    def differing(low: int, high: int) -> Column:
+        return sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(low, high)), F.lit(0))
+
+    sizes = F.col("a.size") + F.col("b.size")
+    near = (F.col("a.size") * 100 >= F.col("b.size") * percent) & (F.col("b.size") * 100 >= F.col("a.size") * percent)
+    near &= differing(0, MINIMA) <= most_differing(bits, percent)
+    return near & (differing(MINIMA, MINIMA + PARITIES) * (100 + percent) <= sizes * (100 - percent))
+
+
 def united(lineage: Lineage, nodes: DataFrame, buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, bits: int) -> DataFrame:
     """(node, root) of every node that links to another: root is the smallest node of its component.
 
@@ -48,23 +73,23 @@ def united(lineage: Lineage, nodes: DataFrame, buckets: DataFrame, sets: Callabl
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("members"), F.min("node").alias("low"))
     sizes = sizes.where("n > 1").groupBy("n", "members", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     turn = (F.pmod(F.xxhash64("node"), F.lit(1 << 31)) / F.lit(1 << 31) * F.col("n")).alias("turn")
-    sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
-    held = buckets.join(sizes, "bucket").join(nodes.select("node", "size", *sketch), "node")
-    held = lineage.cut(held.select("bucket", "node", F.col("node").alias("root"), "n", turn, "size", *[f"s{k}" for k in range(SKETCH)]))
+    names = [f"s{k}" for k in range(MINIMA + PARITIES)]
+    parts = [F.col("sketch")[k].alias(name) for k, name in enumerate(names)]
+    shared = F.sum("n").over(Window.partitionBy("node")).alias("shared")
+    held = buckets.join(sizes, "bucket").select("bucket", "node", "n", shared).join(nodes.select("node", "size", *parts), "node")
+    held = lineage.cut(held.select("bucket", "node", F.col("node").alias("root"), "n", turn, "shared", "size", *names))
     rooted = known = None
     met, reach = 0, _FIRST_MET
-    most = most_differing(bits, percent)
     while True:
-        apart = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        apart = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("node", "shared").alias("hub")).where("low < high")
         # Nodes that have met all others of the bucket are done.
-        before, held = held, lineage.cut(held.where((F.col("turn") >= met) & (F.col("n") > met)).join(apart.select("bucket"), "bucket", "left_semi"))
+        before, held = held, lineage.cut(held.where((F.col("turn") >= met) & (F.col("n") > met)).drop("hub").join(apart.select("bucket", "hub"), "bucket"))
         lineage.drop(before)
         if held.isEmpty():
             break
-        a, b = held.where(F.col("turn") < reach).alias("a"), held.alias("b")
-        differing = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-        near = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & (differing <= most)
-        near &= (F.col("a.size") * 100 >= F.col("b.size") * percent) & (F.col("b.size") * 100 >= F.col("a.size") * percent)
+        first = (F.col("turn") < reach) | (F.col("node") == F.col("hub")) & F.lit(met == 0)
+        a, b = held.where(first).alias("a"), held.alias("b")
+        near = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & _near(percent, bits)
         ends = [F.struct(f"{x}.node", f"{x}.root") for x in ("a", "b")]
         pairs = a.join(b, near).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
         pairs = lineage.cut(pairs.select(*[F.col(f"{x}.{y}").alias(f"{y}_{x}") for x in ("a", "b") for y in ("node", "root")]))

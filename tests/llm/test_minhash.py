@@ -97,3 +97,12 @@ def test_coordinates_agree_as_often_as_sets(share):
 
 def test_sketches_hide_nothing_near():
     assert similar.most_differing(192, 85) == 41 and similar.most_differing(160, 80) > 16
+
+
+def test_parities_never_hide():
+    draw = np.random.default_rng(2)
+    for n, apart in ((50, 3), (400, 60), (3000, 900), (9, 0)):
+        union = draw.integers(0, 1 << 63, n + apart, dtype=np.uint64)
+        a, b = union[:n], union[apart:]
+        x, y = (similar.sketch(np.zeros(0, np.uint32), s)[similar.MINIMA :] for s in (a, b))
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))

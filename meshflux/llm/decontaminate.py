@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import Lineage, fresh, hash_words, text_buffers, text_slices, whole_text
+from meshflux.llm.common import Lineage, fresh, hash_words, small_batches, text_buffers, text_slices, whole_text
 
 #: Words that a seed spans. The ignored positions of the 13 seeds are the lines of the projective plane of order 3, so
 #: any two positions are ignored together by one seed: two substitutions in a window of 13 words never hide a hit.
@@ -213,6 +213,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
 
 def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Broadcast]:
     """Indexes of the benchmark, each of a bounded number of windows; its items reach the driver one index at a time."""
+    small_batches(spark)
     lineage = Lineage(spark)
     sized = lineage.cut(benchmark.select("item_id", F.lower(whole_text()).alias("text")))
     passes = int((sized.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_PER_WORD // WINDOWS_PER_PASS) + 1

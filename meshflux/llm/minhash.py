@@ -34,26 +34,35 @@ def word_parts(text: bytes, part: int = _PART) -> Iterator[list[bytes]]:
         low = high
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, bytes]:
-    """Distinct XXH64 of all runs of ``shingle`` words of a lower-cased text, of the whole text if it has fewer; and a digest of its words."""
-    digest, carried, parts, count = hashlib.blake2b(digest_size=16), [], [], 0
+def runs(text: bytes, shingle: int, digest=None) -> Iterator[np.ndarray]:
+    """XXH64 of all runs of ``shingle`` words of a lower-cased text, in parts; of the whole text if it has fewer. Its words go to ``digest``."""
+    carried, begun = [], False
     for words in word_parts(text):
         if not words:
             continue
-        digest.update((b" " if count else b"") + b" ".join(words))
-        count += len(words)
+        if digest:
+            digest.update((b" " if carried or begun else b"") + b" ".join(words))
         words = carried + words
         if len(words) >= shingle:
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             starts = np.concatenate([[0], ends[:-1] + 1])
-            runs = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-            found = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], _SEED) for a, b in runs), np.uint64, len(words) - shingle + 1)
-            parts.append(np.unique(found))
-        carried = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
-    if not parts and carried:
-        parts.append(np.array([xxhash.xxh64_intdigest(b" ".join(carried), _SEED)], np.uint64))
-    return (np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)), digest.digest()
+            places = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+            yield np.fromiter((xxhash.xxh64_intdigest(joined[a:b], _SEED) for a, b in places), np.uint64, len(words) - shingle + 1)
+            words, begun = words[len(words) - shingle + 1 :], True
+        carried = words
+    if carried and not begun:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carried), _SEED)], np.uint64)
+
+
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, bytes]:
+    """Distinct hashes of the ``runs`` of a lower-cased text, in order, and a digest of its words."""
+    digest = hashlib.blake2b(digest_size=16)
+    return distinct([np.unique(part) for part in runs(text, shingle, digest)]), digest.digest()
 
 
 def _scattered(x: np.ndarray) -> np.ndarray:
@@ -123,10 +132,11 @@ def sets_of(texts: DataFrame, members: DataFrame, shingle: int = SHINGLE) -> Dat
     return attach(texts, members, ["row"]).select("node", "text").mapInArrow(read, "node long, set array<long>")
 
 
-def numbered(lineage: Lineage, found: DataFrame) -> DataFrame:
-    """Distinct texts of ``described`` rows: (node, words, first, size, bands, sketch); first is the least doc_id, nulls last, and its row."""
+def numbered(lineage: Lineage, found: DataFrame, *more: str) -> DataFrame:
+    """Distinct texts of ``described`` rows: (node, words, first, size, bands, sketch, more...); first is the least doc_id, nulls last, and its row."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    nodes = found.where("words IS NOT NULL").groupBy("words").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    same = [F.first(c).alias(c) for c in ("size", "bands", "sketch", *more)]
+    nodes = found.where("words IS NOT NULL").groupBy("words").agg(F.min(order).alias("first"), *same)
     return lineage.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
 

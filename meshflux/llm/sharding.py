@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import Lineage, attach, whole_text
+from meshflux.llm.common import attach, fresh, keyed, Lineage, whole_text
 
 #: Groups that one task differences; the sums of its parts are groups of the next level.
 GROUPS_PER_BUCKET = 2048
@@ -126,7 +126,15 @@ def number(rows: DataFrame, by: str, order: list[str], spread: Column, lineage:
     return attach(inside, sizes, [by, "chunk"]).withColumn("slot", F.col("slot") + F.col("before") - 1).drop("before", "chunk")
 
 
-def assign(spark: SparkSession, rows: DataFrame, shards: int = 16) -> DataFrame:
+def sharded(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with all their columns and what ``assign`` gives each row; clashing names get a longer one."""
+    rows, key = keyed(docs)
+    found = assign(spark, rows.select(F.col(key), F.col("doc_id").cast("long").alias("doc_id"), "text"), shards, [key]).drop("doc_id", "digest")
+    names = {c: fresh(docs.columns, c) for c in found.columns if c != key}
+    return attach(rows, Lineage(spark).cut(found.withColumnsRenamed(names)), [key]).drop(key)
+
+
+def assign(spark: SparkSession, rows: DataFrame, shards: int = 16, keys: list[str] | None = None) -> DataFrame:
     """Shards of the rows of ``rows`` (doc_id, text) whose sizes in bytes are near equal; equal texts stay together.
 
     Size is the UTF-8 bytes of the text plus 1; a null text is equal to an empty
@@ -135,19 +143,19 @@ def assign(spark: SparkSession, rows: DataFrame, shards: int = 16) -> DataFrame:
     first. Fewer groups than shards leave shards empty, an empty table gives an
     empty result. Other columns are ignored.
 
-    Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the
-    law ``bytes`` has no growth rule), digest.
+    Columns: ``keys`` of the rows, doc_id, size, text_crc32, law, shard, slot,
+    grown_shard (null: the law ``bytes`` has no growth rule), digest.
     """
-    lineage = Lineage(spark)
+    lineage, keys = Lineage(spark), keys or []
     raw = F.encode(whole_text(), "UTF-8")
     narrow = lineage.cut(rows.select(
-        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("digest")))
+        *keys, "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("digest")))
     groups = lineage.cut(narrow.groupBy("digest").agg(F.sum("size").alias("bytes")))
     placed = lineage.cut(narrow.join(balance(groups, shards, lineage), "digest"))
     lineage.release(placed)
-    numbered = number(placed, "shard", ["doc_id", "digest"], F.xxhash64("doc_id"), lineage)
+    numbered = number(placed, "shard", ["doc_id", "digest", *keys], F.xxhash64("doc_id"), lineage)
     return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "digest")
+        *keys, "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflux.llm.common import Lineage, attach, keyed, mixed, quoted, shuffle_partitions, text_buffers, whole_text
+from meshflux.llm import minhash, similar
+from meshflux.llm.common import Lineage, attach, keyed, quoted, shuffle_partitions, small_batches, text_buffers, whole_text
 from meshflux.llm.linking import components
 
 BITS = 64
@@ -20,13 +21,9 @@ SEED = 42
 _BLOCK = 1 << 14
 #: Members of one bucket that are compared at fixed steps, and in one matrix; more are traversed.
 _SMALL, _MEDIUM = 16, 512
-#: Texts meet that agree in all of so many minima of keyed shingle hashes, in one of so many bands at least. At a Jaccard
-#: similarity of 0.8 all bands miss a pair with a chance of (1 - 0.8 ** 5) ** 32 = 3e-6, above it with less.
+#: Bands of so many minima that find the similar texts of ``keep_one`` whose fingerprints differ in more bits: at a
+#: Jaccard similarity of 0.8 all bands miss a pair with a chance of (1 - 0.8 ** 5) ** 32 = 3e-6, above it with less.
 _MINIMA, _BANDS = 5, 32
-_KEYED = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, _MINIMA * _BANDS, dtype=np.uint32) | np.uint32(1)
-_BAND_KEYED = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, (_BANDS, _MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Nodes of a bucket that meet all others in the first round, about, and how many times as many in the next.
-_FIRST_MET, _TIMES_MET = 2, 16
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -50,20 +47,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def hashes_fingerprint(hashes: np.ndarray) -> int:
+    return majority(bit_counts(hashes), len(hashes))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), _BLOCK):
         block = hashes[k : k + _BLOCK]
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+    return counts
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key of each band: a hash of the minima of its keyed shingle hashes."""
-    least = np.full(_MINIMA * _BANDS, 0xFFFFFFFF, np.uint32)
-    low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
-    for k in range(0, len(low), 256):
-        np.minimum(least, (low[k : k + 256, None] * _KEYED).min(0), out=least)
-    return mixed((least.reshape(_BANDS, _MINIMA) * _BAND_KEYED).sum(1, dtype=np.uint64) + np.arange(_BANDS, dtype=np.uint64)).view(np.int64)
+def majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(rows: DataFrame, key: str, text: str, shingle: int = 4) -> DataFrame:
@@ -205,101 +201,54 @@ def node_classes(lineage: Lineage, nodes: DataFrame, distance: int) -> DataFrame
     return rooted.join(smallest, "root").select("fp", "component_id")
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle))
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: int = 7, similarity: float = 0.8) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: int = 4, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the smallest doc_id (null last), of repeated rows any one.
 
     Texts that agree in their words (A-Z lower-cased) are one node. Candidates
     are nodes whose fingerprints are equal or linked, through others too, and
     nodes with a band of minima in common, which finds what the distance misses;
     a candidate counts if the sets of ``shingle``-word runs have a Jaccard
-    similarity of ``similarity`` or more, so no text is dropped for its
-    fingerprint or bands alone. Texts without words, null ones too, are one node. All
+    similarity of ``percent`` or more, so no text is dropped for its
+    fingerprint or bands alone. Texts without words, null ones too, are one
+    node. Texts of any length are split a megabyte at a time. All
     columns go through; an empty table gives an empty result.
     """
+    small_batches(spark)
     lineage = Lineage(spark)
     rows, key = keyed(docs)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, marks = text_buffers(batch.column(2))
-            nodes, fps, keys = [], [], []
+            found = []
             for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
-                text = data[a:b].tobytes().lower()
-                nodes.append(hashlib.sha256(b" ".join(text.split())).digest())
-                hashes = shingle_hashes(text, shingle)
-                fps.append(hashes_fingerprint(hashes))
-                keys.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "node", "fp", "bands"])
+                digest, parts, counts, n = hashlib.blake2b(digest_size=16), [], np.zeros(BITS, np.int64), 0
+                for part in minhash.runs(data[a:b].tobytes().lower(), shingle, digest):
+                    parts.append(np.unique(part))
+                    counts += bit_counts(part)
+                    n += len(part)
+                hashes = minhash.distinct(parts)
+                places = minhash.signature(hashes, _MINIMA * _BANDS)
+                bands = minhash.bands(places, _MINIMA) if n else []
+                found.append((digest.digest(), len(hashes), bands, similar.sketch(places, hashes), majority(counts, n)))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["row", "doc_id", "words", "size", "bands", "sketch", "fp"])
 
     narrow = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    found = lineage.cut(narrow.mapInArrow(describe, "row string, doc_id long, node binary, fp long, bands array<long>"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "row")
-    nodes = lineage.cut(found.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
-    linked = components(lineage, lineage.cut(links(nodes.select("fp").distinct(), distance))).withColumnRenamed("node", "fp").withColumnRenamed("root", "class")
-    alike = nodes.join(linked, "fp", "left").select(F.coalesce("class", "fp").alias("bucket"), "node")
-    rooted = nodes.select("node", F.col("node").alias("root"), F.col("first.row").alias("row"))
-    for buckets in (alike, nodes.select(F.explode("bands").alias("bucket"), "node")):
-        rooted = merged(lineage, rooted, buckets, narrow.select("row", "text"), shingle, similarity)
-    placed = nodes.join(rooted.select("node", "root"), "node").select("root", "first")
+    found = lineage.cut(narrow.mapInArrow(describe, "row string, doc_id long, words binary, size long, bands array<long>, sketch array<long>, fp long"))
+    nodes = minhash.numbered(lineage, found, "fp")
+    near = components(lineage, lineage.cut(links(nodes.select("fp").distinct(), distance))).select(F.col("node").alias("fp"), F.col("root").alias("class"))
+    alike = nodes.select("fp", "node").join(near, "fp", "left").select(F.xxhash64(F.lit("class"), F.coalesce("class", "fp")).alias("bucket"), "node")
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "node").union(alike)
+    roots = minhash.linked(lineage, nodes, buckets, narrow.select("row", "text"), percent, _MINIMA * _BANDS, shingle)
+    placed = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     dropped = lineage.cut(found.select("row").join(kept, "row", "left_anti"))
     lineage.release(dropped)
     return attach(rows, dropped.withColumnRenamed("row", key), [key], "left_anti").select(*quoted(docs.columns))
 
 
-def merged(lineage: Lineage, rooted: DataFrame, buckets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``rooted`` (node, root, row) with the roots of nodes united that share a bucket (bucket, node) and are similar.
-
-    Every pair of a bucket is compared unless other similar pairs have united it
-    before. In a round the next nodes of a bucket, in a random order that all
-    buckets share, meet all nodes of it that are still apart from them; then roots
-    are united, and buckets with one root and those whose nodes have all met
-    are closed. A round takes many times the nodes of the one before, so rounds
-    follow the logarithm of the largest bucket.
-    """
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, marks = text_buffers(batch.column(1))
-            sets = [shingle_set(data[a:b].tobytes().lower(), shingle).view(np.int64) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
-
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    turn = F.pmod(F.xxhash64("node"), F.lit(1 << 31)) / F.lit(1 << 31) * F.col("n")
-    held = buckets.join(sizes, "bucket").join(rooted.select("node", "root"), "node").withColumn("turn", turn)
-    sets, met, reach = None, 0, _FIRST_MET
-    while True:
-        apart = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        # Nodes that have met all others of the bucket are done.
-        before, held = held, lineage.cut(held.where((F.col("turn") >= met) & (F.col("n") > met)).join(apart.select("bucket"), "bucket", "left_semi"))
-        lineage.drop(before)
-        if held.isEmpty():
-            return rooted
-        if sets is None:
-            members = lineage.cut(rooted.join(held.select("node").distinct(), "node", "left_semi").select("row", "node"))
-            sets = lineage.cut(attach(texts, members, ["row"]).select("node", "text").mapInArrow(shingles, "node binary, set array<long>"))
-        ends = [held.select("bucket", F.struct("node", "root").alias(x)) for x in ("a", "b")]
-        pairs = ends[0].where(held.turn < reach).join(ends[1], "bucket").where("a.root != b.root")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = lineage.cut(pairs.select(*[F.col(f"{x}.{y}").alias(f"{y}_{x}") for x in ("a", "b") for y in ("node", "root")]))
-        both = pairs
-        for x in ("a", "b"):
-            both = both.join(sets.select(F.col("node").alias(f"node_{x}"), F.col("set").alias(f"set_{x}")), f"node_{x}")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        both = both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared))
-        united = lineage.cut(both.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-        lineage.drop(pairs)
-        if not united.isEmpty():
-            roots = components(lineage, united).select(F.col("node").alias("root"), F.col("root").alias("onto"))
-            moved = F.coalesce("onto", "root").alias("root")
-            rooted = lineage.cut(rooted.join(roots, "root", "left").select("node", moved, "row"))
-            held = lineage.cut(held.join(roots, "root", "left").select("node", "bucket", "n", moved, "turn"))
-        met, reach = reach, reach * _TIMES_MET
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshflux.llm.common import ALNUM, FOLD, Lineage, ascii_lower, byte_class, find_sorted, fold_table, fresh, hash_of, hash_words, quoted, text_buffers, text_slices, whole_text
+from meshflux.llm.common import ALNUM, FOLD, Lineage, ascii_lower, byte_class, find_sorted, fold_table, fresh, hash_of, hash_words, quoted, small_batches, text_buffers, text_slices, whole_text
 
 #: Labelled rows that the lexicon, the trees and the calibration learn from, about: a seeded hash keeps the share that
 #: gives this many. Scoring covers all rows.
@@ -44,7 +44,7 @@ _DISGUISED = byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _UNDISGUISE = fold_table({ord(a): ord(b) for a, b in DISGUISES.items()})
 _CAPITAL, _LETTER, _EXCLAIM = (byte_class(x, False) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"!?"))
 _PUNCTUATION, _SYMBOL = byte_class(b"!\"'(),-.:;?", False), byte_class(b"#$%&*+/<=>@[\\]^_`{|}~", False)
-_SLICE = 1 << 21
+_SLICE = 1 << 18
 
 
 @dataclass
@@ -175,6 +175,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows
     and 1, and null doc_ids, are left out; of several labels of a document the
     larger holds.
     """
+    small_batches(spark)
     lineage = Lineage(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & for_learning(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))

@@ -19,7 +19,9 @@ def test_stages(spark, folder):
         assert docs.count() > 0
         if k + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == columns
-    assert {"doc_id", "shard", "slot", "size"} <= set(docs.columns)
+    assert [c for c in docs.columns if c in columns] == columns and {"shard", "slot"} <= set(docs.columns)
+    placed = docs.select("shard_", "slot").collect()  # the documents have a column shard of their own
+    assert len(set(placed)) == len(placed) > 0 and {r.shard_ for r in placed} <= set(range(16))
 
 
 def test_empty(spark, empty):

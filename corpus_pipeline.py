@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from meshflux.llm import decontaminate, mixing, sharding, simhash, toxicity
 from meshflux.llm.common import Lineage, attach, fresh, keyed, quoted
 
-#: Near-duplicates share this much of their five-word shingles.
-SHINGLE, SIMILARITY = 5, 0.8
-#: Differing bits up to which fingerprints are candidates of that similarity.
-DISTANCE = 7
+#: Near-duplicates share this many per cent of their five-word shingles.
+SHINGLE, PERCENT = 5, 80
+#: Differing bits up to which fingerprints are candidates; bands of minima find the others.
+DISTANCE = 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under the threshold, learned from the labels of ``sf_dir``. Rows keep their columns; null texts stay."""
+    """Documents whose score is under the threshold, learned from the labels of ``sf_dir``.
+
+    Rows keep their columns. A null text is scored like an empty one, by
+    features that are all zero; repeated rows and ties score alike and go or stay
+    together; texts of any length are scored whole, and an empty table gives an empty result.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(spark, docs.select("doc_id", "text"), labels)
     score = fresh(docs.columns, "score")
@@ -28,13 +33,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Candidates are links of SimHash fingerprints of five-word shingles; a link
     counts if the shingles of the two texts have a Jaccard similarity of 0.8 or
     more. Equal texts (A-Z lower-cased, split into words) are one text. Texts
-    without words are equal to each other and to null.
+    without words are equal to each other and to null. Texts of any length are
+    compared whole; all columns go through; an empty table gives an empty result.
     """
-    return simhash.keep_one(spark, docs, SHINGLE, DISTANCE, SIMILARITY)
+    return simhash.keep_one(spark, docs, SHINGLE, DISTANCE, PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. Null texts stay."""
+    """Documents without a benchmark passage, as ``decontaminate.overlaps`` finds them.
+
+    Null and empty texts hold no passage and stay; repeated rows go or stay
+    together; texts of any length are searched whole; an empty table or benchmark drops nothing.
+    """
     return decontaminate.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -52,9 +62,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard, of near equal bytes, and their slot in it."""
-    found = sharding.assign(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return found.drop("digest")
+    """All rows with all their columns, their shard, of near equal bytes, and their slot in it.
+
+    Equal texts, null and empty ones too, share a shard; copies of a row have
+    slots of their own; texts of any length count whole; an empty table gives an empty result.
+    """
+    return sharding.sharded(spark, docs)
 
 
 STAGES = [

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meshflux.functions.inference import benjamini_hochberg
 from meshflux.functions.measures import direction, hill_survival, neighbour_boost, percent_change
 from meshflux.functions.ordering import quantiles, row_numbers
-from meshflux.operators import traversal
+from meshflux.operators import residual, traversal
 from meshflux.operators.edges import suppressed
 from meshflux.operators.propagation import Scenario, pagerank, symmetric_arcs
 from meshflux.session import cut
@@ -25,6 +25,8 @@ from meshflux.settings import (
 )
 
 BASE = "base"
+#: Two changes this close are the same change.
+NULL_SLACK = 2.220446049250313e-16
 
 
 def scenario_table(spark, targets: dict[str, Sequence[str]], factor: float | dict[str, float] = BLOCK_FRACTION) -> DataFrame:
@@ -81,6 +83,34 @@ def what_if(
     return compare(cut(ranks))
 
 
+def what_if_changes(arcs: DataFrame, scenarios: DataFrame, *, damping: float = DAMPING, mode: str = "incident", symmetric: bool = True,
+                    tolerance: float = 1e-11) -> tuple[DataFrame, DataFrame]:
+    """Base ranks ``id, pagerank`` and the deltas ``scenario_id, id, delta`` of normalised ranks, by residuals.
+
+    Only nodes that move have rows. Without dangling nodes the sum of ranks stays
+    1 and a delta is the solver's own; otherwise all ranks of a scenario are
+    scaled, and every node gets a row.
+    """
+    symmetric = symmetric and mode == "incident"
+    base, moved = residual.deltas(arcs, overrides_for(arcs, scenarios, mode=mode), damping=damping, symmetric=symmetric, tolerance=tolerance)
+    sums = cut(moved.groupBy("scenario_id").agg((F.lit(1.0) + F.sum("delta")).alias("scale")))
+    if sums.where(F.abs(F.col("scale") - 1) > 1e-9).isEmpty():
+        return base, moved
+    every = base.join(F.broadcast(sums)).join(moved, ["scenario_id", "id"], "left").fillna(0.0, ["delta"])  # one row a scenario
+    scaled = (F.col("pagerank") + F.col("delta")) / F.col("scale") - F.col("pagerank")
+    return base, every.select("scenario_id", "id", scaled.alias("delta"))
+
+
+def what_if_by_residuals(arcs: DataFrame, scenarios: DataFrame, **options) -> DataFrame:
+    """``what_if`` from the base solution and the residuals of the scenarios: the same rows, for many scenarios or small ones."""
+    base, moved = what_if_changes(arcs, scenarios, **options)
+    names = scenarios.select("scenario_id").distinct()
+    every = base.join(F.broadcast(names)).join(moved, ["scenario_id", "id"], "left").fillna(0.0, ["delta"])  # one row a scenario
+    rows = every.select("scenario_id", "id", F.col("pagerank").alias("baseline"), (F.col("pagerank") + F.col("delta")).alias("perturbed"), "delta")
+    return rows.select("scenario_id", "id", "baseline", "perturbed", "delta", percent_change("baseline", "perturbed", undefined=None).alias("delta_pct"),
+                       F.abs("delta").alias("abs_delta"), direction(F.col("delta")).alias("direction"))
+
+
 def without_targets(responses: DataFrame, scenarios: DataFrame) -> DataFrame:
     return responses.join(scenarios.select("scenario_id", "id").distinct(), ["scenario_id", "id"], "left_anti")
 
@@ -218,19 +248,23 @@ def null_p_values(
     asked = degrees.join(arcs.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(targets)], "id string"), "id").count()
     if sizes.where((F.col("n") == asked) & (F.col("d") == asked)).count() != (iterations if asked else 0):
         raise ValueError("a draw holds another number of nodes than there are targets")
-    nulls = what_if(arcs, draws.withColumn("factor", F.lit(float(factor))), damping=damping, tolerance=tolerance)
-    pairs = observed.select("scenario_id", "id", F.col("abs_delta").alias("seen")).join(
-        nulls.select("id", F.col("abs_delta").alias("null_delta")), "id", "left")
-    reached = F.count_if(F.col("null_delta") >= F.col("seen") - F.lit(2.220446049250313e-16))
-    return pairs.groupBy("scenario_id", "id").agg(((reached + 1) / F.lit(iterations + 1.0)).alias("empirical_p"))
+    moved = what_if_changes(arcs, draws.withColumn("factor", F.lit(float(factor))), damping=damping, tolerance=tolerance)[1]
+    seen = observed.select("scenario_id", "id", F.col("abs_delta").alias("seen"))
+    # A node that a draw leaves where it is has no row: such draws reach only what did not move either.
+    nulls = moved.select("id", F.abs("delta").alias("null_delta"))
+    least = F.col("seen") - F.lit(NULL_SLACK)
+    counts = seen.join(nulls, "id", "left").groupBy("scenario_id", "id", "seen").agg(
+        F.count_if(F.col("null_delta") >= least).alias("reached"), F.count("null_delta").alias("rows"))
+    reached = F.col("reached") + F.when(least <= 0, F.lit(iterations) - F.col("rows")).otherwise(0)
+    return counts.select("scenario_id", "id", ((reached + 1) / F.lit(iterations + 1.0)).alias("empirical_p"))
 
 
 # --- families of scenarios ---------------------------------------------------
 
-def what_if_report(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None, damping: float = DAMPING) -> DataFrame:
-    """One row per scenario: system shift, and global efficiency before and after from ``sample`` sources, or all."""
-    shift = system_shift(cut(what_if(arcs, scenarios, damping=damping)))
-    efficiency = scenario_efficiency(arcs, scenarios, sample=sample).select(
+def what_if_report(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None = None, sources: DataFrame | None = None, damping: float = DAMPING) -> DataFrame:
+    """One row per scenario: system shift, and global efficiency before and after from ``sources``, ``sample`` hashed ones, or all."""
+    shift = system_shift(cut(what_if_by_residuals(arcs, scenarios, damping=damping)))
+    efficiency = scenario_efficiency(arcs, scenarios, sample=sample, sources=sources).select(
         "scenario_id", F.col("baseline").alias("efficiency_before"), F.col("perturbed").alias("efficiency_after"), F.col("change_pct").alias("efficiency_change_pct"))
     return shift.join(efficiency, "scenario_id")
 
@@ -285,11 +319,11 @@ def scenario_arcs(arcs: DataFrame, scenarios: DataFrame, *, mode: str = "inciden
     return joined.select("scenario_id", "src", "dst", weight.alias("weight"), strength_to_distance(weight).alias("distance"))
 
 
-def scenario_efficiency(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None, seed: int = SEED) -> DataFrame:
-    """Global efficiency of every scenario against the baseline, from the same ``sample`` sources, or all."""
+def scenario_efficiency(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None = None, sources: DataFrame | None = None, seed: int = SEED) -> DataFrame:
+    """Global efficiency of every scenario against the baseline, from the same ``sources(id)``, ``sample`` hashed ones, or all."""
     keyed = scenario_arcs(arcs, scenarios)
     nodes = traversal.vertices_of(keyed, "scenario_id")
-    picked = traversal.sample_ids(traversal.vertices_of(arcs), sample, seed)
+    picked = traversal.sample_ids(traversal.vertices_of(arcs), sample, seed) if sources is None else sources.select("id").distinct()
     sources = cut(nodes.join(picked, "id", "left_semi").withColumnRenamed("id", "source"))
     found = traversal.shortest_distances(keyed, sources, by=["scenario_id"])
     rated = cut(traversal.efficiency_of(found, sources, nodes, by=["scenario_id"]))
@@ -304,7 +338,7 @@ def batch_sweep(arcs: DataFrame, scores: DataFrame, *, top_n: int, factor: float
     """One scenario per top-scored node, one result row each, most disruptive first."""
     best = scores.orderBy(F.desc("importance"), "id").limit(top_n)
     table = cut(best.select(F.col("id").alias("scenario_id"), "id", F.lit(float(factor)).alias("factor")))
-    responses = cut(what_if(arcs, table))
+    responses = cut(what_if_by_residuals(arcs, table))
     out = system_shift(responses).join(extremes(without_targets(responses, table)), "scenario_id")
     return out.orderBy(F.desc("system_shift_pct"), "scenario_id")
 

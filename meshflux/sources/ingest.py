@@ -5,7 +5,7 @@ Every rule that refuses a file raises before anything is written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,37 +153,115 @@ SIGNALLING_COLUMNS = (
     "source", "target", "source_genesymbol", "target_genesymbol", "is_directed", "is_stimulation", "is_inhibition", "sources", "references")
 
 
-def signalling_edges(raw: DataFrame, mapping: DataFrame, *, minimum_rows: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Signed directed pairs of a signalling file, and its mapping report.
+# What stands before the id of an end that the mapping does not resolve, and before the id of a complex.
+UNMAPPED, COMPLEX = "omnipath:", "COMPLEX:"
 
-    Rows of one pair are merged: flags by OR, resources and references by set
-    union, curation effort by sum. ``mapping(key, value)`` resolves the symbols.
+
+def verify_checksum(spark: SparkSession, path: str, expected: str | None) -> str:
+    """SHA-256 of a file's bytes, streamed from its store; an error if it is not the expected one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        found = spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+    if expected and expected.lower() != found:
+        raise SourceError(f"{path} does not have the checksum that its metadata states")
+    return found
+
+
+def numbered_rows(raw: DataFrame, name: str = "row_number", *, start: int = 2) -> DataFrame:
+    """``raw``, read from files, with the number of each row: by file, then by place, from ``start`` (a header is line 1).
+
+    A file is read in splits; rows are numbered inside their split, and the
+    splits before it are added up, one row a split. So numbers do not depend on how a file was cut.
+    """
+    placed = cut(raw.select("*", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_split"), F.monotonically_increasing_id().alias("_place")))
+    splits = placed.groupBy("_file", "_split").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    before = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    numbered = placed.join(before, ["_file", "_split"])
+    return numbered.withColumn(name, F.col("_place") - F.col("_first") + F.col("_before") + F.lit(start)).drop("_file", "_split", "_place", "_first", "_before", "_n")
+
+
+def signalling_rows(raw: DataFrame, mapping: DataFrame, *, minimum_rows: int = 1) -> DataFrame:
+    """Rows of a signalling file with the node of either end, typed and whole: nothing is left out.
+
+    An end is the id and symbol of its columns, both trimmed; the symbol resolves
+    by ``mapping(key, value)``, and an end that does not keeps its own id behind
+    ``UNMAPPED``. A row is ``usable`` if it is directed and both ends have an id and a
+    symbol. A consensus flag stands before the raw one wherever it is there.
     """
     require_columns(raw, *SIGNALLING_COLUMNS, what="signalling file")
     if raw.limit(minimum_rows).count() < minimum_rows:
         raise SourceError("signalling file has too few rows")
-    ends = mapping.select("key", "value")
-    effort = F.expr("try_cast(curation_effort AS int)") if "curation_effort" in raw.columns else F.lit(0)
+    have = set(raw.columns)
+    flag = lambda name: truthy(F.col(name)) if name in have else F.lit(None).cast("boolean")
+    effort = F.expr("try_cast(curation_effort AS int)") if "curation_effort" in have else F.lit(0)
     rows = raw.select(
-        F.trim("source_genesymbol").alias("s"), F.trim("target_genesymbol").alias("t"), truthy(F.col("is_directed")).alias("directed"),
-        truthy(F.col("is_stimulation")).alias("up"), truthy(F.col("is_inhibition")).alias("down"),
-        items(F.col("sources")).alias("resources"), items(F.col("references")).alias("refs"), effort.alias("effort"))
-    rows = cut(rows.join(ends.select(F.col("key").alias("s"), F.col("value").alias("src")), "s", "left").join(
-        ends.select(F.col("key").alias("t"), F.col("value").alias("dst")), "t", "left"))
-    usable = rows.where("directed AND src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+        *[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(n) for c, n in (("source", "s_id"), ("target", "t_id"), ("source_genesymbol", "s"), ("target_genesymbol", "t"))],
+        F.coalesce(flag("is_directed"), F.lit(False)).alias("directed"),
+        F.coalesce(flag("consensus_stimulation"), flag("is_stimulation"), F.lit(False)).alias("up"),
+        F.coalesce(flag("consensus_inhibition"), flag("is_inhibition"), F.lit(False)).alias("down"),
+        *[F.coalesce(flag(c), F.lit(False)).alias(c) for c in ("consensus_direction", "consensus_stimulation", "consensus_inhibition")],
+        items(F.col("sources")).alias("resources"), items(F.col("references")).alias("refs"), F.coalesce(effort, F.lit(0)).alias("effort"),
+        (F.col("row_number") if "row_number" in have else F.lit(None).cast("long")).alias("row_number"))
+    ends = mapping.select("key", "value")
+    for symbol, node in (("s", "s_node"), ("t", "t_node")):
+        rows = rows.join(ends.select(F.col("key").alias(symbol), F.col("value").alias(node)), symbol, "left")
+    named = lambda i, n: (F.col(i) != "") & (F.col(n) != "")
+    return rows.withColumns({
+        "usable": F.col("directed") & named("s_id", "s") & named("t_id", "t"),
+        "src": F.coalesce("s_node", F.concat(F.lit(UNMAPPED), "s_id")), "dst": F.coalesce("t_node", F.concat(F.lit(UNMAPPED), "t_id"))})
+
+
+def signalling_edges(raw: DataFrame, mapping: DataFrame, *, minimum_rows: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Signed directed pairs of a signalling file, and its mapping report.
+
+    Rows of one pair are merged: flags by OR, resources and references by set
+    union, curation effort by sum. Loops and pairs with an end outside the
+    mapping stay (``signalling_rows``). ``first_row`` and ``last_row`` are numbers of
+    the raw rows where they are known; ``signalling_rows`` has them all.
+    """
+    rows = cut(signalling_rows(raw, mapping, minimum_rows=minimum_rows))
+    usable = rows.where("usable")
+    listed = lambda c: usable.select("src", "dst", F.explode(c).alias(c)).distinct().groupBy("src", "dst").agg(F.array_sort(F.collect_set(c)).alias(c))
     pairs = usable.groupBy("src", "dst").agg(
-        F.bool_or("up").alias("stimulation"), F.bool_or("down").alias("inhibition"), merged("resources"), merged("refs"),
-        F.coalesce(F.sum("effort"), F.lit(0)).alias("effort"), F.count(F.lit(1)).alias("raw_rows"))
+        F.bool_or("up").alias("stimulation"), F.bool_or("down").alias("inhibition"), *[F.bool_or(c).alias(c) for c in ("consensus_direction", "consensus_stimulation", "consensus_inhibition")],
+        F.sum("effort").alias("effort"), F.count(F.lit(1)).alias("raw_rows"), F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row"),
+        F.max(F.col("s_node").isNotNull()).alias("src_mapped"), F.max(F.col("t_node").isNotNull()).alias("dst_mapped"))
+    none = F.array().cast("array<string>")
+    for c in ("resources", "refs"):  # distinct values first: a pair of many rows sends few
+        pairs = pairs.join(listed(c), ["src", "dst"], "left").withColumn(c, F.coalesce(c, none))
     status = arc_status("stimulation", "inhibition")
     return pairs.withColumns({"status": status, "sign": sign_of(status)}), mapping_report(rows)
 
 
+def signalling_nodes(rows: DataFrame) -> DataFrame:
+    """``id, identifier, symbol, membership`` of all ends of ``signalling_rows``: the first identifier and symbol of a node."""
+    ends = F.array(*[F.struct(F.col(i).alias("identifier"), F.col(n).alias("symbol"), F.col(m).alias("node"), F.col(e).alias("id")) for i, n, m, e in (("s_id", "s", "s_node", "src"), ("t_id", "t", "t_node", "dst"))])
+    flat = rows.select(F.explode(ends).alias("e")).select("e.*").where("identifier <> '' AND symbol <> ''")
+    first = F.min(F.struct("identifier", "symbol"))
+    found = flat.groupBy("id").agg(first.alias("f"), F.max(F.col("node").isNotNull()).alias("mapped"))
+    return found.select("id", "f.identifier", "f.symbol", F.when(F.col("mapped"), "both layers").otherwise("signalling only").alias("membership"))
+
+
 def mapping_report(rows: DataFrame) -> DataFrame:
-    """Entity and edge mapping rates with the acceptance class."""
-    names = rows.select(F.explode(F.array(F.struct(F.col("s").alias("n"), F.col("src").alias("e")), F.struct(F.col("t").alias("n"), F.col("dst").alias("e")))).alias("x")).select("x.n", "x.e").distinct()
-    entities = names.agg(F.avg(F.col("e").isNotNull().cast("double")).alias("entity_rate"))
-    edges = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("src").isNotNull() & F.col("dst").isNotNull()).cast("double")).alias("edge_rate"))
+    """Counts and mapping rates of ``signalling_rows``, of all and of atomic entities, with the acceptance class."""
+    ends = F.array(*[F.struct(F.col(i).alias("i"), F.col(n).alias("n"), F.col(m).alias("m")) for i, n, m in (("s_id", "s", "s_node"), ("t_id", "t", "t_node"))])
+    names = rows.select(F.explode(ends).alias("e")).select("e.*").where("i <> '' AND n <> ''").distinct()
+    atomic, mapped = ~F.col("i").startswith(COMPLEX), F.col("m").isNotNull()
+    entities = names.agg(
+        F.count(F.lit(1)).alias("entities"), F.count("m").alias("mapped_entities"), F.count_if(atomic).alias("atomic_entities"),
+        F.coalesce(F.try_divide(F.count("m"), F.count(F.lit(1))), F.lit(0.0)).alias("entity_rate"),
+        F.coalesce(F.try_divide(F.count_if(atomic & mapped), F.count_if(atomic)), F.lit(0.0)).alias("atomic_entity_rate"))
+    s, t, usable = F.col("s_node").isNotNull(), F.col("t_node").isNotNull(), F.col("usable")
+    simple = usable & ~F.col("s_id").startswith(COMPLEX) & ~F.col("t_id").startswith(COMPLEX)
+    edges = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(usable & s & t).alias("fully_mapped"), F.count_if(usable & (s != t)).alias("partly_mapped"),
+        F.count_if(usable & ~s & ~t).alias("signalling_only"), F.count_if(F.col("directed") & ~usable).alias("unusable"),
+        F.coalesce(F.try_divide(F.count_if(usable & s & t), F.count(F.lit(1))), F.lit(0.0)).alias("edge_rate"),
+        F.coalesce(F.try_divide(F.count_if(simple & s & t), F.count_if(simple)), F.lit(0.0)).alias("atomic_edge_rate"))
     return edges.join(F.broadcast(entities)).withColumn("acceptance", acceptance("entity_rate", "edge_rate"))  # one-row tables
 
 

@@ -100,20 +100,66 @@ def signalling_raw(t):
         F.col("l_linenumber").cast("string").alias("curation_effort"))
 
 
-@workload("signalling_edges", """WITH x AS (SELECT 'Y' || l_suppkey AS src, 'X' || l_partkey AS dst, l_returnflag AS f, l_linestatus AS s, l_linenumber AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 20 AND l_linenumber < 6)
-SELECT src, dst, CASE WHEN bool_or(f = 'R') AND bool_or(s = 'O') THEN 'conflicting' WHEN bool_or(f = 'R') THEN 'activation' WHEN bool_or(s = 'O') THEN 'inhibition' ELSE 'unsigned' END AS status, sum(n) AS effort, count(*) AS raw_rows,
- array_to_string(list_sort(list_distinct(list_concat(list(f), list(s)))), ';') AS resources FROM x GROUP BY 1, 2""")
+def signalling_file(t):
+    """Rows with unmapped ends, loops, complexes, blank ids, and consensus flags that differ from the raw ones or are missing."""
+    missing = F.col("l_linenumber") == 3
+    raw = signalling_raw(t).columns
+    yes = lambda c: F.when(missing, None).when(c, "yes").otherwise("0")
+    own = {
+        "source": F.concat(F.when(F.col("l_suppkey") % 10 == 0, "COMPLEX:").otherwise(""), F.lit("U"), F.col("l_suppkey").cast("string")),
+        "target": F.when(F.col("l_partkey") % 13 == 0, " ").otherwise(F.concat(F.lit("V"), F.col("l_partkey").cast("string"))),
+        "source_genesymbol": F.concat(F.when(F.col("l_suppkey") % 7 == 0, "Q").otherwise("S"), F.col("l_suppkey").cast("string")),
+        "consensus_stimulation": yes(F.col("l_tax") > 0.05), "consensus_inhibition": yes(F.col("l_discount") > 0.07)}
+    own["target_genesymbol"] = F.when(F.col("l_partkey") % 17 == 0, own["source_genesymbol"]).otherwise(i.part_id())
+    lines = ig.numbered_rows(t.lineitem)
+    plain = {"is_directed": F.when(F.col("l_linenumber") < 6, "True").otherwise("0"), "is_stimulation": F.when(F.col("l_returnflag") == "R", "1").otherwise("0"), "is_inhibition": F.when(F.col("l_linestatus") == "O", "1").otherwise("0"),
+             "consensus_direction": F.when(F.col("l_linenumber") % 2 == 1, "y").otherwise("n"), "sources": F.concat("l_returnflag", F.lit(";"), "l_linestatus", F.lit("|"), "l_returnflag"),
+             "references": F.concat(F.lit("ref"), F.col("l_linenumber").cast("string")), "curation_effort": F.col("l_linenumber").cast("string")}
+    return lines.select(*[(own | plain)[c].alias(c) for c in raw], "row_number")
+
+
+SQL_SIGNALLING = """f AS (SELECT l_suppkey AS sk, l_partkey AS pk, l_linenumber < 6 AS directed, l_partkey % 13 <> 0 AS named, l_suppkey % 10 = 0 AS complex,
+ CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE 'Y' || l_suppkey END AS sn, CASE WHEN l_partkey % 17 = 0 THEN (CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE 'Y' || l_suppkey END) WHEN p_size > 20 THEN 'X' || l_partkey END AS tn,
+ CASE WHEN l_linenumber = 3 THEN l_returnflag = 'R' ELSE l_tax > 0.05 END AS up, CASE WHEN l_linenumber = 3 THEN l_linestatus = 'O' ELSE l_discount > 0.07 END AS down,
+ l_linenumber <> 3 AND l_tax > 0.05 AS cs, l_linenumber <> 3 AND l_discount > 0.07 AS ci, l_linenumber % 2 = 1 AS cd, l_returnflag AS r1, l_linestatus AS r2, l_linenumber AS n FROM lineitem JOIN part ON p_partkey = l_partkey),
+x AS (SELECT *, coalesce(sn, 'omnipath:' || CASE WHEN complex THEN 'COMPLEX:' ELSE '' END || 'U' || sk) AS src, coalesce(tn, 'omnipath:V' || pk) AS dst FROM f)"""
+
+
+@workload("signalling_edges", f"""WITH {SQL_SIGNALLING}
+SELECT src, dst, CASE WHEN bool_or(up) AND bool_or(down) THEN 'conflicting' WHEN bool_or(up) THEN 'activation' WHEN bool_or(down) THEN 'inhibition' ELSE 'unsigned' END AS status,
+ bool_or(cd) AS consensus_direction, bool_or(cs) AS consensus_stimulation, bool_or(ci) AS consensus_inhibition, sum(n) AS effort, count(*) AS raw_rows, src = dst AS is_loop, bool_or(sn IS NOT NULL) AS src_mapped, bool_or(tn IS NOT NULL) AS dst_mapped,
+ array_to_string(list_sort(list_distinct(list_concat(list(r1), list(r2)))), ';') AS resources, array_to_string(list_sort(list_distinct(list('ref' || n))), ';') AS refs FROM x WHERE directed AND named GROUP BY src, dst""")
 def signalling_edges(t):
-    edges, _ = ig.signalling_edges(signalling_raw(t), id_map(t))
-    return edges.select("src", "dst", "status", "effort", "raw_rows", F.array_join("resources", ";").alias("resources"))
+    edges, _ = ig.signalling_edges(signalling_file(t), id_map(t))
+    return edges.select("src", "dst", "status", "consensus_direction", "consensus_stimulation", "consensus_inhibition", "effort", "raw_rows", (F.col("src") == F.col("dst")).alias("is_loop"),
+                        "src_mapped", "dst_mapped", F.array_join("resources", ";").alias("resources"), F.array_join("refs", ";").alias("refs"))
 
 
-@workload("mapping_report", """WITH m AS (SELECT 'P' || p_partkey AS n, p_size > 20 AS ok FROM part UNION ALL SELECT 'S' || s_suppkey, true FROM supplier), e AS (SELECT DISTINCT u AS n FROM (SELECT unnest(['S' || l_suppkey, 'P' || l_partkey]) AS u FROM lineitem)),
-a AS (SELECT avg(CASE WHEN ok THEN 1 ELSE 0 END) AS er FROM e JOIN m USING (n)), b AS (SELECT count(*) AS rows, avg(CASE WHEN p_size > 20 THEN 1 ELSE 0 END) AS gr FROM lineitem JOIN part ON p_partkey = l_partkey)
-SELECT rows, round(gr, 8) AS edge_rate, round(er, 8) AS entity_rate, CASE WHEN gr < 0.7 THEN 'FAILURE' WHEN er < 0.9 OR gr < 0.85 THEN 'WARNING' ELSE 'PREFERRED' END AS acceptance FROM a, b""")
+@workload("signalling_nodes", f"""WITH {SQL_SIGNALLING}, e AS (SELECT src AS id, sn AS m, CASE WHEN complex THEN 'COMPLEX:' ELSE '' END || 'U' || sk AS identifier FROM x UNION ALL SELECT dst, tn, 'V' || pk FROM x WHERE named)
+SELECT id, min(identifier) AS identifier, CASE WHEN bool_or(m IS NOT NULL) THEN 'both layers' ELSE 'signalling only' END AS membership FROM e GROUP BY id""")
+def signalling_nodes(t):
+    return ig.signalling_nodes(ig.signalling_rows(signalling_file(t), id_map(t))).select("id", "identifier", "membership")
+
+
+@workload("signalling_row_numbers", "SELECT count(*) AS rows, 2 AS first_row, count(*) + 1 AS last_row, count(*) AS distinct_rows FROM lineitem")
+def signalling_row_numbers(t):
+    return ig.signalling_rows(signalling_file(t), id_map(t)).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row"), F.countDistinct("row_number").alias("distinct_rows"))
+
+
+@workload("mapping_report", f"""WITH {SQL_SIGNALLING},
+e AS (SELECT DISTINCT CASE WHEN complex THEN 'COMPLEX:' ELSE '' END || 'U' || sk AS i, CASE WHEN sk % 7 = 0 THEN 'Q' ELSE 'S' END || sk AS n, sn AS m, complex AS c FROM x
+ UNION SELECT DISTINCT 'V' || pk, CASE WHEN pk % 17 = 0 THEN CASE WHEN sk % 7 = 0 THEN 'Q' ELSE 'S' END || sk ELSE 'P' || pk END, tn, false FROM x WHERE named),
+a AS (SELECT count(*) AS entities, count(m) AS mapped_entities, count(m) / count(*)::DOUBLE AS er, count(*) FILTER (NOT c AND m IS NOT NULL) / count(*) FILTER (NOT c)::DOUBLE AS ar FROM e),
+u AS (SELECT *, directed AND named AS usable FROM x),
+b AS (SELECT count(*) AS rows, count(*) FILTER (usable AND sn IS NOT NULL AND tn IS NOT NULL) AS full_, count(*) FILTER (usable AND (sn IS NULL) <> (tn IS NULL)) AS partly_mapped,
+ count(*) FILTER (usable AND sn IS NULL AND tn IS NULL) AS signalling_only, count(*) FILTER (directed AND NOT named) AS unusable,
+ count(*) FILTER (usable AND NOT complex AND sn IS NOT NULL AND tn IS NOT NULL) / count(*) FILTER (usable AND NOT complex)::DOUBLE AS ae FROM u)
+SELECT rows, entities, mapped_entities, full_ AS fully_mapped, partly_mapped, signalling_only, unusable, round(full_ / rows::DOUBLE, 8) AS edge_rate, round(er, 8) AS entity_rate, round(ar, 8) AS atomic_entity_rate, round(ae, 8) AS atomic_edge_rate,
+ CASE WHEN full_ / rows::DOUBLE < 0.7 THEN 'FAILURE' WHEN er < 0.9 OR full_ / rows::DOUBLE < 0.85 THEN 'WARNING' ELSE 'PREFERRED' END AS acceptance FROM a, b""")
 def mapping_report(t):
-    report = ig.signalling_edges(signalling_raw(t), id_map(t))[1]
-    return report.select("rows", r("edge_rate", 8), r("entity_rate", 8), "acceptance")
+    report = ig.signalling_edges(signalling_file(t), id_map(t))[1]
+    return report.select("rows", "entities", "mapped_entities", "fully_mapped", "partly_mapped", "signalling_only", "unusable", *[r(c, 8) for c in ("edge_rate", "entity_rate", "atomic_entity_rate", "atomic_edge_rate")], "acceptance")
 
 
 @workload("directed_overlay", """SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, CASE WHEN l_linenumber % 2 = 1 THEN 'source_to_target' END AS direction, l_returnflag = 'R' AS stimulation, l_linestatus = 'O' AS inhibition,

@@ -104,6 +104,37 @@ def system_shift(t):
     return p.system_shift(responses).select("scenario_id", r("total_variation", 8), r("moved_pct", 4), r("system_shift_pct", 4))
 
 
+REPORT_SOURCES = ("S1", "P3", "S5")
+
+
+def distances_sql(name: str, arcs: str) -> str:
+    """CTEs ending in ``name(source, id, dist)``: shortest distances from the report's sources; arcs have a distance."""
+    values = ", ".join(f"('{s}')" for s in REPORT_SOURCES)
+    return f"""
+{name}_r AS (SELECT s AS source, s AS id, 0.0::DOUBLE AS dist, 0 AS k FROM (VALUES {values}) v(s)
+  UNION ALL SELECT source, id, min(dist), k + 1 FROM (
+    SELECT source, id, dist, k FROM {name}_r UNION ALL SELECT r.source, a.dst, r.dist + a.distance, r.k FROM {name}_r r JOIN {arcs} a ON r.id = a.src) u
+  WHERE k < 30 GROUP BY source, id, k),
+{name} AS MATERIALIZED (SELECT source, id, dist FROM {name}_r WHERE k = 30)"""
+
+
+@workload("what_if_report", f"""{what_if_sql("'S1', 'P3'", 0.05, i.sql_edges())},
+da AS MATERIALIZED (SELECT src, dst, 1 / weight AS distance FROM arcs), db AS MATERIALIZED (SELECT src, dst, 1 / weight AS distance FROM arcs2),
+{distances_sql("ga", "da")},{distances_sql("gb", "db")},
+n AS (SELECT count(DISTINCT src) AS n FROM arcs),
+ef AS (SELECT (SELECT sum(1 / dist) FROM ga WHERE dist > 0) / ({len(REPORT_SOURCES)} * (n - 1)) AS a, (SELECT sum(1 / dist) FROM gb WHERE dist > 0) / ({len(REPORT_SOURCES)} * (n - 1)) AS b FROM n),
+sh AS (SELECT sum(abs(delta)) / 2 AS tvd, 100.0 * avg(CASE WHEN abs(delta) > 1e-6 THEN 1 ELSE 0 END) AS moved FROM resp)
+SELECT 'hit' AS scenario_id, round(tvd, 8) AS total_variation, round(moved, 4) AS moved_pct, round(50 * tvd + moved / 2, 4) AS system_shift_pct,
+ round(a, 9) AS efficiency_before, round(b, 9) AS efficiency_after, round((b - a) / a * 100, 5) AS efficiency_change_pct FROM sh, ef""")
+def what_if_report(t):
+    """System shift by residuals, and efficiency from three sources before and after."""
+    arcs = cut(symmetric_arcs(i.plain_graph(t)))
+    table = p.scenario_table(t.spark, {"hit": ["S1", "P3"]}, 0.05)
+    sources = t.spark.createDataFrame([(s,) for s in REPORT_SOURCES], "id string")
+    report = p.what_if_report(arcs, table, sources=sources)
+    return report.select("scenario_id", r("total_variation", 8), r("moved_pct", 4), r("system_shift_pct", 4), r("efficiency_before", 9), r("efficiency_after", 9), r("efficiency_change_pct", 5))
+
+
 @workload("selection_policies", f"""{what_if_sql("'S1'", 0.001, i.sql_edges())},
 x AS (SELECT id, round(abs(delta), 13) AS a FROM resp WHERE id <> 'S1'),
 s AS (SELECT count(*) AS strong FROM x WHERE a >= (SELECT quantile_cont(a, 0.99) FROM x) AND a > 0)

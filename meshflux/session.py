@@ -39,7 +39,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut tables: ``spark.checkpoint.dir``, or else a folder of the warehouse.
 
     Both belong to the whole cluster; a machine-local folder would be lost with
-    its executor. Without either no loop starts.
+    its executor. Without either no loop starts, nor with a warehouse on the
+    local disk of a cluster, which is where it is by default.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -47,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
     if not warehouse:
         raise ValueError("spark.checkpoint.dir or spark.sql.warehouse.dir must name a shared folder")
+    if (warehouse.startswith("file:") or "://" not in warehouse and not warehouse.startswith("hdfs:")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder: the warehouse is on a local disk")
     return f"{warehouse.rstrip('/')}/_intermediate"
 
 

@@ -34,10 +34,17 @@ def _planes(numbers: np.ndarray) -> bytes:
     return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
 
 
+def counted(counts: np.ndarray) -> np.ndarray:
+    """Counts as numbers of 32 bits; an error where one does not fit."""
+    if len(counts) and int(counts.max()) >> 32:
+        raise OverflowError("a count is beyond 32 bits")
+    return counts.astype("<u4")
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and their counts."""
     steps = np.diff(keys.astype("<u8"), prepend=np.uint64(0))
-    body = len(keys).to_bytes(8, "little") + _planes(steps) + _planes(counts.astype("<u4"))
+    body = len(keys).to_bytes(8, "little") + _planes(steps) + _planes(counted(counts))
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -297,7 +304,7 @@ def learn(spark: SparkSession, texts: DataFrame) -> Model:
         bucket = int(group["part"].iloc[0])
         keys, counts = merge(group["payload"].tolist())
         _write(folder, "bigrams", bucket, keys.astype("<u8"))
-        _write(folder, "bigram_counts", bucket, counts.astype("<u4"))
+        _write(folder, "bigram_counts", bucket, counted(counts))
         before, after = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         context = before[heads]
@@ -305,7 +312,7 @@ def learn(spark: SparkSession, texts: DataFrame) -> Model:
         low, high = vocabulary.bases[bucket], vocabulary.bases[bucket + 1]
         spread = (find_sorted(vocabulary.hot, context) >= 0) | (context >= vocabulary.size)
         own = np.zeros((high - low, 4), "<u4")
-        own[context[~spread] - low] = tallies[~spread]
+        own[context[~spread] - low] = counted(tallies[~spread].ravel()).reshape(-1, 4)
         for k, kind in enumerate(("after", "after_1", "after_2", "after_more")):
             _write(folder, kind, bucket, own[:, k])
         rows = [("n", None, *(int((counts == k).sum()) for k in (1, 2, 3, 4)), None, None)]
@@ -324,7 +331,7 @@ def learn(spark: SparkSession, texts: DataFrame) -> Model:
         low, high = vocabulary.bases[bucket], vocabulary.bases[bucket + 1]
         numbers, types = merge(group["payload"].tolist())
         own = np.zeros(high - low, "<u4")
-        own[numbers.astype(np.int64) - low] = types
+        own[numbers.astype(np.int64) - low] = counted(types)
         _write(folder, "continued", bucket, own)
         return pd.DataFrame([[int(types.sum()), *(int((types == k).sum()) for k in (1, 2, 3, 4)), int((types > 2).sum())]], columns=list("tabcdm"))
 

@@ -460,3 +460,10 @@ def test_blobs_round_trip():
     counts = draw.integers(1, 9, len(keys))
     again = kneser_ney.merge([kneser_ney.pack(keys, counts), kneser_ney.pack(keys[::3], counts[::3]), kneser_ney.pack(keys[:0], counts[:0])])
     assert (again[0] == keys).all() and again[1].sum() == counts.sum() + counts[::3].sum()
+
+
+def test_counts_never_wrap():
+    with pytest.raises(OverflowError):
+        kneser_ney.pack(np.array([1, 2], np.uint64), np.array([1, 5_000_000_000]))
+    keys, counts = kneser_ney.unpack(kneser_ney.pack(np.array([1, 2], np.uint64), np.array([7, 2**32 - 1])))
+    assert keys.tolist() == [1, 2] and counts.tolist() == [7, 2**32 - 1]

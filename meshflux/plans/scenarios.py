@@ -83,16 +83,14 @@ def what_if(
     return compare(cut(ranks))
 
 
-def what_if_changes(arcs: DataFrame, scenarios: DataFrame, *, damping: float = DAMPING, mode: str = "incident", symmetric: bool = True,
-                    tolerance: float = 1e-11) -> tuple[DataFrame, DataFrame]:
+def what_if_changes(arcs: DataFrame, scenarios: DataFrame, *, damping: float = DAMPING, tolerance: float = 1e-11) -> tuple[DataFrame, DataFrame]:
     """Base ranks ``id, pagerank`` and the deltas ``scenario_id, id, delta`` of normalised ranks, by residuals.
 
     Only nodes that move have rows. Without dangling nodes the sum of ranks stays
     1 and a delta is the solver's own; otherwise all ranks of a scenario are
     scaled, and every node gets a row.
     """
-    symmetric = symmetric and mode == "incident"
-    base, moved = residual.deltas(arcs, overrides_for(arcs, scenarios, mode=mode), damping=damping, symmetric=symmetric, tolerance=tolerance)
+    base, moved = residual.deltas(arcs, overrides_for(arcs, scenarios), damping=damping, tolerance=tolerance)
     sums = cut(moved.groupBy("scenario_id").agg((F.lit(1.0) + F.sum("delta")).alias("scale")))
     if sums.where(F.abs(F.col("scale") - 1) > 1e-9).isEmpty():
         return base, moved

@@ -48,16 +48,6 @@ def test_equal_to_a_dense_solve(spark):
     assert {got["same", n].direction for n in base} == {"no change"}
 
 
-def test_equal_to_what_if(spark):
-    """The same rows as the full solver, which lays the arcs out anew for each block of scenarios; plain rounds too."""
-    arcs = symmetric_arcs(graph(spark, 9, 40, 90)[0])
-    table = p.scenario_table(spark, {f"s{k}": [f"n{k}"] for k in range(3)}, 0.05)
-    for mode in ("incident", "outgoing"):
-        a = {(r.scenario_id, r.id): r.delta for r in p.what_if(arcs, table, mode=mode).collect()}
-        b = {(r.scenario_id, r.id): r.delta for r in p.what_if_by_residuals(arcs, table, mode=mode).collect()}
-        assert set(a) == set(b) and max(abs(a[k] - b[k]) for k in a) < 1e-9
-
-
 def test_only_what_moves_has_rows(spark):
     """Two components: a scenario in one leaves the other without rows; several loops give what one gives."""
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("x", "y", 1.0), ("y", "z", 1.0)], "src string, dst string, weight double")

@@ -52,50 +52,67 @@ def rank_shift_summary(df: DataFrame, left: str, right: str) -> DataFrame:
     return quantiles(shifts, "shift", {"median_abs_shift": 0.5, "p95_abs_shift": 0.95, "max_abs_shift": 1.0}).drop("n")
 
 
-def log_factorials(df: DataFrame, largest: int) -> DataFrame:
-    """``k, lf`` with ``lf = ln k!`` for k up to ``largest``, as a running sum."""
-    spark = df.sparkSession
-    steps = spark.range(0, largest + 1).select(
-        F.col("id").alias("k"), F.when(F.col("id") > 1, F.log(F.col("id").cast("double"))).otherwise(0.0).alias("step")
-    )
-    spots = positioned(steps, ["k"], amount="step")
-    return spots.select("k", (F.col("before") + F.col("step")).alias("lf"))
+def log_factorial(k: Column) -> Column:
+    """``ln k!`` of a number from 0: Stirling's series, from where it has full precision."""
+    x = k.cast("double") + 1.0
+    shift = F.when(x < 16, F.lit(16.0)).otherwise(0.0)
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(1.0), lambda product, i: product * (x + i))
+    y = x + shift
+    inverse = F.lit(1.0) / y
+    square = inverse * inverse
+    series = inverse * (F.lit(1 / 12) - square * (F.lit(1 / 360) - square * (F.lit(1 / 1260) - square * (F.lit(1 / 1680) - square * F.lit(1 / 1188)))))
+    return (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + series - F.when(x < 16, F.log(steps)).otherwise(0.0)
+
+
+#: Terms on either side of the largest that can change a sum: so many deviations, and so many more.
+TERM_DEVIATIONS, TERM_REST = 10.0, 64
 
 
 def hypergeometric_tail(df: DataFrame, overlap: str, population: str, marked: str, draws: str, *, name: str = "p_value") -> DataFrame:
-    """P(X >= overlap) for each row, as a sum of exponentiated log terms.
+    """P(X >= overlap) for each row, inside the row.
 
-    Rows with equal arguments are computed once. ``lf`` values come by equi-join
-    from a log-factorial table, so no row needs a special function.
+    The largest term of the tail comes from log factorials, the others from it by
+    the ratio of neighbours, upwards and downwards. Terms fall off from the
+    largest at least as fast as Bernstein's bound, so those beyond ten deviations
+    and 64 more are below rounding; a row builds no more than these, which is the
+    square root of its counts. No table of integers, no join, no shuffle.
     """
-    keys = [overlap, population, marked, draws]
-    cases = cut(df.select(*keys).distinct())
-    largest = cases.agg(F.max(population)).first()[0]
-    if largest is None:
-        return df.withColumn(name, F.lit(None).cast("double"))
-    table = cut(log_factorials(df, int(largest)))
-
-    def with_lf(rows: DataFrame, argument: Column, out: str) -> DataFrame:
-        look = table.select(F.col("k").alias("_k"), F.col("lf").alias(out))
-        return rows.withColumn("_k", argument.cast("bigint")).join(look, "_k").drop("_k")
-
-    o, n, m, d = (F.col(c) for c in keys)
-    fixed = cases
-    for argument, out in ((n, "_n"), (m, "_m"), (d, "_d"), (n - m, "_nm"), (n - d, "_nd")):
-        fixed = with_lf(fixed, argument, out)
-    low = F.greatest(o, m + d - n, F.lit(0)).cast("bigint")
-    high = F.least(m, d).cast("bigint")
-    terms = fixed.where(low <= high).withColumn("_i", F.explode(F.sequence(low, high)))
-    i = F.col("_i")
-    for argument, out in ((i, "_a"), (m - i, "_b"), (d - i, "_c"), (n - m - d + i, "_e")):
-        terms = with_lf(terms, argument, out)
-    log_term = (
-        F.col("_m") + F.col("_nm") + F.col("_d") + F.col("_nd") - F.col("_n")
-        - F.col("_a") - F.col("_b") - F.col("_c") - F.col("_e")
-    )
-    tails = terms.groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.exp(log_term))).alias(name))
-    joined = df.join(tails, keys, "left")
-    return joined.withColumn(name, F.when(o <= 0, 1.0).otherwise(F.coalesce(name, F.lit(0.0))))
+    o, n, m, d = (F.col(c).cast("bigint") for c in (overlap, population, marked, draws))
+    low = F.greatest(o, m + d - n, F.lit(0).cast("bigint"))
+    high = F.least(m, d)
+    mode = F.floor((d + 1).cast("double") * (m + 1) / (n + 2)).cast("bigint")
+    top = F.least(F.greatest(mode, low), high)
+    share = F.coalesce(F.try_divide(m.cast("double"), n.cast("double")), F.lit(0.0))
+    spread = F.sqrt(F.greatest(F.lit(0.0), d * share * (F.lit(1.0) - share) * F.coalesce(F.try_divide((n - d).cast("double"), (n - 1).cast("double")), F.lit(0.0))))
+    width = (F.ceil(spread * TERM_DEVIATIONS) + TERM_REST).cast("bigint")
+    # Names of the row's own, so that each is computed once.
+    own = {"_n": n, "_m": m, "_d": d, "_low": low, "_high": high, "_top": top, "_width": width}
+    rows = df.withColumns(own)
+    c = {k: F.col(k) for k in own}
+
+    def summed(places: Column, ratio) -> Column:
+        start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+
+        def add(so_far, i):
+            t = so_far["t"] * ratio(i.cast("double"))
+            return F.struct(t.alias("t"), (so_far["s"] + t).alias("s"))
+
+        return F.coalesce(F.aggregate(places, start, add, lambda x: x["s"]), F.lit(0.0))
+
+    rest = c["_n"] - c["_m"] - c["_d"]
+    rise = lambda i: (c["_m"] - i + 1) * (c["_d"] - i + 1) / (i * (rest + i))
+    fall = lambda i: i * (rest + i) / ((c["_m"] - i + 1) * (c["_d"] - i + 1))
+    up = F.when(c["_top"] < c["_high"], F.sequence(c["_top"] + 1, F.least(c["_high"], c["_top"] + c["_width"])))
+    down = F.when(c["_top"] > c["_low"], F.sequence(c["_top"], F.greatest(c["_low"] + 1, c["_top"] - c["_width"] + 1), F.lit(-1).cast("bigint")))
+
+    def choose(a, b):
+        return log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+
+    largest = choose(c["_m"], c["_top"]) + choose(c["_n"] - c["_m"], c["_d"] - c["_top"]) - choose(c["_n"], c["_d"])
+    tail = F.least(F.lit(1.0), F.exp(largest) * (F.lit(1.0) + summed(up, rise) + summed(down, fall)))
+    known = c["_n"].isNotNull() & c["_m"].isNotNull() & c["_d"].isNotNull()
+    value = F.when(F.col(overlap) <= 0, 1.0).when(known & (c["_low"] <= c["_high"]), tail).when(known, 0.0)
+    return rows.withColumn(name, value).drop(*own)
 
 
 # Strings that stand for a missing symbol.

@@ -116,7 +116,7 @@ w AS (SELECT unnest(['P1', 'P2', 'P3', 'P4', 'P5', 'P6', 'Z1', 'A2']) AS id), ab
 o AS (SELECT src, dst, score, CASE WHEN score >= 500 THEN 500 WHEN score >= 450 THEN 450 WHEN score >= 400 THEN 400 WHEN score >= 350 THEN 350 WHEN score >= 300 THEN 300 WHEN score >= 250 THEN 250 WHEN score >= 200 THEN 200 END AS step
   FROM pairs WHERE src IN (SELECT id FROM ab)),
 b AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY step DESC, score DESC, dst) AS k FROM o WHERE step IS NOT NULL)
-j AS (SELECT src, dst FROM g UNION SELECT src, dst FROM b WHERE k = 1),
+, j AS (SELECT src, dst FROM g UNION SELECT src, dst FROM b WHERE k = 1),
 h AS (SELECT id FROM (SELECT src AS id, dst AS other FROM j UNION SELECT dst, src FROM j) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1)
 SELECT src, dst, round(pow(score / 1000.0::DOUBLE, 2), 9) AS weight, false AS is_bridge FROM b WHERE k = 1
 UNION ALL SELECT least(ab.id, h.id), greatest(ab.id, h.id), 0.25::DOUBLE, true FROM ab, h WHERE ab.id NOT IN (SELECT src FROM b)""")

@@ -114,13 +114,19 @@ _BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> np.ndarray:
-    steps = np.full(n, _STEP, np.uint64)
-    steps[:1] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+def _weights(n: int) -> np.ndarray:
+    """Odd weights of the places of a run, without a rule between them: powers of one base let words made for it collide."""
+    return mixed(mixed(np.arange(1, n + 1, dtype=np.uint64) * _STEP)) | np.uint64(1)
 
 
-_POWERS = _powers(1 << 12)
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose every bit depends on all bits."""
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+_WEIGHTS = _weights(1 << 12)
 
 
 def byte_class(chars: bytes, high: bool) -> np.ndarray:
@@ -151,30 +157,23 @@ FOLD = fold_table()
 
 def hash_runs(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of bytes: from one start to the next, the last to the end."""
-    global _POWERS
+    global _WEIGHTS
     ends = np.append(starts[1:], len(data))
     out = np.zeros(len(starts), np.uint64)
     low = 0
     while low < len(starts):
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + _PIECE, side="right")))
         sizes = ends[low:high] - starts[low:high]
-        if (longest := int(sizes.max())) > len(_POWERS):
-            _POWERS = _powers(longest)
+        if (longest := int(sizes.max())) > len(_WEIGHTS):
+            _WEIGHTS = _weights(longest)
         heads = starts[low:high] - starts[low]
         place = np.arange(int(sizes.sum())) - np.repeat(heads, sizes)
-        h = np.add.reduceat(_BYTE_VALUES[data[starts[low] : ends[high - 1]]] * _POWERS[place], heads)
+        h = np.add.reduceat(_BYTE_VALUES[data[starts[low] : ends[high - 1]]] * _WEIGHTS[place], heads)
         out[low:high] = mixed(h + sizes.astype(np.uint64))
         low = high
     return out
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Hashes whose every bit depends on all bits."""
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
 def hash_words(
     data: np.ndarray, offsets: np.ndarray, member: np.ndarray = ALNUM, fold: np.ndarray = FOLD
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +182,7 @@ def hash_words(
     Works on pieces of about a megabyte that end between words, so memory stays
     bounded for any length of text; every byte of a word counts.
     """
-    global _POWERS
+    global _WEIGHTS
     values = _BYTE_VALUES[fold]
     starts, hashes, low, size = [], [], 0, len(data)
     while low < size:
@@ -201,10 +200,10 @@ def hash_words(
         if len(at):
             heads = np.flatnonzero(first[at])
             lengths = np.diff(np.append(heads, len(at)))
-            if (longest := int(lengths.max())) > len(_POWERS):
-                _POWERS = _powers(longest)
+            if (longest := int(lengths.max())) > len(_WEIGHTS):
+                _WEIGHTS = _weights(longest)
             place = np.arange(len(at)) - np.repeat(heads, lengths)
-            h = np.add.reduceat(values[piece[at]] * _POWERS[place], heads)
+            h = np.add.reduceat(values[piece[at]] * _WEIGHTS[place], heads)
             starts.append(at[heads] + low)
             hashes.append(mixed(h))
         low = high

@@ -26,7 +26,9 @@ LENGTH = 2048
 #: Sequences of a record batch.
 SEQUENCES = 512
 #: Parts of texts whose identifiers a worker remembers; of more, the half that recurs most stays.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
+#: Bytes of parts that are compared with remembered ones at a time.
+COMPARED = 1 << 18
 #: Bytes of texts that are encoded together, if they have more than one text.
 BYTES = 1 << 21
 
@@ -66,11 +68,35 @@ def cut_points(data: np.ndarray, offsets: np.ndarray, whole: list[bytes]) -> np.
     return np.flatnonzero(cut[:n])
 
 
+class _Grown:
+    """An array that is appended to; its room doubles."""
+
+    def __init__(self, kind: np.dtype | type):
+        self.room, self.size = np.empty(1 << 10, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def append(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            room = np.empty(1 << size.bit_length(), self.room.dtype)
+            room[: self.size] = self.all
+            self.room = room
+        self.room[self.size : size] = values
+        self.size = size
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Encoder:
     """Identifiers of whole texts, with the parts that recur encoded once.
 
-    A part is known by its 64-bit hash, in a table with open addressing; the
-    identifiers of all known parts lie in one array.
+    A part is looked up by its 64-bit hash, in a table with open addressing, and
+    its bytes are compared with those of the part found. A part whose hash
+    belongs to other bytes is encoded by itself each time.
     """
 
     def __init__(self, path: str):
@@ -83,9 +109,10 @@ class Encoder:
     def _clear(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
         self.places = np.zeros(self.slots, np.int32)
-        self.hashes = np.zeros(0, np.uint64)
-        self.ids = np.zeros(0, self.token)
-        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.hashes = _Grown(np.uint64)
+        # The identifiers and the bytes of all known parts, end to end, where each starts, and how long it is.
+        self.ids, self.bytes = _Grown(self.token), _Grown(np.uint8)
+        self.starts, self.sizes, self.heads, self.lengths, self.uses = (_Grown(np.int64) for _ in range(5))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 of unknown ones."""
@@ -100,8 +127,8 @@ class Encoder:
             left, slot = left[go], (slot[go] + np.uint64(1)) & mask
         return out
 
-    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> None:
-        """Parts that are not known yet, each once."""
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+        """Parts whose hashes are not known yet, each once."""
         mask = np.uint64(self.slots - 1)
         left, slot = np.arange(len(hashes)), hashes & mask
         while len(left):
@@ -110,16 +137,20 @@ class Encoder:
             done = free & (self.keys[slot] == hashes[left])
             self.places[slot[done]] = len(self.hashes) + left[done]
             left, slot = left[~done], (slot[~done] + np.uint64(1)) & mask
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes, self.uses = np.append(self.sizes, sizes), np.append(self.uses, uses)
-        self.ids, self.hashes = np.append(self.ids, ids), np.append(self.hashes, hashes)
+        self.starts.append(len(self.ids) + np.cumsum(sizes) - sizes)
+        self.heads.append(len(self.bytes) + np.cumsum(lengths) - lengths)
+        for column, values in ((self.sizes, sizes), (self.lengths, lengths), (self.uses, uses), (self.ids, ids), (self.bytes, data), (self.hashes, hashes)):
+            column.append(values)
 
     def _forget(self) -> None:
         """Keep the parts used most, up to half of what may be remembered."""
-        kept = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
-        hashes, ids, sizes, uses = self.hashes[kept], self.ids[_spread(self.starts[kept], self.sizes[kept])], self.sizes[kept], self.uses[kept]
+        kept = np.argsort(-self.uses.all, kind="stable")[: REMEMBERED // 2]
+        sizes, lengths, uses = self.sizes.all[kept], self.lengths.all[kept], self.uses.all[kept]
+        ids = self.ids.all[_spread(self.starts.all[kept], sizes)]
+        data = self.bytes.all[_spread(self.heads.all[kept], lengths)]
+        hashes = self.hashes.all[kept]
         self._clear()
-        self._add(hashes, ids, sizes, uses // 2)
+        self._add(hashes, ids, sizes, data, lengths, uses // 2)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = []
@@ -128,25 +159,48 @@ class Encoder:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(itertools.chain.from_iterable(lists), self.token, int(sizes.sum())), sizes
 
+    def _others(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which parts have other bytes than those remembered at their places."""
+        other = self.lengths.all[places] != lengths
+        stops = begins + lengths
+        low = 0
+        while low < len(begins):
+            high = max(low + 1, int(np.searchsorted(stops, begins[low] + COMPARED, side="right")))
+            some = low + np.flatnonzero(~other[low:high])
+            if len(some) == 1:  # perhaps a long part
+                head, n = int(self.heads.all[places[some[0]]]), int(lengths[some[0]])
+                other[some] = not np.array_equal(data[begins[some[0]] : stops[some[0]]], self.bytes.all[head : head + n])
+            elif len(some):
+                own = data[begins[low] : stops[high - 1]] if len(some) == high - low else data[_spread(begins[some], lengths[some])]
+                differs = own != self.bytes.all[_spread(self.heads.all[places[some]], lengths[some])]
+                if differs.any():
+                    other[some] = np.logical_or.reduceat(differs, np.cumsum(lengths[some]) - lengths[some])
+            low = high
+        return np.flatnonzero(other)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of the texts end to end, each with the end identifier, and where each stops."""
         if len(self.hashes) > REMEMBERED:
             self._forget()
         begins = cut_points(data, offsets, self.added)
-        stops = np.append(begins[1:], len(data))
+        lengths = np.diff(np.append(begins, len(data)))
+        texts = lambda some: [data[a : a + n].tobytes().decode() for a, n in zip(begins[some].tolist(), lengths[some].tolist(), strict=True)]
         hashes = np.maximum(hash_runs(data, begins), np.uint64(1))  # zero marks a free slot
         places = self._find(hashes)
         missing = np.flatnonzero(places < 0)
         if len(missing):
             fresh, first = np.unique(hashes[missing], return_index=True)
             first = missing[first]
-            body = data.tobytes()
-            texts = [body[a:b].decode() for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)]
-            self._add(fresh, *self._encode(texts), np.zeros(len(fresh), np.int64))
+            self._add(fresh, *self._encode(texts(first)), data[_spread(begins[first], lengths[first])], lengths[first], np.zeros(len(fresh), np.int64))
             places[missing] = self._find(hashes[missing])
-        self.uses += np.bincount(places, minlength=len(self.uses))
-        sizes = self.sizes[places]
-        flat = self.ids[_spread(self.starts[places], sizes)]
+        self.uses.all[:] += np.bincount(places, minlength=len(self.uses))
+        starts, sizes, pool = self.starts.all[places], self.sizes.all[places], self.ids.all
+        other = self._others(data, begins, lengths, places)
+        if len(other):
+            own, sizes[other] = self._encode(texts(other))
+            starts[other] = len(pool) + np.cumsum(sizes[other]) - sizes[other]
+            pool = np.append(pool, own)
+        flat = pool[_spread(starts, sizes)]
         # Identifiers before the end of each text, and room for an end identifier after them.
         ahead = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begins, offsets[1:])]
         ends = ahead + np.arange(len(ahead))

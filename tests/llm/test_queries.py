@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from meshflux.llm import decontaminate, kneser_ney, license_scan, mixing, queries, sequence_files, sharding, simhash, token_files, toxicity
-from meshflux.llm.common import text_buffers
+from meshflux.llm.common import hash_runs, hash_words, text_buffers
 from tests.llm.conftest import alnum, awkward, low, prose, solid
 
 ROWS = awkward()
@@ -305,6 +305,31 @@ def test_parts_encode_like_whole_texts(text):
     assert ids.tolist() == [*want, 0, 0, *want, 0] and stops.tolist() == [len(want) + 1, len(want) + 2, 2 * len(want) + 3]
 
 
+def thue_morse(letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(1024))
+
+
+def test_parts_with_one_hash_keep_their_ids(monkeypatch):
+    a, b = thue_morse("ab"), thue_morse("ba")
+    texts = [f"start {a} {b} end", "", f"{b} {a}", "x" * 300_000 + " y", " ".join(prose(k, 40) for k in range(9)), "é a", ""]
+    for same in (False, True):  # with the hashes as they are, and with one hash for all parts
+        if same:
+            monkeypatch.setattr(sequence_files, "hash_runs", lambda data, starts: np.full(len(starts), 7, np.uint64))
+        encode = sequence_files.Encoder(sequence_files.TOKENIZER)
+        want = [i for t in texts for i in [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+        for _ in range(2):
+            assert encode(*buffers(texts))[0].tolist() == want
+
+
+def test_words_made_to_collide_have_different_hashes():
+    words = [thue_morse("ab"), thue_morse("ba"), thue_morse("xy"), thue_morse("yx"), "ab", "ba", "a", "b", "aa", "a\0"]
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    starts = np.cumsum([0, *map(len, words)])[:-1]
+    assert len(set(hash_runs(raw, starts).tolist())) == len(words)
+    data, offsets = buffers([" ".join(words[:8])])
+    assert len(set(hash_words(data, offsets)[1].tolist())) == 8
+
+
 def test_parts_are_forgotten(monkeypatch):
     monkeypatch.setattr(sequence_files, "REMEMBERED", 40)
     encode = sequence_files.Encoder(sequence_files.TOKENIZER)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,15 +100,15 @@ def mask_unreachable(edges: DataFrame, column: str = "distance") -> DataFrame:
     return edges.withColumn(column, F.when(finite, distance).otherwise(F.lit(FAR if top is None else 2.0 * top)))
 
 
-def simplify(edges: DataFrame) -> DataFrame:
-    """One row per unordered pair: loops dropped, best weight, least distance, first flag."""
+def simplify(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per unordered pair (and ``by``): loops dropped, best weight, least distance, first flag."""
     flag = F.col("is_bridge") if "is_bridge" in edges.columns else F.lit(False)
     distance = F.col("distance") if "distance" in edges.columns else strength_to_distance(F.col("weight"))
     pairs = edges.where(F.col("src") != F.col("dst")).select(
-        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"),
+        *by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"),
         "weight", distance.alias("distance"), flag.alias("is_bridge"),
     )
-    return pairs.groupBy("src", "dst").agg(
+    return pairs.groupBy(*by, "src", "dst").agg(
         F.max("weight").alias("weight"), F.min("distance").alias("distance"), F.bool_or("is_bridge").alias("is_bridge")
     )
 
@@ -132,6 +134,21 @@ def context_graph(
     return simplify(weigh_edges(cut(edges), mode=mode, pooled_levels=levels))
 
 
+def context_graphs(interactions: DataFrame, levels: DataFrame, *, threshold: int = 500) -> DataFrame:
+    """The graphs of all contexts on their common scale: ``context, src, dst, weight, distance, is_bridge``.
+
+    The rows of ``context_graph(mode="comparable")`` for every context at once: the
+    interactions are read once, and the context is part of the keys.
+    """
+    from meshflux.sources.tables import context_scan, edge_scan
+
+    members = context_scan(levels, None)
+    left = members.select("context", F.col("id").alias("src"), F.col("level").cast("double").alias("level_src"))
+    right = members.select("context", F.col("id").alias("dst"), F.col("level").cast("double").alias("level_dst"))
+    edges = edge_scan(interactions, threshold).join(left, "src").join(right, ["context", "dst"])
+    return simplify(weigh_edges(edges, mode="comparable", pooled_levels=levels), by=["context"])
+
+
 def degree_summary(edges: DataFrame, *, distinct: bool = True) -> DataFrame:
     """Degree and best score per id, counting partners (or rows)."""
     ends = symmetric_arcs(edges, "score")

@@ -494,24 +494,38 @@ def context_differential(arcs: DataFrame, targets: Sequence[str], *, factor: flo
     return critical.join(counts, "id").join(F.broadcast(contexts)).withColumn("response_type", kind).drop("context_total")  # one row
 
 
-def context_overlap(members: DataFrame, contexts: Sequence[str]) -> DataFrame:
-    """Shared ids and Jaccard of every pair of named contexts.
+#: Members in one word of a bitmap.
+WORD = 64
 
-    Ids are reduced to one row of flags each and counted per pair in a single
-    aggregation, so no pairs of ids or contexts are materialised.
+
+def context_overlap(members: DataFrame, contexts: Sequence[str] | None = None) -> DataFrame:
+    """Members, shared members, union and Jaccard of every pair of contexts (of all without ``contexts``).
+
+    Members are numbered, and a context is a bitmap of 64-bit words: rows that
+    meet are words, not ids, and every pair is counted before the shuffle. Contexts
+    themselves are few, as they are named by the caller or by an atlas; pairs
+    follow their order. Repeated rows count once; null ids and contexts never.
     """
-    names = list(dict.fromkeys(contexts))
-    flags = members.where(F.col("context").isin(names)).groupBy("id").agg(
-        *[F.max((F.col("context") == n).cast("int")).alias(f"c{k}") for k, n in enumerate(names)])
-    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
-    counted = flags.agg(*[
-        e for a, b in pairs for e in (
-            F.sum(F.col(f"c{a}") * F.col(f"c{b}")).alias(f"i{a}_{b}"), F.sum(F.greatest(f"c{a}", f"c{b}")).alias(f"u{a}_{b}"))])
-    rows = F.array(*[
-        F.struct(F.lit(names[a]).alias("context_a"), F.lit(names[b]).alias("context_b"),
-                 F.coalesce(f"i{a}_{b}", F.lit(0)).alias("shared"), F.coalesce(f"u{a}_{b}", F.lit(0)).alias("union")) for a, b in pairs])
-    return counted.select(F.explode(rows).alias("r")).select("r.*").withColumn(
-        "jaccard", F.try_divide(F.col("shared").cast("double"), F.col("union").cast("double")))
+    spark = members.sparkSession
+    rows = members.select("context", "id").where("context IS NOT NULL AND id IS NOT NULL")
+    if contexts is None:
+        names = sorted(r[0] for r in rows.select("context").distinct().collect())
+    else:
+        names = list(dict.fromkeys(contexts))
+    places = spark.createDataFrame(list(enumerate(names)), "place int, context string")
+    rows = rows.join(F.broadcast(places), "context")  # one row a context
+    numbers = cut(rows.select("id").distinct().withColumn("number", F.monotonically_increasing_id()))
+    bit, word = F.expr(f"shiftleft(1L, CAST(number % {WORD} AS INT))"), F.expr(f"number DIV {WORD}")
+    words = cut(rows.join(numbers, "id").groupBy(word.alias("word"), "place").agg(F.bit_or(bit).alias("bits")))
+    sizes = {r["place"]: r["n"] for r in words.groupBy("place").agg(F.sum(F.bit_count("bits")).alias("n")).collect()}
+    other = words.select("word", F.col("place").alias("place_b"), F.col("bits").alias("bits_b"))
+    both = words.join(other, (words["word"] == other["word"]) & (F.col("place") < F.col("place_b")))
+    shared = both.groupBy("place", "place_b").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("bits_b")))).alias("shared"))
+    pairs = [(a, b, names[a], names[b], sizes.get(a, 0), sizes.get(b, 0)) for a in range(len(names)) for b in range(a + 1, len(names))]
+    every = spark.createDataFrame(pairs, "place int, place_b int, context_a string, context_b string, members_a long, members_b long")
+    counted = every.join(F.broadcast(shared), ["place", "place_b"], "left").fillna(0, ["shared"])  # one row a pair of contexts
+    union = F.col("members_a") + F.col("members_b") - F.col("shared")
+    return counted.select("context_a", "context_b", "members_a", "members_b", "shared", union.alias("union"), F.try_divide(F.col("shared").cast("double"), union.cast("double")).alias("jaccard"))
 
 
 def focus(arcs: DataFrame, targets: Sequence[str], *, factor: float = BLOCK_FRACTION) -> DataFrame:

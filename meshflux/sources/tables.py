@@ -28,11 +28,13 @@ def edge_scan(interactions: DataFrame, threshold: int = SCORE_THRESHOLD) -> Data
     )
 
 
-def context_scan(levels: DataFrame, context: str) -> DataFrame:
-    """Highest positive level per id in one context."""
+def context_scan(levels: DataFrame, context: str | None) -> DataFrame:
+    """Highest positive level per id in one context, or per context and id without one."""
     require_columns(levels, "id", "context", "level", what="context levels")
-    kept = levels.where((F.col("context") == context) & (F.col("level") > 0))
-    return kept.groupBy("id").agg(F.max("level").alias("level"))
+    kept, keys = levels.where(F.col("level") > 0), ["context", "id"]
+    if context is not None:
+        kept, keys = kept.where(F.col("context") == context), ["id"]
+    return kept.groupBy(*keys).agg(F.max("level").alias("level"))
 
 
 def entity_profile(levels: DataFrame, entity: str) -> DataFrame:

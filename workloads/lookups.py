@@ -314,7 +314,7 @@ def candidate_search(t):
     rows = responses(t)
     scores = rows.select("id", F.col("importance").alias("pagerank"), F.abs("delta_pct").alias("betweenness"), "importance", (F.col("importance") > 800).alias("is_bottleneck"),
                          (F.substring("id", 2, 9).cast("int") % 10).alias("community"))
-    regulators = t.lineitem.where("l_returnflag = 'R' AND l_quantity > 48").select(i.part_id().alias("regulator"), i.supplier_id().alias("target"), F.lit("returned").alias("effect"))
+    regulators = t.lineitem.where("l_returnflag = 'R'").select(i.part_id().alias("regulator"), i.supplier_id().alias("target"), F.lit("returned").alias("effect"))
     return se.candidate_search(graph, cut(scores), "S1", regulators, limit=25).select("id", "layer", "nearness", "is_neighbour", "effect")
 
 
@@ -512,14 +512,14 @@ def candidate_facts(t):
     return fi.candidate_facts(report, cache, ["family"])
 
 
-@workload("dose_findings", """WITH d AS (SELECT DISTINCT 1 - l_discount * 9 AS survival, l_discount AS boost FROM lineitem), s AS (SELECT DISTINCT 1 - l_discount * 9 AS survival, l_suppkey FROM lineitem WHERE l_quantity > 45),
+@workload("dose_findings", """WITH d AS (SELECT DISTINCT 1 - l_discount * 9 AS survival, l_discount AS boost FROM lineitem), s AS (SELECT DISTINCT 1 - l_discount * 9 AS survival, l_suppkey FROM lineitem),
 f AS (SELECT max(survival) AS f FROM d WHERE boost >= 0.5 * (SELECT max(boost) FROM d)), q AS (SELECT count(*) AS n FROM (SELECT l_suppkey FROM s GROUP BY 1 HAVING count(*) >= 0.5 * (SELECT count(*) FROM d)))
 SELECT (SELECT max(boost) FROM d) AS max_boost, CASE WHEN f >= 0.5 THEN 'early' ELSE 'late' END AS compensation, n AS suspects, 'insufficient' AS target_effect,
  CASE WHEN CAST(f >= 0.5 AS INT) + CAST(n >= 2 AS INT) + 1 >= 2 THEN 'high' ELSE 'medium' END AS priority FROM f, q""")
 def dose_findings(t):
     survival = (1 - F.col("l_discount") * 9).alias("survival")
     doses = t.lineitem.select(survival, F.col("l_discount").alias("boost")).distinct()
-    stressed = t.lineitem.where("l_quantity > 45").select(survival, i.supplier_id().alias("id"))
+    stressed = t.lineitem.select(survival, i.supplier_id().alias("id"))
     half = t.spark.createDataFrame([(None, "resistant")], "half_loss_survival double, status string")
     return fi.dose_findings(doses, half, stressed).select("max_boost", "compensation", "suspects", "target_effect", "priority")
 

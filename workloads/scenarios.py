@@ -213,22 +213,47 @@ def half_loss_dose(t):
     return p.half_loss_dose(doses).select(r("half_loss_survival", 6), "status")
 
 
-@workload("context_overlap", f"""WITH {i.SQL_LEVELS}, m AS (SELECT DISTINCT context, id FROM levels WHERE level >= 49)
-SELECT a.context AS context_a, b.context AS context_b, sum(CASE WHEN a.id = b.id THEN 1 ELSE 0 END) AS shared FROM m a JOIN m b
-ON a.context < b.context AND a.context IN ('NATION_1', 'NATION_2', 'NATION_7') AND b.context IN ('NATION_1', 'NATION_2', 'NATION_7') GROUP BY 1, 2""")
+@workload("context_overlap", f"""WITH {i.SQL_LEVELS}, m AS MATERIALIZED (SELECT DISTINCT context, id FROM levels),
+z AS (SELECT context, count(*) AS n FROM m GROUP BY 1), s AS (SELECT a.context AS x, b.context AS y, count(*) AS shared FROM m a JOIN m b ON a.id = b.id AND a.context < b.context GROUP BY 1, 2)
+SELECT p.context AS context_a, q.context AS context_b, p.n AS members_a, q.n AS members_b, coalesce(shared, 0) AS shared, p.n + q.n - coalesce(shared, 0) AS "union",
+  round(coalesce(shared, 0) / (p.n + q.n - coalesce(shared, 0))::DOUBLE, 9) AS jaccard FROM z p JOIN z q ON p.context < q.context LEFT JOIN s ON x = p.context AND y = q.context""")
 def context_overlap(t):
-    return p.context_overlap(i.levels(t).where("level >= 49"), ["NATION_1", "NATION_2", "NATION_7"]).select("context_a", "context_b", "shared")
+    return p.context_overlap(i.levels(t)).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@workload("context_differential", None)
+def sql_keyed_walk(name, arcs, rounds=220):
+    """CTEs ending in ``name(context, id, pagerank)``: the power iteration in every context."""
+    return f"""
+{name}_s AS MATERIALIZED (SELECT context, src AS id, sum(weight) AS s FROM {arcs} GROUP BY 1, 2),
+{name}_n AS MATERIALIZED (SELECT context, count(*) AS n FROM {name}_s GROUP BY 1),
+{name}_q AS MATERIALIZED (SELECT a.context, a.src, a.dst, a.weight / s.s AS q FROM {arcs} a JOIN {name}_s s ON a.src = s.id AND a.context = s.context),
+{name}_i AS (SELECT context, id, 1.0::DOUBLE / n AS x, 0 AS k FROM {name}_s JOIN {name}_n USING (context) UNION ALL
+  SELECT q.context, q.dst, 0.15::DOUBLE / max(n.n) + 0.85::DOUBLE * sum(q.q * i.x), max(i.k) + 1
+  FROM {name}_i i JOIN {name}_q q ON i.id = q.src AND i.context = q.context JOIN {name}_n n ON n.context = q.context WHERE i.k < {rounds} GROUP BY q.context, q.dst),
+{name} AS MATERIALIZED (SELECT context, id, x AS pagerank FROM {name}_i WHERE k = {rounds})"""
+
+
+@workload("context_differential", f"""WITH RECURSIVE {i.SQL_PAIRS}, {i.SQL_LEVELS},
+tally AS (SELECT ln(1 + level) AS v, count(*) AS n FROM levels WHERE level > 0 GROUP BY 1),
+cum AS (SELECT v, sum(n) OVER (ORDER BY v) AS c, sum(n) OVER () AS total FROM tally),
+lim AS (SELECT min(v) FILTER (WHERE c >= 0.01 * total) AS q01, min(v) FILTER (WHERE c >= 0.99 * total) AS q99 FROM cum),
+mem AS (SELECT context, id, max(level) AS level FROM levels WHERE level > 0 GROUP BY 1, 2),
+ce AS MATERIALIZED (SELECT a.context, src, dst, pow(score / 1000.0::DOUBLE, 2) * (0.1::DOUBLE + 0.9::DOUBLE * sqrt(greatest(0, least(1, (ln(1 + a.level) - q01) / (q99 - q01))) * greatest(0, least(1, (ln(1 + b.level) - q01) / (q99 - q01))))) AS weight
+  FROM pairs JOIN mem a ON src = a.id JOIN mem b ON dst = b.id AND a.context = b.context, lim WHERE score >= 300),
+hit AS MATERIALIZED (SELECT context, list_distinct(list(x)) AS ids FROM (SELECT context, unnest([src, dst]) AS x FROM ce) WHERE x IN ('S1', 'P3') GROUP BY 1),
+ar AS MATERIALIZED (SELECT context, src, dst, weight FROM ce JOIN hit USING (context) UNION ALL SELECT context, dst, src, weight FROM ce JOIN hit USING (context)),
+ar2 AS MATERIALIZED (SELECT context, src, dst, CASE WHEN src IN ('S1', 'P3') OR dst IN ('S1', 'P3') THEN weight * {p.BLOCK_FRACTION!r}::DOUBLE ELSE weight END AS weight FROM ar),
+{sql_keyed_walk('ka', 'ar')},{sql_keyed_walk('kb', 'ar2')},
+df AS MATERIALIZED (SELECT context, id, kb.pagerank - ka.pagerank AS delta, (kb.pagerank - ka.pagerank) / ka.pagerank * 100 AS delta_pct FROM ka JOIN kb USING (context, id) WHERE id NOT IN ('S1', 'P3')),
+li AS (SELECT context, quantile_cont(abs(delta), {p.SELECTION_PERCENTILE / 100.0!r}) AS l FROM df GROUP BY 1),
+cr AS MATERIALIZED (SELECT df.* FROM df JOIN li USING (context) WHERE abs(delta) >= l AND delta <> 0)
+SELECT context, id, round(delta_pct, 4) AS delta_pct, CASE WHEN delta > 0 THEN 'gain' ELSE 'loss' END AS direction, count(*) OVER (PARTITION BY id) AS contexts,
+  CASE WHEN count(*) OVER (PARTITION BY id) = (SELECT count(*) FROM hit) THEN 'conserved' ELSE 'context_specific' END AS response_type FROM cr""")
 def context_differential(t):
-    """One scenario in three nations' graphs, solved together."""
-    arcs = None
-    for context in ("NATION_1", "NATION_2", "NATION_7"):
-        graph = e.context_graph(i.interactions(t), i.levels(t), context=context, threshold=300, mode="comparable")
-        part = symmetric_arcs(graph).withColumn("context", F.lit(context))
-        arcs = part if arcs is None else arcs.unionByName(part)
-    return p.context_differential(arcs, ["S1", "P3"])
+    """One scenario in the graphs of all nations, solved together."""
+    graphs = cut(e.context_graphs(i.interactions(t), i.levels(t), threshold=300))
+    arcs = graphs.select("context", "src", "dst", "weight").unionByName(graphs.select("context", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return p.context_differential(arcs, ["S1", "P3"]).select("context", "id", r("delta_pct", 4), "direction", "contexts", "response_type")
 
 
 @workload("interaction", None)

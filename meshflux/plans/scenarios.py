@@ -268,23 +268,23 @@ def what_if_report(arcs: DataFrame, scenarios: DataFrame, *, sample: int | None
 
 
 def severity_sweep(
-    arcs: DataFrame, targets: Sequence[str], fractions: dict[str, float], *, damping: float = DAMPING, sample: int | None
+    arcs: DataFrame, targets: Sequence[str], fractions: dict[str, float], *, damping: float = DAMPING, sample: int | None = None, sources: DataFrame | None = None
 ) -> DataFrame:
-    """Burden, strong responses, system shift and change of global efficiency for each attenuation level."""
+    """Burden, strong responses, system shift and change of global efficiency for each attenuation level; efficiency as in ``scenario_efficiency``."""
     table = scenario_table(arcs.sparkSession, {n: targets for n in fractions}, fractions)
     responses = cut(without_targets(what_if(arcs, table, damping=damping), table))
     strong = quantiles(responses, "abs_delta", {"limit": SELECTION_PERCENTILE / 100.0}, by=["scenario_id"]).drop("n")
     rated = responses.join(strong, "scenario_id").groupBy("scenario_id").agg(
         F.sum("abs_delta").alias("burden"),
         F.count_if((F.col("abs_delta") >= F.col("limit")) & (F.col("abs_delta") > 0)).alias("strong_responses"))
-    efficiency = scenario_efficiency(arcs, table, sample=sample).select("scenario_id", F.col("change_pct").alias("efficiency_change_pct"))
+    efficiency = scenario_efficiency(arcs, table, sample=sample, sources=sources).select("scenario_id", F.col("change_pct").alias("efficiency_change_pct"))
     return rated.join(system_shift(responses).select("scenario_id", "system_shift_pct"), "scenario_id").join(efficiency, "scenario_id")
 
 
 def interaction(
-    arcs: DataFrame, targets: Sequence[str], *, sample: int | None, factor: float = BLOCK_FRACTION, tolerance: float = 0.10
+    arcs: DataFrame, targets: Sequence[str], *, sample: int | None = None, sources: DataFrame | None = None, factor: float = BLOCK_FRACTION, tolerance: float = 0.10
 ) -> DataFrame:
-    """Combined effect against the sum of the single effects, per metric; efficiency from ``sample`` sources, or all."""
+    """Combined effect against the sum of the single effects, per metric; efficiency as in ``scenario_efficiency``."""
     unique = list(dict.fromkeys(targets))
     if len(unique) < 2:
         raise ValueError("an interaction needs at least two targets")
@@ -292,7 +292,7 @@ def interaction(
     table = scenario_table(arcs.sparkSession, sets, factor)
     responses = cut(what_if(arcs, table))
     shift = system_shift(responses).select("scenario_id", F.lit("system_shift_pct").alias("metric"), F.col("system_shift_pct").alias("effect"))
-    efficiency = scenario_efficiency(arcs, table, sample=sample).select("scenario_id", F.lit("global_efficiency_change").alias("metric"), F.col("change").alias("effect"))
+    efficiency = scenario_efficiency(arcs, table, sample=sample, sources=sources).select("scenario_id", F.lit("global_efficiency_change").alias("metric"), F.col("change").alias("effect"))
     both = shift.unionByName(efficiency)
     rated = both.groupBy("metric").agg(
         F.sum(F.when(F.col("scenario_id") != "combined", F.col("effect"))).alias("expected"),

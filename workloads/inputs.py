@@ -142,3 +142,41 @@ def sql_pagerank(name: str, arcs: str, *, damping: float = 0.85, rounds: int = 2
   SELECT q.dst, {1.0 - damping!r}::DOUBLE / max(n.n) + {damping!r}::DOUBLE * sum(q.q * i.x), max(i.k) + 1
   FROM {name}_i i JOIN {name}_q q ON i.id = q.src CROSS JOIN {name}_n n WHERE i.k < {rounds} GROUP BY q.dst),
 {name} AS MATERIALIZED (SELECT id, x AS pagerank FROM {name}_i WHERE k = {rounds})"""
+
+
+def sql_keyed_walk(name: str, arcs: str, rounds: int = 220) -> str:
+    """CTEs ending in ``name(context, id, pagerank)``: the power iteration in every context."""
+    return f"""
+{name}_s AS MATERIALIZED (SELECT context, src AS id, sum(weight) AS s FROM {arcs} GROUP BY 1, 2),
+{name}_n AS MATERIALIZED (SELECT context, count(*) AS n FROM {name}_s GROUP BY 1),
+{name}_q AS MATERIALIZED (SELECT a.context, a.src, a.dst, a.weight / s.s AS q FROM {arcs} a JOIN {name}_s s ON a.src = s.id AND a.context = s.context),
+{name}_i AS (SELECT context, id, 1.0::DOUBLE / n AS x, 0 AS k FROM {name}_s JOIN {name}_n USING (context) UNION ALL
+  SELECT q.context, q.dst, 0.15::DOUBLE / max(n.n) + 0.85::DOUBLE * sum(q.q * i.x), max(i.k) + 1
+  FROM {name}_i i JOIN {name}_q q ON i.id = q.src AND i.context = q.context JOIN {name}_n n ON n.context = q.context WHERE i.k < {rounds} GROUP BY q.context, q.dst),
+{name} AS MATERIALIZED (SELECT context, id, x AS pagerank FROM {name}_i WHERE k = {rounds})"""
+
+
+def sql_responses() -> str:
+    """CTEs from ``arcs`` and ``sc(sid, ids, factor)``: arcs ``ar`` and ranks ``kw`` of every scenario, in ``context``, and the responses ``resp``."""
+    return f"""
+ar AS MATERIALIZED (SELECT 'base' AS context, src, dst, weight FROM arcs UNION ALL
+  SELECT sid, src, dst, CASE WHEN list_contains(ids, src) OR list_contains(ids, dst) THEN weight * factor ELSE weight END FROM arcs, sc),
+{sql_keyed_walk('kw', 'ar')},
+resp AS MATERIALIZED (SELECT y.context AS scenario_id, id, y.pagerank - x.pagerank AS delta, (y.pagerank - x.pagerank) / x.pagerank * 100 AS delta_pct
+  FROM kw x JOIN kw y USING (id) WHERE x.context = 'base' AND y.context <> 'base')"""
+
+
+def sql_shift(responses: str) -> str:
+    return f"""shift AS MATERIALIZED (SELECT scenario_id, sum(abs(delta)) / 2 AS total_variation, 100.0 * avg(CASE WHEN abs(delta) > 1e-6 THEN 1 ELSE 0 END) AS moved_pct,
+  25 * sum(abs(delta)) + 50.0 * avg(CASE WHEN abs(delta) > 1e-6 THEN 1 ELSE 0 END) AS system_shift_pct FROM {responses} GROUP BY 1)"""
+
+
+def sql_efficiencies(sources: tuple[str, ...], rounds: int = 30) -> str:
+    """CTEs from ``ar`` ending in ``ef(context, e)``: efficiency from the sources over distances 1 / weight."""
+    values = ", ".join(f"('{s}')" for s in sources)
+    return f"""
+ef_r AS (SELECT context, s AS source, s AS id, 0.0::DOUBLE AS dist, 0 AS k FROM (VALUES {values}) v(s), (SELECT DISTINCT context FROM ar) c
+  UNION ALL SELECT context, source, id, min(dist), k + 1 FROM (
+    SELECT context, source, id, dist, k FROM ef_r UNION ALL SELECT r.context, source, a.dst, r.dist + 1 / a.weight, r.k FROM ef_r r JOIN ar a ON r.id = a.src AND r.context = a.context) u
+  WHERE k < {rounds} GROUP BY context, source, id, k),
+ef AS MATERIALIZED (SELECT context, sum(CASE WHEN dist > 0 THEN 1 / dist END) / ({len(sources)} * ((SELECT count(DISTINCT src) FROM arcs) - 1)) AS e FROM ef_r WHERE k = {rounds} GROUP BY 1)"""

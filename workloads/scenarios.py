@@ -152,18 +152,32 @@ def selection_policies(t):
     return out.unionByName(mean)
 
 
-@workload("severity_sweep", None)
+FRACTIONS = {"Mild": 0.5, "Moderate": 0.2, "Strong": 0.05, "Near-complete": 0.001}
+
+
+@workload("severity_sweep", f"""WITH RECURSIVE {i.sql_edges()}, sc AS (SELECT * FROM (VALUES {", ".join(f"('{n}', ['S1', 'S2'], {f!r}::DOUBLE)" for n, f in FRACTIONS.items())}) v(sid, ids, factor)),
+{i.sql_responses()}, rs AS MATERIALIZED (SELECT * FROM resp WHERE id NOT IN ('S1', 'S2')), {i.sql_shift("rs")}, {i.sql_efficiencies(REPORT_SOURCES)},
+li AS (SELECT scenario_id, quantile_cont(abs(delta), {p.SELECTION_PERCENTILE / 100.0!r}) AS l FROM rs GROUP BY 1),
+bu AS (SELECT scenario_id, sum(abs(delta)) AS burden, count(*) FILTER (WHERE abs(delta) >= l AND delta <> 0) AS strong_responses FROM rs JOIN li USING (scenario_id) GROUP BY 1)
+SELECT scenario_id, round(burden, 8) AS burden, strong_responses, round(system_shift_pct, 4) AS system_shift_pct, round((b.e - a.e) / a.e * 100, 5) AS efficiency_change_pct
+FROM bu JOIN shift USING (scenario_id) JOIN ef b ON b.context = scenario_id JOIN ef a ON a.context = 'base'""")
 def severity_sweep(t):
     arcs = cut(symmetric_arcs(i.plain_graph(t)))
-    return p.severity_sweep(arcs, ["S1", "S2"], {"Mild": 0.5, "Moderate": 0.2, "Strong": 0.05, "Near-complete": 0.001}, sample=4)
+    sources = t.spark.createDataFrame([(s,) for s in REPORT_SOURCES], "id string")
+    out = p.severity_sweep(arcs, ["S1", "S2"], FRACTIONS, sources=sources)
+    return out.select("scenario_id", r("burden", 8), "strong_responses", r("system_shift_pct", 4), r("efficiency_change_pct", 5))
 
 
-@workload("batch_sweep", None)
+@workload("batch_sweep", f"""WITH RECURSIVE {i.sql_edges()}, sc AS MATERIALIZED (SELECT src AS sid, [src] AS ids, {p.BLOCK_FRACTION!r}::DOUBLE AS factor FROM arcs GROUP BY src ORDER BY count(*) DESC, src LIMIT 12),
+{i.sql_responses()}, {i.sql_shift("resp")},
+ex AS (SELECT scenario_id, max(delta_pct) AS gain_pct, arg_max(id, delta_pct) AS gain_id, min(delta_pct) AS loss_pct, arg_min(id, delta_pct) AS loss_id FROM resp WHERE id <> scenario_id GROUP BY 1)
+SELECT scenario_id, round(total_variation, 8) AS total_variation, round(moved_pct, 4) AS moved_pct, round(system_shift_pct, 4) AS system_shift_pct, gain_id, round(gain_pct, 4) AS gain_pct, loss_id, round(loss_pct, 4) AS loss_pct FROM shift JOIN ex USING (scenario_id)""")
 def batch_sweep(t):
     """One scenario for each of the best-connected nodes, in one batched run."""
     graph = cut(i.plain_graph(t))
     scores = e.degree_summary(graph).select("id", F.col("degree").alias("importance"))
-    return p.batch_sweep(cut(symmetric_arcs(graph)), scores, top_n=12)
+    out = p.batch_sweep(cut(symmetric_arcs(graph)), scores, top_n=12)
+    return out.select("scenario_id", r("total_variation", 8), r("moved_pct", 4), r("system_shift_pct", 4), "gain_id", r("gain_pct", 4), "loss_id", r("loss_pct", 4))
 
 
 @workload("null_p_values", None)
@@ -221,18 +235,6 @@ def context_overlap(t):
     return p.context_overlap(i.levels(t)).withColumn("jaccard", F.round("jaccard", 9))
 
 
-def sql_keyed_walk(name, arcs, rounds=220):
-    """CTEs ending in ``name(context, id, pagerank)``: the power iteration in every context."""
-    return f"""
-{name}_s AS MATERIALIZED (SELECT context, src AS id, sum(weight) AS s FROM {arcs} GROUP BY 1, 2),
-{name}_n AS MATERIALIZED (SELECT context, count(*) AS n FROM {name}_s GROUP BY 1),
-{name}_q AS MATERIALIZED (SELECT a.context, a.src, a.dst, a.weight / s.s AS q FROM {arcs} a JOIN {name}_s s ON a.src = s.id AND a.context = s.context),
-{name}_i AS (SELECT context, id, 1.0::DOUBLE / n AS x, 0 AS k FROM {name}_s JOIN {name}_n USING (context) UNION ALL
-  SELECT q.context, q.dst, 0.15::DOUBLE / max(n.n) + 0.85::DOUBLE * sum(q.q * i.x), max(i.k) + 1
-  FROM {name}_i i JOIN {name}_q q ON i.id = q.src AND i.context = q.context JOIN {name}_n n ON n.context = q.context WHERE i.k < {rounds} GROUP BY q.context, q.dst),
-{name} AS MATERIALIZED (SELECT context, id, x AS pagerank FROM {name}_i WHERE k = {rounds})"""
-
-
 @workload("context_differential", f"""WITH RECURSIVE {i.SQL_PAIRS}, {i.SQL_LEVELS},
 tally AS (SELECT ln(1 + level) AS v, count(*) AS n FROM levels WHERE level > 0 GROUP BY 1),
 cum AS (SELECT v, sum(n) OVER (ORDER BY v) AS c, sum(n) OVER () AS total FROM tally),
@@ -243,7 +245,7 @@ ce AS MATERIALIZED (SELECT a.context, src, dst, pow(score / 1000.0::DOUBLE, 2) *
 hit AS MATERIALIZED (SELECT context, list_distinct(list(x)) AS ids FROM (SELECT context, unnest([src, dst]) AS x FROM ce) WHERE x IN ('S1', 'P3') GROUP BY 1),
 ar AS MATERIALIZED (SELECT context, src, dst, weight FROM ce JOIN hit USING (context) UNION ALL SELECT context, dst, src, weight FROM ce JOIN hit USING (context)),
 ar2 AS MATERIALIZED (SELECT context, src, dst, CASE WHEN src IN ('S1', 'P3') OR dst IN ('S1', 'P3') THEN weight * {p.BLOCK_FRACTION!r}::DOUBLE ELSE weight END AS weight FROM ar),
-{sql_keyed_walk('ka', 'ar')},{sql_keyed_walk('kb', 'ar2')},
+{i.sql_keyed_walk('ka', 'ar')},{i.sql_keyed_walk('kb', 'ar2')},
 df AS MATERIALIZED (SELECT context, id, kb.pagerank - ka.pagerank AS delta, (kb.pagerank - ka.pagerank) / ka.pagerank * 100 AS delta_pct FROM ka JOIN kb USING (context, id) WHERE id NOT IN ('S1', 'P3')),
 li AS (SELECT context, quantile_cont(abs(delta), {p.SELECTION_PERCENTILE / 100.0!r}) AS l FROM df GROUP BY 1),
 cr AS MATERIALIZED (SELECT df.* FROM df JOIN li USING (context) WHERE abs(delta) >= l AND delta <> 0)
@@ -256,10 +258,19 @@ def context_differential(t):
     return p.context_differential(arcs, ["S1", "P3"]).select("context", "id", r("delta_pct", 4), "direction", "contexts", "response_type")
 
 
-@workload("interaction", None)
+@workload("interaction", f"""WITH RECURSIVE {i.sql_edges()}, sc AS (SELECT * FROM (VALUES ('single_S1', ['S1'], {p.BLOCK_FRACTION!r}::DOUBLE), ('single_S2', ['S2'], {p.BLOCK_FRACTION!r}::DOUBLE), ('combined', ['S1', 'S2'], {p.BLOCK_FRACTION!r}::DOUBLE)) v(sid, ids, factor)),
+{i.sql_responses()}, {i.sql_shift("resp")}, {i.sql_efficiencies(REPORT_SOURCES)},
+x AS (SELECT scenario_id, 'system_shift_pct' AS metric, 4 AS digits, system_shift_pct AS effect FROM shift UNION ALL
+  SELECT b.context, 'global_efficiency_change', 9, b.e - a.e FROM ef b JOIN ef a ON a.context = 'base' AND b.context <> 'base'),
+y AS (SELECT metric, digits, sum(effect) FILTER (WHERE scenario_id <> 'combined') AS w, max(effect) FILTER (WHERE scenario_id = 'combined') AS o FROM x GROUP BY 1, 2)
+SELECT metric, round(w, digits) AS expected, round(o, digits) AS observed, round(o - w, digits) AS residual, CASE WHEN (abs(o) - abs(w)) / greatest(abs(w), 1e-12) > 0.1 THEN 'supra-additive'
+  WHEN (abs(o) - abs(w)) / greatest(abs(w), 1e-12) < -0.1 THEN 'sub-additive' ELSE 'approximately additive' END AS interaction FROM y""")
 def interaction(t):
     arcs = cut(symmetric_arcs(i.plain_graph(t)))
-    return p.interaction(arcs, ["S1", "S2"], sample=8)
+    sources = t.spark.createDataFrame([(s,) for s in REPORT_SOURCES], "id string")
+    out = p.interaction(arcs, ["S1", "S2"], sources=sources)
+    rounded = [F.when(F.col("metric") == "system_shift_pct", F.round(c, 4)).otherwise(F.round(c, 9)).alias(c) for c in ("expected", "observed", "residual")]
+    return out.select("metric", *rounded, "interaction")
 
 
 @workload("keyed_pagerank", f"""WITH RECURSIVE {i.SQL_PAIRS}, e1 AS (SELECT src, dst, pow(score / 1000.0::DOUBLE, 2) AS weight FROM pairs WHERE score >= 400),

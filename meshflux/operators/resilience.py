@@ -21,18 +21,16 @@ from meshflux.settings import NULL_ITERATIONS, NULL_Z, RESCUE_THRESHOLDS, SEED,
 
 # --- communities -------------------------------------------------------------
 
-#: Rounds without a gain after which a level is settled.
-PATIENCE = 4
-
-
 def communities(edges: DataFrame) -> DataFrame:
     """Community per node by synchronous modularity moves and contraction.
 
     In a round a hashed half of the nodes may move, which keeps two neighbours
     from swapping places for ever; ties go to the least community id. A round
-    that does not raise the modularity is discarded. A level ends when no node
-    wants to move, or after ``PATIENCE`` discarded rounds, each with another half;
-    the levels end when contraction allows no further move.
+    that does not raise the modularity is discarded, and the next one makes only
+    moves no two of which touch the same community: their gains add up exactly,
+    so it raises the modularity by their sum. A level ends when no node wants to
+    move (or only by less than the rounding of doubles); the levels end when
+    contraction allows no further move.
     """
     lineage = Lineage(edges.sparkSession)
     links = lineage.cut(symmetric_arcs(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
@@ -72,8 +70,8 @@ def _local_moves(lineage, links, total, level):
     strength = lineage.cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
     state = lineage.cut(strength.select("id", F.col("id").alias("community")))
     best = links_modularity(links, state, total).first()["modularity"]
-    changed, turn, idle = False, 0, 0
-    while idle < PATIENCE:
+    changed, turn, apart = False, 0, False
+    while True:
         turn += 1
         near = links.where("src <> dst").join(state.select(F.col("id").alias("dst"), "community"), "dst").groupBy(
             F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"))
@@ -87,24 +85,39 @@ def _local_moves(lineage, links, total, level):
         chosen = options.withColumn("gain", gain).groupBy("id").agg(
             F.min(F.struct((-F.col("gain")).alias("order"), "community")).alias("best"),
             F.max(F.when(stays, F.col("gain"))).alias("now"), F.first("own").alias("own"))
-        wants = -F.col("best.order") > F.col("now")
-        may = (F.pmod(F.xxhash64("id", F.lit(turn + 31 * level)), F.lit(2)) == 0) & wants
-        fresh = lineage.cut(chosen.select(
-            "id", F.when(may, F.col("best.community")).otherwise(F.col("own")).alias("community"), wants.alias("wants")))
-        if fresh.where("wants").isEmpty():
+        rise = -F.col("best.order") - F.col("now")
+        chosen = lineage.cut(chosen.select("id", "own", F.col("best.community").alias("community"), rise.alias("rise")))
+        moves = chosen.where("rise > 0")
+        if moves.isEmpty():
             break
+        if apart:
+            moves = _moves_apart(moves)
+        else:
+            moves = moves.where(F.pmod(F.xxhash64("id", F.lit(turn + 31 * level)), F.lit(2)) == 0)
+        moves = moves.select("id", F.col("community").alias("_to"))
+        fresh = lineage.cut(chosen.join(moves, "id", "left").select("id", F.coalesce("_to", "own").alias("community")))
+        lineage.drop(chosen)
         value = links_modularity(links, fresh, total).first()["modularity"]
-        if value <= best:
+        if value > best:
+            lineage.drop(state)
+            state, best, changed, apart = fresh, value, True, False
+        elif apart:
+            break  # the gains left are below the rounding of doubles
+        else:
             lineage.drop(fresh)
-            idle += 1
-            continue
-        lineage.drop(state)
-        state = fresh.drop("wants")
-        state._cut_path = fresh._cut_path
-        best, changed, idle = value, True, 0
+            apart = True
     return state if changed else None
 
 
+def _moves_apart(moves: DataFrame) -> DataFrame:
+    """The moves that are the best of both communities they touch: ``id, own, community, rise`` without two that share one."""
+    order = F.struct((-F.col("rise")).alias("order"), "id")
+    ends = moves.select(F.explode(F.array("own", "community")).alias("end"), order.alias("move"))
+    first = ends.groupBy("end").agg(F.min("move").alias("move"))
+    twice = first.groupBy(F.col("move.id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    return moves.join(twice, "id", "left_semi")
+
+
 # --- rewiring ----------------------------------------------------------------
 
 #: Rounds without an exchange after which a rewiring is held to be impossible.

@@ -1,9 +1,12 @@
-"""Graphs and members of many contexts at once."""
+"""Graphs and members of many contexts at once, and communities."""
 
 import itertools
 import random
 
+import pytest
+
 from meshflux.operators.edges import context_graph, context_graphs
+from meshflux.operators.resilience import _moves_apart, communities, modularity
 from meshflux.plans.scenarios import context_overlap
 
 
@@ -38,3 +41,38 @@ def test_all_graphs_equal_each(spark):
         want += [(c, *r) for r in context_graph(edges, levels, context=c, threshold=300, mode="comparable").collect()]
     assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
     assert all(abs(g[3] - w[3]) < 1e-12 and abs(g[4] - w[4]) < 1e-9 * w[4] for g, w in zip(got, sorted(want)))
+
+
+def test_no_move_and_no_merger_raises_the_modularity(spark):
+    draw = random.Random(11)
+    nodes = [f"n{k:02d}" for k in range(24)]
+    rows = [(a, b, float(draw.randrange(1, 9))) for a, b in itertools.combinations(nodes, 2) if draw.random() < (0.5 if int(a[1:]) // 8 == int(b[1:]) // 8 else 0.15)]
+    table = spark.createDataFrame(rows, "src string, dst string, weight double")
+    found = {r["id"]: r["community"] for r in communities(table).collect()}
+    total = 2 * sum(w for *_, w in rows)
+
+    def value(member):
+        inside, strength = {}, {}
+        for a, b, w in rows:
+            for x in (a, b):
+                strength[member[x]] = strength.get(member[x], 0) + w
+            if member[a] == member[b]:
+                inside[member[a]] = inside.get(member[a], 0) + 2 * w
+        return sum(inside.get(c, 0) / total - (k / total) ** 2 for c, k in strength.items())
+
+    best = value(found)
+    assert set(found) == {x for a, b, _ in rows for x in (a, b)} and all(found[c] == c for c in found.values())
+    for a, b in itertools.permutations(sorted(set(found.values())), 2):
+        assert value({x: b if c == a else c for x, c in found.items()}) <= best + 1e-9
+    assert modularity(table, spark.createDataFrame(list(found.items()), "id string, community string")).first()["modularity"] == pytest.approx(best, abs=1e-12)
+
+
+def test_moves_apart_touch_no_community_twice(spark):
+    draw = random.Random(13)
+    rows = [(f"n{k}", f"c{a}", f"c{b}", draw.randrange(1, 5) / 4) for k in range(200) for a, b in [draw.sample(range(30), 2)]]
+    moves = spark.createDataFrame(rows, "id string, own string, community string, rise double")
+    taken = _moves_apart(moves).collect()
+    ends = [c for r in taken for c in (r.own, r.community)]
+    assert taken and len(ends) == len(set(ends))
+    first = min(rows, key=lambda r: (-r[3], r[0]))
+    assert first[0] in {r.id for r in taken}

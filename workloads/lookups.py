@@ -318,13 +318,14 @@ def candidate_search(t):
     return se.candidate_search(graph, cut(scores), "S1", regulators, limit=25).select("id", "layer", "nearness", "is_neighbour", "effect")
 
 
-@workload("validate_candidates", None)
+@workload("validate_candidates", f"""WITH RECURSIVE {i.sql_edges()}, sc AS (SELECT * FROM (VALUES ('S2', ['S2'], 0.05::DOUBLE), ('S3', ['S3'], 0.05::DOUBLE), ('P3', ['P3'], 0.05::DOUBLE)) v(sid, ids, factor)), {i.sql_responses()}, {i.sql_shift("resp")}
+SELECT scenario_id AS id, round(delta_pct, 4) AS delta_pct, round(abs(delta_pct), 4) AS effect, round(system_shift_pct, 4) AS system_shift_pct, delta > 0 AS target_responds FROM resp JOIN shift USING (scenario_id) WHERE id = 'S1'""")
 def validate_candidates(t):
     from meshflux.operators.propagation import symmetric_arcs
 
     arcs = cut(symmetric_arcs(i.plain_graph(t)))
     candidates = t.spark.createDataFrame([("S2",), ("S3",), ("P3",)], "id string")
-    return se.validate_candidates(arcs, candidates, "S1", factor=0.05)
+    return se.validate_candidates(arcs, candidates, "S1", factor=0.05).select("id", r("delta_pct", 4), r("effect", 4), r("system_shift_pct", 4), "target_responds")
 
 
 @workload("betweenness_change", None)

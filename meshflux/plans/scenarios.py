@@ -25,6 +25,8 @@ from meshflux.settings import (
 )
 
 BASE = "base"
+#: Survival below which an edge grows no longer.
+LEAST_SURVIVAL = 1e-6
 #: Two changes this close are the same change.
 NULL_SLACK = 2.220446049250313e-16
 
@@ -378,27 +380,70 @@ def dose_response(
 
 
 def dose_stress(
-    edges: DataFrame, targets: Sequence[str], *, sample: int | None, doses: Sequence[float] = DOSES, exponent: float = HILL_EXPONENT,
-    boost: float = NEIGHBOUR_BOOST, score_min: float = NEIGHBOUR_SCORE_MIN, top: int = 5,
+    edges: DataFrame, targets: Sequence[str], *, seeds: DataFrame | None = None, hops: int = 3, sources: DataFrame | None = None,
+    sample: int | None = None, doses: Sequence[float] = DOSES, top: int | None = 5,
 ) -> DataFrame:
-    """Per dose the ``top`` nodes that gain most betweenness: ``survival, id, before, after, delta``."""
+    """Per dose the ``top`` nodes that gain most betweenness: ``survival, rank, id, before, after, delta``.
+
+    A dose makes the edges of the targets longer, to distance / survival; a boost
+    is one of weights and leaves lengths alone. Lengths are the column
+    ``distance``, or follow the weights. Only nodes within ``hops`` of ``seeds(id)``
+    are rated (all without seeds), over the shortest paths from ``sources(id)``,
+    from ``sample`` hashed ones, or from every node. Gains are compared to six
+    digits, ties go by id. Targets outside the graph change nothing, and a dose
+    without gains has no rows.
+    """
     from meshflux.functions.measures import strength_to_distance
     from meshflux.operators.centrality import betweenness
 
-    arcs = cut(symmetric_arcs(edges))
-    changed = dose_overrides(arcs, targets, doses=doses, exponent=exponent, boost=boost, score_min=score_min).groupBy(
-        "scenario_id", "src", "dst").agg(F.min("weight").alias("new"))
-    names = [BASE, *map(dose_name, doses)]
-    every = arcs.select("src", "dst", "weight", F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario_id"))
-    keyed = every.join(changed, ["scenario_id", "src", "dst"], "left").select(
-        "scenario_id", "src", "dst", strength_to_distance(F.coalesce("new", "weight")).alias("distance"))
-    rated = cut(betweenness(keyed, sample=sample, by=["scenario_id"]))
-    before = rated.where(F.col("scenario_id") == BASE).select("id", F.col("betweenness").alias("before"))
-    grid = edges.sparkSession.createDataFrame([(dose_name(d), float(d)) for d in doses], "scenario_id string, survival double")
-    rows = rated.join(F.broadcast(grid), "scenario_id").join(before, "id").select(  # one row a dose
-        "survival", "id", "before", F.col("betweenness").alias("after"), (F.col("betweenness") - F.col("before")).alias("delta")).where("delta > 0")
-    order = Window.partitionBy("survival").orderBy(F.desc("delta"), "id")
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
+    spark = edges.sparkSession
+    if "distance" not in edges.columns:
+        edges = edges.withColumn("distance", strength_to_distance("weight"))
+    arcs = cut(symmetric_arcs(edges, "distance"))
+    ids = spark.createDataFrame([(t,) for t in dict.fromkeys(targets)], "id string")
+    ends = [F.broadcast(ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))) for end in ("src", "dst")]  # the call's targets
+    marked = arcs.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    states = F.array(*[F.struct(F.lit(n).alias("scenario_id"), F.lit(float(d)).alias("survival")) for n, d in [(BASE, 1.0), *((dose_name(d), d) for d in doses)]])
+    hit = F.col("_src").isNotNull() | F.col("_dst").isNotNull()
+    keyed = marked.select("src", "dst", "distance", hit.alias("hit"), F.explode(states).alias("_s")).select(
+        "_s.scenario_id", "src", "dst",
+        F.when(F.col("hit"), F.col("distance") / F.greatest(F.col("_s.survival"), F.lit(LEAST_SURVIVAL))).otherwise(F.col("distance")).alias("distance"))
+    if sources is not None:
+        known = sources.join(traversal.vertices_of(arcs), "id", "left_semi").select("id").distinct()
+        names = F.explode(F.array(*[F.lit(n) for n in [BASE, *map(dose_name, doses)]])).alias("scenario_id")
+        sources = known.select(names, "id")
+    rated = betweenness(keyed, sample=sample, sources=sources, by=["scenario_id"])
+    if seeds is not None:
+        rated = rated.join(traversal.neighbourhood(arcs, seeds, hops=hops).select("id"), "id", "left_semi")
+    rated = cut(rated)
+    base = rated.where(F.col("scenario_id") == BASE).select("id", F.col("betweenness").alias("unchanged"))
+    grid = spark.createDataFrame([(dose_name(d), float(d)) for d in doses], "scenario_id string, survival double")
+    gain = F.round(F.col("betweenness") - F.col("unchanged"), 6)
+    rows = rated.join(F.broadcast(grid), "scenario_id").join(base, "id").select(  # one row a dose
+        "survival", "id", "unchanged", "betweenness", gain.alias("delta")).where("delta > 0")
+    if top is None:
+        best = row_numbers(rows, [F.desc("delta"), F.col("id")], name="rank", by=["survival"])
+    else:
+        order = Window.partitionBy("survival").orderBy(F.desc("delta"), "id")
+        best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.select("survival", F.col("rank").cast("long").alias("rank"), "id", F.col("unchanged").alias("before"), F.col("betweenness").alias("after"), "delta")
+
+
+def dose_report(
+    edges: DataFrame, targets: Sequence[str], *, seeds: DataFrame | None = None, hops: int = 3, sources: DataFrame | None = None,
+    sample: int | None = None, doses: Sequence[float] = DOSES, exponent: float = HILL_EXPONENT, boost: float = NEIGHBOUR_BOOST,
+    score_min: float = NEIGHBOUR_SCORE_MIN, damping: float = DOSE_DAMPING, top: int = 5,
+) -> DataFrame:
+    """``dose_response`` with ``stressed``, the ids of ``dose_stress`` with the largest gain first, and ``max_congestion``.
+
+    A dose without gains has an empty list and 0.
+    """
+    table = dose_response(edges, targets, doses=doses, exponent=exponent, boost=boost, score_min=score_min, damping=damping)
+    stress = cut(dose_stress(edges, targets, seeds=seeds, hops=hops, sources=sources, sample=sample, doses=doses, top=top))
+    lists = stress.groupBy("survival").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("stressed"), F.max("delta").alias("max_congestion"))
+    return table.join(lists, "survival", "left").withColumns({
+        "stressed": F.coalesce("stressed", F.array().cast("array<string>")), "max_congestion": F.coalesce("max_congestion", F.lit(0.0))})
 
 
 def dose_name(dose: float) -> str:

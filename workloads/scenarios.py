@@ -190,17 +190,17 @@ def null_p_values(t):
     return p.classify(responses, p_values=ps, top_n=50)
 
 
-def dose_sql(dose):
+def dose_sql(dose, target="P1"):
     lost = 1 - dose
     keep = 1 - lost ** 2 / (0.25 + lost ** 2)
     lift = 0.1 * lost ** 2 / (0.25 + lost ** 2)
     tag = f"d{int(round(dose * 100))}"
-    return tag, f"""{tag}_a AS MATERIALIZED (SELECT src, dst, CASE WHEN src = 'P1' OR dst = 'P1' THEN weight * {keep!r}::DOUBLE
+    return tag, f"""{tag}_a AS MATERIALIZED (SELECT src, dst, CASE WHEN src = '{target}' OR dst = '{target}' THEN weight * {keep!r}::DOUBLE
    WHEN {lift!r} > 0.001 AND (src IN (SELECT id FROM strong) OR dst IN (SELECT id FROM strong)) THEN weight * (1 + {lift!r}::DOUBLE) ELSE weight END AS weight FROM arcs),
 {tag}_q AS MATERIALIZED (SELECT a.src, a.dst, a.weight / s.s AS q FROM {tag}_a a JOIN (SELECT src, sum(weight) AS s FROM {tag}_a GROUP BY src) s USING (src)),
 {tag}_i AS (SELECT id, v AS x, 0 AS k FROM v UNION ALL
   SELECT q.dst, 0.5::DOUBLE * max(v.v) + 0.5::DOUBLE * sum(q.q * i.x), max(i.k) + 1 FROM {tag}_i i JOIN {tag}_q q ON i.id = q.src JOIN v ON v.id = q.dst WHERE i.k < 55 GROUP BY q.dst),
-{tag} AS (SELECT x FROM {tag}_i WHERE k = 55 AND id = 'P1')"""
+{tag} AS (SELECT x FROM {tag}_i WHERE k = 55 AND id = '{target}')"""
 
 
 DOSES = (0.9, 0.5, 0.1)
@@ -216,6 +216,61 @@ def dose_response(t):
     return out.select("survival", r("loss_pct", 5))
 
 
+STRESSED, STRESS_DOSES = "S2", (0.5, 0.25)
+#: From ``edges``, ``arcs``: betweenness ``bc(c, id, b)`` at survival c from the report's sources, and the five first gains of a dose, ``rk``.
+#: Lengths are whole numbers, so equal paths tie exactly.
+SQL_STRESS = f"""ka AS MATERIALIZED (SELECT c, src, dst, (1001 - score)::DOUBLE / CASE WHEN src = '{STRESSED}' OR dst = '{STRESSED}' THEN c ELSE 1 END AS distance
+  FROM (SELECT src, dst, score FROM edges UNION ALL SELECT dst, src, score FROM edges), (VALUES (1.0::DOUBLE), {", ".join(f"({d!r}::DOUBLE)" for d in STRESS_DOSES)}) v(c)),
+rx AS (SELECT c, s AS source, s AS id, 0.0::DOUBLE AS dist, 0 AS k FROM (VALUES {", ".join(f"('{s}')" for s in REPORT_SOURCES)}) v(s), (SELECT DISTINCT c FROM ka) WHERE s IN (SELECT src FROM arcs)
+  UNION ALL SELECT c, source, id, min(dist), k + 1 FROM (SELECT c, source, id, dist, k FROM rx UNION ALL
+    SELECT r.c, r.source, a.dst, r.dist + a.distance, r.k FROM rx r JOIN ka a ON r.id = a.src AND r.c = a.c) u WHERE k < 30 GROUP BY c, source, id, k),
+best AS MATERIALIZED (SELECT c, source, id, dist FROM rx WHERE k = 30),
+dag AS MATERIALIZED (SELECT x.c, x.source, a.src, a.dst FROM best x JOIN ka a ON a.c = x.c AND a.src = x.id JOIN best y ON y.c = x.c AND y.source = x.source AND y.id = a.dst WHERE x.dist + a.distance = y.dist),
+up AS (SELECT DISTINCT c, source, source AS id, 1.0::DOUBLE AS v, 0 AS k FROM best
+  UNION ALL SELECT u.c, u.source, d.dst, sum(u.v), max(u.k) + 1 FROM up u JOIN dag d ON d.c = u.c AND d.source = u.source AND d.src = u.id WHERE u.k < 30 GROUP BY 1, 2, 3),
+sg AS MATERIALIZED (SELECT c, source, id, sum(v) AS s FROM up GROUP BY 1, 2, 3),
+sh AS MATERIALIZED (SELECT d.c, d.source, d.src, d.dst, x.s / y.s AS f FROM dag d JOIN sg x ON x.c = d.c AND x.source = d.source AND x.id = d.src JOIN sg y ON y.c = d.c AND y.source = d.source AND y.id = d.dst),
+dn AS (SELECT c, source, src AS id, sum(f) AS v, 1 AS k FROM sh GROUP BY 1, 2, 3
+  UNION ALL SELECT n.c, n.source, s.src, sum(n.v * s.f), max(n.k) + 1 FROM dn n JOIN sh s ON s.c = n.c AND s.source = n.source AND s.dst = n.id WHERE n.k < 30 GROUP BY 1, 2, 3),
+bc AS MATERIALIZED (SELECT n.c, n.id, coalesce(sum(v), 0) / 2 * (SELECT count(DISTINCT src) FROM arcs) / (SELECT count(DISTINCT source) FROM best) AS b
+  FROM (SELECT DISTINCT c, src AS id FROM ka) n LEFT JOIN dn ON dn.c = n.c AND dn.id = n.id AND dn.source <> dn.id GROUP BY n.c, n.id),
+nr AS (SELECT '{STRESSED}' AS id, 0 AS k UNION SELECT a.dst, nr.k + 1 FROM nr JOIN arcs a ON nr.id = a.src WHERE nr.k < 3),
+rk AS MATERIALIZED (SELECT * FROM (SELECT y.c AS survival, row_number() OVER (PARTITION BY y.c ORDER BY round(y.b - x.b, 6) DESC, id) AS rank, id, x.b AS before, y.b AS after, round(y.b - x.b, 6) AS delta
+  FROM bc x JOIN bc y USING (id) WHERE x.c = 1 AND y.c < 1 AND round(y.b - x.b, 6) > 0 AND id IN (SELECT id FROM nr)) WHERE rank <= 5)"""
+
+
+def stress_arguments(t):
+    graph = cut(i.plain_graph(t).withColumn("distance", (F.lit(1001) - F.col("score")).cast("double")))
+    seeds, sources = (t.spark.createDataFrame([(x,) for x in ids], "id string") for ids in ((STRESSED,), REPORT_SOURCES))
+    return graph, dict(seeds=seeds, hops=3, sources=sources, doses=STRESS_DOSES)
+
+
+@workload("dose_stress", f"""WITH RECURSIVE {i.sql_edges()}, {SQL_STRESS}
+SELECT survival, rank, id, round(before, 4) AS before, round(after, 4) AS after, round(delta, 4) AS delta FROM rk""")
+def dose_stress(t):
+    graph, arguments = stress_arguments(t)
+    return p.dose_stress(graph, [STRESSED], **arguments).select("survival", "rank", "id", r("before", 4), r("after", 4), r("delta", 4))
+
+
+@workload("dose_report", f"""WITH RECURSIVE {i.sql_edges()}, {SQL_STRESS},
+v AS MATERIALIZED (SELECT DISTINCT src AS id, CASE WHEN src = '{STRESSED}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM arcs),
+strong AS (SELECT dst AS id FROM arcs WHERE src = '{STRESSED}' AND 1000 * sqrt(weight) >= 200),
+{dose_sql(1.0, STRESSED)[1]}, {", ".join(dose_sql(d, STRESSED)[1] for d in STRESS_DOSES)},
+cn AS (SELECT count(*) FILTER (WHERE src = '{STRESSED}' OR dst = '{STRESSED}') AS hit, count(*) FILTER (WHERE src <> '{STRESSED}' AND dst <> '{STRESSED}' AND (src IN (SELECT id FROM strong) OR dst IN (SELECT id FROM strong))) AS lifted FROM edges),
+ls AS (SELECT survival, string_agg(id, ' ' ORDER BY rank) AS stressed, max(delta) AS most FROM rk GROUP BY 1),
+ds AS ({" UNION ALL ".join(f"SELECT {d!r}::DOUBLE AS survival, d100.x AS base, {dose_sql(d, STRESSED)[0]}.x AS x FROM d100, {dose_sql(d, STRESSED)[0]}" for d in STRESS_DOSES)})
+SELECT survival, round((1 - survival) * 100, 1) AS inhibition_pct, round(0.1 * pow(1 - survival, 2) / (0.25 + pow(1 - survival, 2)), 9) AS boost, hit AS suppressed_edges, lifted AS boosted_edges,
+  round(base, 8) AS baseline_signal, round(x, 8) AS signal, round((base - x) / base * 100, 5) AS loss_pct, coalesce(stressed, '') AS stressed, round(coalesce(most, 0), 4) AS max_congestion
+FROM ds LEFT JOIN ls USING (survival), cn""")
+def dose_report(t):
+    """Signal lost, edges changed and congested nodes of every dose."""
+    graph, arguments = stress_arguments(t)
+    out = p.dose_report(graph, [STRESSED], **arguments)
+    return out.select(
+        "survival", "inhibition_pct", r("boost", 9), "suppressed_edges", "boosted_edges", r("baseline_signal", 8), r("signal", 8), r("loss_pct", 5),
+        F.array_join("stressed", " ").alias("stressed"), r("max_congestion", 4))
+
+
 @workload("half_loss_dose", """
 WITH d AS (SELECT 1 - l_discount * 9 AS survival, 100.0 * l_discount * 9 * l_discount * 9 AS loss FROM (SELECT DISTINCT l_discount FROM lineitem)),
 w AS (SELECT survival, loss, lead(survival) OVER (ORDER BY survival DESC) AS ns, lead(loss) OVER (ORDER BY survival DESC) AS nl, row_number() OVER (ORDER BY survival DESC) AS p FROM d)

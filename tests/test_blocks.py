@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from meshflux.operators import blocks
 from meshflux.operators.propagation import Scenario, pagerank, symmetric_arcs
+from meshflux.plans import scenarios
 from meshflux.session import Lineage, loop_lineage
 
 
@@ -39,3 +40,15 @@ def test_a_round_sends_pieces_not_arcs(spark):
         assert {r["number"]: r["x0"] for r in rounds.rows(state).collect()} == pytest.approx(want)
     finally:
         rounds.close()
+
+
+def test_scenarios_share_one_loop_of_blocks(spark, monkeypatch):
+    """One layout for the base and one for all scenarios, with the deltas of full solves."""
+    arcs, made = complete(spark, 8), []
+    table = scenarios.scenario_table(spark, {"a": ["n1"], "b": ["n2", "n3"], "c": ["n4"]}, 0.1)
+    want = {(r["scenario_id"], r["id"]): r["delta"] for r in scenarios.what_if(arcs, table, damping=0.3, tolerance=1e-8).collect()}
+    first = blocks.Rounds.__init__
+    monkeypatch.setattr(blocks.Rounds, "__init__", lambda self, *args: (made.append(len(args[-1])), first(self, *args))[1])
+    _, moved = scenarios.what_if_changes(arcs, table, damping=0.3, tolerance=1e-8)
+    assert made == [1, 3]
+    assert {(r["scenario_id"], r["id"]): r["delta"] for r in moved.collect()} == pytest.approx(want, abs=1e-8)

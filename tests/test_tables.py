@@ -80,6 +80,16 @@ def test_pareto_layers_match_brute_force_over_blocks(spark):
     assert got == brute_layers(rows)
 
 
+def test_pareto_layers_take_a_round_a_block_and_keep_missing_values(spark, monkeypatch):
+    rows = [(f"r{i}", (float(i), float(i), float(i % 3))) for i in range(40)]
+    table = spark.createDataFrame([(k, *v) for k, v in rows] + [("none", None, 1.0, 1.0)], "id string, a double, b double, c double")
+    cuts, cut = [], selection.Lineage.cut
+    monkeypatch.setattr(selection.Lineage, "cut", lambda self, df: cuts.append(1) or cut(self, df))
+    got = {r["id"]: r["layer"] for r in selection.pareto_layers(table, ["a", "b", "c"], block_rows=20).collect()}
+    assert got == {**brute_layers(rows), "none": 1}
+    assert max(got.values()) > 10 and len(cuts) < 10
+
+
 def test_engine_classes_keep_missing_apart_from_zero(spark):
     left = spark.createDataFrame([("A", 10.0), ("B", -5.0), ("C", 0.0)], "id string, delta_pct double")
     right = spark.createDataFrame([("A", 9.0), ("B", -6.0), ("D", 10.0)], "id string, delta_pct double")

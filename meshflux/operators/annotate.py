@@ -275,8 +275,12 @@ def resolve_reference(associations: DataFrame, by_id: DataFrame, by_symbol: Data
     ``associations(row, ext_id, symbol)``, ``by_id(key, entity)``, ``by_symbol(key, entity)``.
     """
     def look(rows, column, table):
-        hits = rows.join(table.select(F.lower("key").alias("_k"), "entity").distinct(), F.lower(F.trim(column)) == F.col("_k"))
-        return hits.groupBy("row").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity"))
+        # A key keeps its least and greatest entity: a row meets one row of each key, however many entities share it.
+        ends = table.groupBy(F.lower("key").alias("_k")).agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
+        hits = rows.select("row", F.lower(F.trim(column)).alias("_k")).join(ends, "_k")
+        found = hits.groupBy("row").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        n = F.when(F.col("lo").isNull(), 0).when(F.col("lo") == F.col("hi"), 1).otherwise(2)
+        return found.select("row", n.alias("n"), F.col("lo").alias("entity"))
 
     first = look(associations, "ext_id", by_id).withColumnsRenamed({"n": "n1", "entity": "e1"})
     second = look(associations, "symbol", by_symbol).withColumnsRenamed({"n": "n2", "entity": "e2"})

@@ -22,6 +22,10 @@ def fresh_path(t, name: str) -> str:
     return f"{checkpoint_root(t.spark)}/files/{name}-{uuid.uuid4().hex}"
 
 
+#: Sold rows whose pairs share a file; a task sorts and writes one file, and reads it whole.
+ROWS_PER_FILE = 250_000
+
+
 @workload("link_file", f"""WITH {ev.SQL_CHANNELS} SELECT src, dst, combined_score, round(s_nontext, 8) AS s_nontext FROM idx""")
 def link_file(t):
     """Channel rows written as the space-delimited file, read back with its header check, and indexed."""
@@ -30,8 +34,9 @@ def link_file(t):
     path = fresh_path(t, "links")
     rows = ev.with_decoys(t).select(
         F.concat(F.lit("9606."), "src").alias("protein1"), F.concat(F.lit("9606."), "dst").alias("protein2"), *CHANNELS, "combined_score", "line_no")
-    # Both rows of a pair go to one file, the one that must lose first.
-    filed = rows.repartition(3, F.least("protein1", "protein2"), F.greatest("protein1", "protein2")).sortWithinPartitions("line_no").drop("line_no")
+    # Both rows of a pair go to one file, the one that must lose first. There are no more pairs than sold rows.
+    files = max(3, -(-t.lineitem.count() // ROWS_PER_FILE))
+    filed = rows.repartition(files, F.least("protein1", "protein2"), F.greatest("protein1", "protein2")).sortWithinPartitions("line_no").drop("line_no")
     filed.write.option("sep", " ").option("header", True).option("compression", "gzip").csv(path)
     return channel_index(ig.read_links(t.spark, path), threshold=600).select("src", "dst", "combined_score", r("s_nontext", 8))
 

@@ -76,3 +76,35 @@ def test_moves_apart_touch_no_community_twice(spark):
     assert taken and len(ends) == len(set(ends))
     first = min(rows, key=lambda r: (-r[3], r[0]))
     assert first[0] in {r.id for r in taken}
+
+
+def test_moves_made_together_raise_the_modularity_by_what_the_bound_leaves(spark):
+    """Two leaves of one community and a node that would enter it: the leaves go, unless the first takes the gain of the second."""
+    from meshflux.operators.resilience import _moves_together
+
+    rows = [("a", "A", "B", 1.0, 0.5), ("b", "A", "B", 1.0, 0.4), ("c", "C", "A", 1.0, 0.3)]
+    wish = spark.createDataFrame(rows, "id string, own string, community string, k double, rise double")
+    assert {(r["id"], r["community"]) for r in _moves_together(wish, 10.0).collect()} == {("a", "B"), ("b", "B")}
+    assert {r["id"] for r in _moves_together(wish, 4.0).collect()} == {"a"}
+
+
+def test_leaves_enter_their_centres_in_one_round(spark):
+    """A level of three stars ends after two rounds, the second of which only finds that no node wants to move."""
+    from meshflux.operators.resilience import _local_moves
+    from meshflux.operators.propagation import symmetric_arcs
+    from meshflux.session import Lineage
+
+    class Counted(Lineage):
+        cuts = 0
+
+        def cut(self, df):
+            self.cuts += 1
+            return super().cut(df)
+
+    edges = spark.createDataFrame([(f"c{k}", f"l{k}_{n}", 1.0) for k in range(3) for n in range(5)], "src string, dst string, weight double")
+    links = symmetric_arcs(edges)
+    lineage = Counted(spark)
+    found = {r["id"]: r["community"] for r in _local_moves(lineage, lineage.cut(links), 30.0).collect()}
+    assert all(found[f"l{k}_{n}"] == found[f"c{k}"] for k in range(3) for n in range(5))
+    assert len(set(found.values())) == 3
+    assert lineage.cuts <= 12
